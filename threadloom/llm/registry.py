@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from threadloom.llm import chat, language, mixing, quality, toxicity
+from threadloom.llm import chat, crossentropy, decontaminate, jaccard, language, mixing, quality, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.quality_query,
     "op2_toxicity": toxicity.toxicity_query,
     "op3_language_id": language.language_query,
+    "op4_ngram_jaccard_join": jaccard.jaccard_query,
+    "op5_decontamination": decontaminate.decontamination_query,
     "op6_chat_formatting": chat.chat_query,
     "op7_source_mixing": mixing.mixing_query,
+    "op9_lm_scoring": crossentropy.scoring_query,
 }
 
 ORACLE_SQL = {
