@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import chat, crossentropy, decontaminate, jaccard, language, mixing, quality, toxicity
+from threadloom.llm import chat, crossentropy, decontaminate, html, jaccard, language, mixing, neardup, quality, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.quality_query,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_decontamination": decontaminate.decontamination_query,
     "op6_chat_formatting": chat.chat_query,
     "op7_source_mixing": mixing.mixing_query,
+    "op8_html_extraction": html.extraction_query,
     "op9_lm_scoring": crossentropy.scoring_query,
+    "op10_embedding_neardup": neardup.neardup_query,
 }
 
 ORACLE_SQL = {
