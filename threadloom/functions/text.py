@@ -9,6 +9,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's \\s has it: Java's Unicode class plus the four separators U+001C to U+001F.
 WS = r"[\s\x1c-\x1f]"
@@ -115,7 +116,7 @@ def emoji_words(text: str) -> str:
     return "".join(out)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _emoji_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([None if t is None else emoji_words(t) for t in texts.to_pylist()], pa.string())
@@ -186,7 +187,7 @@ def last_json_object(text: str | None) -> str | None:
     return None
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def last_json(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Column form of :func:`last_json_object`."""
     for texts in batches:

@@ -100,12 +100,15 @@ def _(t):
 # --- cleaning -----------------------------------------------------------------------------------------------------
 
 _KEYED_SQL = "SELECT *, CASE doc_id % 11 WHEN 0 THEN NULL WHEN 1 THEN ' NaN ' WHEN 2 THEN '' WHEN 3 THEN '<NA>' ELSE source END AS thread FROM documents"
-_THREAD = F.expr("CASE doc_id % 11 WHEN 0 THEN NULL WHEN 1 THEN ' NaN ' WHEN 2 THEN '' WHEN 3 THEN '<NA>' ELSE source END")
+
+
+def _thread():
+    return F.expr("CASE doc_id % 11 WHEN 0 THEN NULL WHEN 1 THEN ' NaN ' WHEN 2 THEN '' WHEN 3 THEN '<NA>' ELSE source END")
 
 
 @query("q06_missing_key_filter", f"SELECT doc_id, thread FROM ({_KEYED_SQL}) WHERE thread IS NOT NULL AND lower(trim(thread)) NOT IN ('', 'nan', 'none', 'null', '<na>')")
 def _(t):
-    d = t("documents").select("doc_id", _THREAD.alias("thread"))
+    d = t("documents").select("doc_id", _thread().alias("thread"))
     return d.where(~cleaning.key_is_missing(F.col("thread")))
 
 
@@ -152,13 +155,13 @@ SELECT count(*) AS input_rows, count_if(r IS NULL)::BIGINT AS output_rows, count
 
 @query("q11_clean_report", _REPORT_SQL)
 def _(t):
-    d = t("documents").select("doc_id", F.expr("doc_id div 2").alias("id"), _THREAD.alias("thread"), F.expr("CASE doc_id % 13 WHEN 0 THEN 'helper_bot' ELSE lang END").alias("author"), F.expr("n_chars % 50").alias("t"), F.md5("text").alias("body"))
+    d = t("documents").select("doc_id", F.expr("doc_id div 2").alias("id"), _thread().alias("thread"), F.expr("CASE doc_id % 13 WHEN 0 THEN 'helper_bot' ELSE lang END").alias("author"), F.expr("n_chars % 50").alias("t"), F.md5("text").alias("body"))
     return cleaning.report(cleaning.tag_removals(d, ["doc_id"], "id", "thread", "author", "t", "body"), "thread", "id")
 
 
 @query("q12_required_keys", f"SELECT DISTINCT trim(thread) AS thread FROM ({_KEYED_SQL}) WHERE trim(thread) <> ''")
 def _(t):
-    return cleaning.required_threads(t("documents").select(_THREAD.alias("thread")), "thread")
+    return cleaning.required_threads(t("documents").select(_thread().alias("thread")), "thread")
 
 
 # --- joins --------------------------------------------------------------------------------------------------------
