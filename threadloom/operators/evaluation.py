@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 POSITIVE, NEGATIVE = 1, -1
+_RANGES = 1024
 
 
 def strict(pred: Column) -> Column:
@@ -60,12 +63,20 @@ def accuracy_by_bucket(df: DataFrame, truth: str, pred: str, conf: str) -> DataF
 def auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
     """auc and gini by mid-ranks, NULL where a class lacks; ``truth`` is 0 or 1.
 
-    Ties are collapsed first, so what is ranked is a count for each distinct score.
+    Ties are collapsed first. Running counts are then made within ranges of
+    scores and the ranges' offsets added, so no task sorts all scores.
     """
     by = by or []
     counts = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(truth) == 1).alias("_p"), F.count_if(F.col(truth) == 0).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(W.partitionBy(*(by or [F.lit(1)])).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("_won", F.col("_p") * (below.cast("double") + F.col("_n") / 2))
+    ends = counts.agg(F.min(score).cast("double").alias("_lo"), F.max(score).cast("double").alias("_hi"))
+    place = F.floor(F.try_divide(F.col(score) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (_RANGES - 1))
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("_range", F.coalesce(place, F.lit(0)).cast("int")).drop("_lo", "_hi")
+    size = counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_all"))
+    off = size.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_range"])], (F.sum("_all").over(W.partitionBy(*by).orderBy("_range")) - F.col("_all")).alias("_off"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_range"])])
+    within = F.coalesce(F.sum("_n").over(W.partitionBy(*by, "_range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.withColumn("_in", within).join(off, same)
+    ranked = ranked.withColumn("_won", F.col("_p") * ((F.col("_off") + F.col("_in")).cast("double") + F.col("_n") / 2))
     total = F.sum("_p") * F.sum("_n")
     out = (ranked.groupBy(*by) if by else ranked.groupBy()).agg(F.when(total > 0, F.sum("_won") / total).alias("auc"))
     return out.withColumn("gini", 2 * F.col("auc") - 1)
