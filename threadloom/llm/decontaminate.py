@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from threadloom.llm import textcore as tc
 from threadloom.llm.common import BROADCAST_BYTES, broadcast_if_small, cut, table
 
-MIN_MATCH, COVERAGE = 5, 0.5
+MIN_MATCH, COVERAGE = 4, 0.5
 _U = np.uint64
 _SCHEMA = "doc_id bigint, item_id bigint, matched int, item_words int, coverage double"
 
