@@ -41,33 +41,36 @@ def corpus(seed, n=120, vocab=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "rare"), [(1, 2), (2, 1), (3, 8), (4, 64)])
-def test_equals_brute_force(docs, words, seed, rare, monkeypatch):
-    monkeypatch.setattr(J, "RARE", rare)
-    monkeypatch.setattr(J, "_TRIPLES", 4)
+@pytest.mark.parametrize(("seed", "frequent", "very"), [(1, 3, 8), (2, 1, 1), (3, 1, 1000), (4, 64, 4096)])
+def test_equals_brute_force(docs, words, seed, frequent, very, monkeypatch):
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "VERY", very)
     rows = corpus(seed)
     got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in J.near_pairs(docs(rows)).collect()}
     want = brute(rows, words)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
-@pytest.mark.parametrize("rare", [1, 4, 1000])
-def test_prefixes_share_what_pairs_must(rare):
-    """Any two sets at the threshold share at least the needed number of combinations, whatever the classes."""
-    rng = np.random.default_rng(rare)
+@pytest.mark.parametrize("seed", range(4))
+def test_prefixes_share_what_pairs_must(seed):
+    """Any two sets at the threshold share at least the needed number of combinations, whatever the classes of shared tokens."""
+    rng = np.random.default_rng(seed)
+    share = [[0.25, 0.25, 0.25, 0.25], [0, 1, 0, 0], [0, 0, 0.5, 0.5], [0.1, 0.1, 0.1, 0.7]][seed]
     for _ in range(300):
         size = int(rng.integers(1, 400))
         x = np.unique(rng.integers(1, 1 << 62, size=size, dtype=np.uint64))
-        level = {int(t): int(rng.choice([0, 3, 9, 14], p=[0.2, 0.3, 0.3, 0.2])) for t in x}
+        level = {int(t): int(rng.choice(4, p=share)) for t in x}
         drop = int(rng.integers(0, J.missing(len(x)) + 1))
         y = rng.permutation(x)[: len(x) - drop]
         extra = rng.integers(1, 1 << 62, size=int(rng.integers(0, max(1, int(len(y) / J.THRESHOLD) - len(x) + 1))), dtype=np.uint64)
-        level |= {int(t): int(rng.choice([0, 3, 9, 14])) for t in extra}
+        level |= {int(t): int(rng.choice(4, p=share)) for t in extra}
+        # Class 0 is only for tokens of one set.
+        level |= {int(t): max(1, level[int(t)]) for t in y}
         y = np.unique(np.concatenate([y, extra]))
         both = len(np.intersect1d(x, y))
         if both < J.THRESHOLD * (len(x) + len(y) - both):
             continue
-        a, b = (J.signatures(s, np.array([level[int(t)] for t in s]), rare) for s in (x, y))
+        a, b = (J.signatures(s, np.array([level[int(t)] for t in s])) for s in (x, y))
         assert len(np.intersect1d(a, b)) >= min(J._need(len(x)), J._need(len(y)))
 
 

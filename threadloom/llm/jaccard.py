@@ -4,17 +4,22 @@ A document's *tokens* are its distinct runs of ``GRAM`` words.  Two documents ar
 near copies if the Jaccard similarity of their token sets is at least
 ``THRESHOLD``.  The join is exact:
 
-* Order.  The document frequency of each word is counted over all documents.  The
-  least frequency of a token's words bounds the token's own frequency from
-  above; tokens are ordered by that bound (its power of two), then by hash.
-* Classes.  Tokens whose bound is at most ``RARE`` are indexed singly (class 1).
-  More frequent tokens are indexed only in combinations of k tokens of one
-  class and hash group (class 2: pairs; class 3, the most frequent: triples).
+* Frequencies.  The documents of every token are counted, over all documents, in
+  a shuffle of 4-byte residues.  Each owner of a range of token hashes gives the
+  classes of its range as a table of 2 bits a slot, of bounded size, which is
+  broadcast.  Tokens that share a slot get the higher class.
+* Classes.  0: in one document; 1: in fewer than ``FREQUENT``; 2: in fewer than
+  ``VERY``; 3: the rest.  Tokens are ordered by class, then by hash.
+* Index.  Tokens of class 1 are indexed singly; those of classes 2 and 3 only in
+  combinations of two and three tokens of one class and hash group; those of
+  class 0 not at all, since no other document has them.
 * Prefix.  With t = |x| - ceil(THRESHOLD |x|), at most t tokens of x lack in a
   partner.  The prefix is extended until sum over groups of max(0, c - k + 1),
   c being the prefix's tokens in the group, reaches t + l.  Whichever t tokens
   lack, l combinations are then shared by the two prefixes, where l (``_need``)
   grows with the document: a pair counts as a candidate only with that many.
+  A document with more than t + l tokens of its own is near no other, and
+  indexed nowhere.
 * Verification.  Candidates' token sets are brought together once per cluster of
   candidates (not once per pair) and intersected.
 
@@ -24,6 +29,9 @@ prefix; partners differ in size class by one at most, so a document is also
 indexed under the next class's groups where a partner may be that large.
 Small documents (size class <= ``_SMALL``) are indexed singly throughout.
 Documents with equal token sets are one node of the join.
+
+Any assignment of classes gives the same pairs: the table's size and collisions
+only bear on speed.
 """
 
 from __future__ import annotations
@@ -36,85 +44,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import BROADCAST_BYTES, broadcast_if_small, cut, partitions, table
+from threadloom.llm.common import broadcast_if_small, cut, partitions, table
 
 GRAM, THRESHOLD = 2, 0.7
-#: A token whose least frequent word is in more documents than this is only indexed in combinations (doubled while the list of such words is larger than may be broadcast).
-RARE = 64
-#: Bound from which the combinations are triples, as a multiple of RARE.
-_TRIPLES = 64
+FREQUENT, VERY = 64, 4096
 _SMALL = 3
 _U = np.uint64
+#: Slots of the class table: about one for every two words of the corpus, within these powers of two (at most 64 MB).
+_SLOT_BITS = (16, 28)
 #: Pairs that one verification task takes of a cluster; a larger cluster is split into a grid of blocks.
 _BLOCK_PAIRS = 200_000
-_NODE_MAP = 1 << 17
-
-
-def _sets(piece: pa.Array) -> Iterator[tuple[tc.Words, list[np.ndarray]]]:
-    words = tc.Words(piece)
-    yield words, [tc.shingle_hashes(words.hashes[a:b], GRAM) for a, b in zip(words.first[:-1], words.first[1:])]
-
-
-def token_set(shingles: np.ndarray) -> np.ndarray:
-    return np.unique(shingles)
-
-
-def set_key(tokens: np.ndarray) -> int:
-    """64-bit key of a sorted token set."""
-    h = tc.mix(tokens ^ _U(0xA5A5A5A5A5A5A5A5))
-    return int(tc.mix(np.array([np.add.reduce(h) + _U(len(tokens))], dtype=np.uint64)).view(np.int64)[0])
-
-
-def word_frequencies(docs: DataFrame) -> DataFrame:
-    """word (hash) and df, over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts):
-            word, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-        parts, held = [], 0
-        for batch in batches:
-            for _, piece in tc.pieces(tc.as_text(batch.column(0))):
-                w = tc.Words(piece)
-                parts += [np.unique(w.hashes[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
-                held += len(w.hashes)
-                if held > 4_000_000:
-                    yield flush(parts)
-                    parts, held = [], 0
-        if parts:
-            yield flush(parts)
-
-    return docs.select("text").where("text is not null").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("df"))
-
-
-class Order:
-    """Words with more than ``rare`` documents, sorted by hash, and their document frequencies."""
 
-    def __init__(self, words: np.ndarray, df: np.ndarray, rare: int):
-        at = np.argsort(words)
-        self.words, self.df, self.rare = words[at], df[at], rare
 
-    def level(self, hashes: np.ndarray) -> np.ndarray:
-        """0 for rare words, else the power of two of the document frequency."""
-        if not len(self.words):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, np.log2(self.df[at]).astype(np.int64) + 1, 0)
-
-
-def order_of(docs: DataFrame, rare: int | None = None) -> Order:
-    rare = rare or RARE
-    df = cut(word_frequencies(docs).where(F.col("df") > rare))
-    while df.where(F.col("df") > rare).count() * 16 > BROADCAST_BYTES:
-        rare *= 2
-    got = df.where(F.col("df") > rare).toArrow()
-    return Order(got["word"].to_numpy().view(np.uint64), got["df"].to_numpy(), rare)
+def token_sets(piece: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct tokens of each document of a piece, and their ranges (length n + 1)."""
+    w = tc.Words(piece)
+    n = np.diff(w.first)
+    if not len(w.hashes):
+        return w.hashes, w.first
+    h = w.hashes if GRAM == 1 else np.concatenate([tc.shingle_hashes(w.hashes, GRAM), np.zeros(min(GRAM - 1, len(w.hashes)), dtype=np.uint64)])[: len(w.hashes)]
+    count = np.where(n >= GRAM, n - GRAM + 1, np.minimum(n, 1))
+    doc = np.repeat(np.arange(len(n)), n)
+    keep = np.arange(len(h)) - w.first[doc] < count[doc]
+    h = h[keep]
+    first = np.concatenate([[0], np.cumsum(count)])
+    for i in np.flatnonzero((n > 0) & (n < GRAM)):
+        h[first[i]] = tc.shingle_hashes(w.hashes[w.first[i] : w.first[i + 1]], GRAM)[0]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        h[a:b].sort()
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    new[first[:-1][count > 0]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[first]
+
+
+def set_keys(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit keys of the token sets (as int64)."""
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(tc.mix(tokens ^ _U(0xA5A5A5A5A5A5A5A5)))])
+    return tc.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
 def _need(size: int) -> int:
-    """Shared combinations that are asked of a pair, from one set's size: 1 for small sets, up to 8."""
-    return max(1, min(8, size // 24))
+    """Shared combinations that are asked of a pair, from one set's size: 1 for small sets, up to 4."""
+    return max(1, min(4, size // 32))
 
 
 def _size_class(size: int) -> int:
@@ -126,28 +98,27 @@ def missing(size: int) -> int:
     return size - int(np.ceil(THRESHOLD * size - 1e-9))
 
 
-def signatures(tokens: np.ndarray, level: np.ndarray, rare: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
     """All index entries of one document: singles and combinations of its prefixes, as 64-bit hashes.
 
-    ``tokens`` are distinct, ``level`` their frequency levels (0: class 1).
+    ``tokens`` are distinct and sorted, ``level`` their classes (0 to 3).
     """
     size = len(tokens)
-    order = np.lexsort((tokens, level))
-    tokens, level = tokens[order], level[order]
     want = missing(size) + _need(size)
-    rare_n = int(np.searchsorted(level, 1))
-    own = _size_class(size)
-    if rare_n >= want:
-        return tokens[:want]
-    top = _size_class(int(size / THRESHOLD + 1e-9))
-    triple_level = int(np.log2(rare * _TRIPLES)) + 1
+    counts = np.bincount(level, minlength=4)
+    if counts[0] >= want:
+        return tokens[:0]
+    order = np.argsort(level, kind="stable")
+    tokens, level = tokens[order], level[order]
+    if counts[0] + counts[1] >= want:
+        return tokens[counts[0] : want]
     out = []
-    for z in range(own, top + 1):
+    for z in range(_size_class(size), _size_class(int(size / THRESHOLD + 1e-9)) + 1):
         if z <= _SMALL:
-            out.append(tokens[:want])
+            out.append(tokens[counts[0] : want])
             continue
-        k = np.where(level == 0, 1, np.where(level < triple_level, 2, 3))
-        groups = np.where(k == 2, max(1, (1 << z) // 32), max(1, (1 << z) // 12))
+        k = np.maximum(level, 1)
+        groups = np.where(k == 2, max(1, (1 << z) // 12), max(1, (1 << z) // 16))
         group = np.where(k == 1, 0, (tc.mix(tokens ^ _U(z)) % groups.astype(np.uint64)).astype(np.int64) * 4 + k)
         # The place of each token within its group, in prefix order, tells whether it adds to the coverage.
         by = np.argsort(group, kind="stable")
@@ -155,39 +126,132 @@ def signatures(tokens: np.ndarray, level: np.ndarray, rare: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         rank = np.empty(size, dtype=np.int64)
         rank[by] = np.arange(size) - np.repeat(first, np.diff(np.append(first, size)))
-        covered = np.cumsum(np.where(k == 1, 1, rank >= k - 1))
-        end = min(size, int(np.searchsorted(covered, want)) + 1)
-        out.append(tokens[:end][k[:end] == 1])
-        salt = _U(0x51ED270B * (z + 1))
+        end = min(size, int(np.searchsorted(np.cumsum(rank >= k - 1), want)) + 1)
+        out.append(tokens[counts[0] : min(end, counts[0] + counts[1])])
+        mixed = tc.mix(tokens[:end] ^ _U(0x51ED270B * (z + 1)))
+        # Combinations of all groups at once: each member with those 1, 2, ... places before it in its group.
+        inside = by[by < end]
+        g, x, r = group[inside], mixed[inside], rank[inside]
         for kind in (2, 3):
-            mine = np.flatnonzero(k[:end] == kind)
-            for gid in np.unique(group[mine]):
-                t = tokens[mine[group[mine] == gid]]
-                if len(t) < kind:
-                    continue
-                mixed = tc.mix(t ^ salt)
-                a, b = np.triu_indices(len(t), 1)
+            mine = np.flatnonzero(g % 4 == kind)
+            if len(mine) < kind:
+                continue
+            xs, rs = x[mine], r[mine]
+            for a in range(1, int(rs.max()) + 1):
+                i = np.flatnonzero(rs >= a)
+                pair = xs[i] + xs[i - a]
                 if kind == 2:
-                    out.append(tc.mix(mixed[a] + mixed[b]))
+                    out.append(tc.mix(pair))
                 else:
-                    for i in range(len(t) - 2):
-                        a, b = np.triu_indices(len(t) - i - 1, 1)
-                        out.append(tc.mix(mixed[i] + mixed[i + 1 :][a] + mixed[i + 1 :][b] + _U(3)))
+                    for b in range(a + 1, int(rs.max()) + 1):
+                        j = rs[i] >= b
+                        out.append(tc.mix(pair[j] + xs[i[j] - b] + _U(3)))
     return np.unique(np.concatenate(out))
 
 
-def _indexer(order, buckets: int):
+# --- frequencies --------------------------------------------------------------------------------------------------
+
+
+def _residues(bits: int):
+    """Worker function: (doc_id, text) to rows of a bucket's residues and of the set keys, ids and sizes that it owns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, keys, ids, sizes, held = [], [], [], [], 0
+
+        def flush():
+            t = np.sort(np.concatenate(tokens))
+            at = np.searchsorted((t >> _U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)) if bits else np.array([0, len(t)])
+            low = ((t >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(np.uint32)
+            k, i, s = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+            own = (k.view(np.uint64) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), dtype=np.int64)
+            rows = []
+            for b in range(1 << bits):
+                mine = own == b
+                if at[b] < at[b + 1] or mine.any():
+                    rows.append((b, low[at[b] : at[b + 1]].tobytes(), k[mine].tobytes(), i[mine].tobytes(), s[mine].tobytes()))
+            cols = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "low", "k", "i", "s"])
+
+        for batch in batches:
+            doc_ids = batch.column(0).to_numpy()
+            for start, piece in tc.pieces(tc.as_text(batch.column(1))):
+                t, first = token_sets(piece)
+                some = np.flatnonzero(np.diff(first))
+                tokens.append(t)
+                keys.append(set_keys(t, first)[some])
+                ids.append(doc_ids[start + some])
+                sizes.append(np.diff(first)[some].astype(np.int32))
+                held += len(t)
+                if held > 1_000_000:
+                    yield flush()
+                    tokens, keys, ids, sizes, held = [], [], [], [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _classes(bits: int, slot_bits: int, frequent: int, very: int):
+    """Worker function: the rows of a bucket to its part of the class table, and to one row a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for b, blob, k, i, s in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                low.setdefault(b, []).append(np.frombuffer(blob, dtype=np.uint32))
+                n = len(k) // 8
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.frombuffer(k, dtype=np.int64)), pa.array(np.frombuffer(i, dtype=np.int64)), pa.array(np.frombuffer(s, dtype=np.int32))], names=["bucket", "part", "node", "doc_id", "size"])
+        for b in sorted(low):
+            t = np.sort(np.concatenate(low.pop(b)))
+            new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, dtype=np.int64)
+            df = np.diff(np.append(new, len(t)))
+            many = df > 1
+            slot = (t[new[many]] >> np.uint32(32 - (slot_bits - bits))).astype(np.int64)
+            part = np.zeros(1 << (slot_bits - bits), dtype=np.uint8)
+            np.maximum.at(part, slot, np.where(df[many] < frequent, 1, np.where(df[many] < very, 2, 3)).astype(np.uint8))
+            q = part.reshape(-1, 4)
+            packed = q[:, 0] | (q[:, 1] << 2) | (q[:, 2] << 4) | (q[:, 3] << 6)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packed.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=["bucket", "part", "node", "doc_id", "size"])
+
+    return run
+
+
+def levels(packed: np.ndarray, slot_bits: int, tokens: np.ndarray) -> np.ndarray:
+    slot = (tokens >> _U(64 - slot_bits)).astype(np.int64)
+    return (packed[slot >> 2] >> ((slot & 3) << 1).astype(np.uint8)) & 3
+
+
+def frequencies(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """(members: doc_id, node, size of each document with words; packed class table; bits of its slots)."""
+    spark = docs.sparkSession
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    slot_bits = min(_SLOT_BITS[1], max(_SLOT_BITS[0], int(np.ceil(np.log2(chars / 12 + 1)))))
+    bits = min(slot_bits - 2, max(0, int(np.ceil(np.log2(partitions(spark))))))
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(_residues(bits), "bucket int, low binary, k binary, i binary, s binary")
+    found = cut(rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_classes(bits, slot_bits, FREQUENT, VERY), "bucket int, part binary, node bigint, doc_id bigint, size int"))
+    packed = np.zeros(1 << (slot_bits - 2), dtype=np.uint8)
+    each = 1 << (slot_bits - 2 - bits)
+    for r in found.where("bucket is not null").select("bucket", "part").toLocalIterator():
+        packed[r["bucket"] * each : (r["bucket"] + 1) * each] = np.frombuffer(r["part"], dtype=np.uint8)
+    return found.where("bucket is null").select("doc_id", "node", "size").dropDuplicates(["doc_id", "node"]), packed, slot_bits
+
+
+# --- candidates ---------------------------------------------------------------------------------------------------
+
+
+def _indexer(shared, slot_bits: int, buckets: int):
     """Worker function: texts to (bucket, blob) rows, a blob holding set key, size and signatures of many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o: Order = order.value
+        packed = shared.value
         keys, sizes, sigs = [], [], []
 
         def flush():
             sig = np.concatenate(sigs)
             doc = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
             bucket = (sig % _U(buckets)).astype(np.int64)
-            by = np.lexsort((doc, bucket))
+            by = np.argsort(bucket, kind="stable")
             sig, doc, bucket = sig[by], doc[by], bucket[by]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             k, s = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int32)
@@ -205,27 +269,23 @@ def _indexer(order, buckets: int):
         held, seen = 0, set()
         for batch in batches:
             for _, piece in tc.pieces(tc.as_text(batch.column(0))):
-                for words, sets in _sets(piece):
-                    level = o.level(words.hashes)
-                    for i, shingles in enumerate(sets):
-                        if not len(shingles):
-                            continue
-                        lv = level[words.first[i] : words.first[i + 1]]
-                        n = len(lv) - len(shingles) + 1
-                        bound = lv[: len(shingles)].copy()
-                        for j in range(1, n):
-                            np.minimum(bound, lv[j : j + len(shingles)], out=bound)
-                        tokens, at = np.unique(shingles, return_index=True)
-                        key = set_key(tokens)
-                        if key in seen:
-                            continue
-                        seen.add(key)
-                        sig = signatures(tokens, bound[at], o.rare)
-                        keys.append(key)
-                        sizes.append(len(tokens))
+                t, first = token_sets(piece)
+                level = levels(packed, slot_bits, t)
+                key = set_keys(t, first)
+                own = np.concatenate([[0], np.cumsum(level == 0)])
+                for i in range(len(piece)):
+                    a, b = int(first[i]), int(first[i + 1])
+                    size = b - a
+                    if not size or own[b] - own[a] >= missing(size) + _need(size) or int(key[i]) in seen:
+                        continue
+                    sig = signatures(t[a:b], level[a:b])
+                    if len(sig):
+                        seen.add(int(key[i]))
+                        keys.append(key[i])
+                        sizes.append(size)
                         sigs.append(sig)
                         held += len(sig)
-                if held > 1_500_000:
+                if held > 300_000:
                     yield flush()
                     keys, sizes, sigs, held, seen = [], [], [], 0, set()
         if sigs:
@@ -268,8 +328,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, size, sig = key[shared], size[shared], sig[shared]
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
     ends = np.repeat(np.append(starts[1:], len(sig)), np.diff(np.append(starts, len(sig)))) if len(sig) else starts
-    need = np.maximum(1, np.minimum(8, size // 24))
-    left = np.array([], dtype=np.int64)
+    need = np.maximum(1, np.minimum(4, size // 32))
 
     def batch_of(a, b, need_a):
         lo, hi = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
@@ -280,9 +339,10 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.array(n.astype(np.int32)), pa.array(need_a[new].astype(np.int32))], names=["a", "b", "shared", "need"])
 
     rows = ends - np.arange(len(sig)) - 1
+    upto = np.cumsum(rows)
     at = 0
     while at < len(sig):
-        stop = max(at + 1, int(np.searchsorted(np.cumsum(rows[at:]), 2_000_000)) + at)
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000)))
         n = rows[at:stop]
         a = np.repeat(np.arange(at, stop), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
@@ -291,58 +351,73 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = a[ok], b[ok]
             yield batch_of(a, b, np.minimum(need[a], need[b]))
         at = stop
-    del left
-
-
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (key of the token set) and size of each document that has words."""
-
-    def key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for text in batches:
-            keys, sizes = [], []
-            for _, piece in tc.pieces(tc.as_text(text)):
-                for _, sets in _sets(piece):
-                    for s in sets:
-                        t = token_set(s)
-                        keys.append(set_key(t) if len(t) else None)
-                        sizes.append(len(t))
-            yield pa.StructArray.from_arrays([pa.array(keys, type=pa.int64()), pa.array(sizes, type=pa.int32())], names=["node", "size"])
 
-    udf = F.arrow_udf(key, "struct<node bigint, size int>")
-    return docs.select(F.col("doc_id"), udf(F.col("text")).alias("k")).select("doc_id", "k.node", "k.size").where("node is not null and doc_id is not null")
 
-
-def candidates(docs: DataFrame, order: Order) -> DataFrame:
+def candidates(docs: DataFrame, packed: np.ndarray, slot_bits: int) -> DataFrame:
     """Pairs (a < b) of nodes that share as many prefix combinations as they must."""
     spark = docs.sparkSession
-    buckets = max(partitions(spark), 1)
-    blobs = docs.select("text").where("text is not null and doc_id is not null").mapInArrow(_indexer(spark.sparkContext.broadcast(order), buckets), "bucket int, blob binary")
+    # A near pair shares many entries; fewer buckets than partitions mean fewer rows for it.
+    buckets = max(4, partitions(spark) // 4)
+    blobs = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(_indexer(spark.sparkContext.broadcast(packed), slot_bits, buckets), "bucket int, blob binary")
     found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_pair_counts, "a bigint, b bigint, shared int, need int")
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
 
 
+# --- verification -------------------------------------------------------------------------------------------------
+
+
+def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[a[i]] and sets[b[i]]."""
+    if len(a) < 8 * len(sets) or len(sets) > 2048:
+        out = np.zeros(len(a), dtype=np.int64)
+        for n, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+            out[n] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+        return out
+    # Many pairs of few sets: products of 0/1 matrices over the tokens that two sets have, some thousand columns at a time.
+    every = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    token, col, n = np.unique(every, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    keep = n[col] > 1
+    doc, col = doc[keep], place[col[keep]]
+    by = np.argsort(col, kind="stable")
+    doc, col = doc[by], col[by]
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int((n > 1).sum()), 2048):
+        s, e = np.searchsorted(col, (lo, lo + 2048))
+        x = np.zeros((len(sets), 2048), dtype=np.float32)
+        x[doc[s:e], col[s:e] - lo] = 1
+        total += x @ x.T
+    return total[a, b].astype(np.int64)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one or more clusters, sorted by cluster: sets first (kind 0), then pairs (kind 1)."""
-    sets: dict[int, np.ndarray] = {}
-    cluster = None
+    """Rows sorted by cluster and, within it, sets (kind 0) before pairs (kind 1), to the pairs that are near."""
+    cluster, sets, place, pairs = None, [], {}, []
+
+    def close():
+        a, b = (np.array(c, dtype=np.int64) for c in zip(*pairs))
+        i, j = (np.array([place[k] for k in c.tolist()], dtype=np.int64) for c in (a, b))
+        both = _overlaps(sets, i, j)
+        size = np.array([len(s) for s in sets])
+        union = size[i] + size[j] - both
+        ok = both >= THRESHOLD * union - 1e-9
+        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(both[ok] / union[ok])], names=["a", "b", "jaccard"])
+
     for batch in batches:
-        out_a, out_b, out_j = [], [], []
-        for c, kind, a, b, blob in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for c, kind, a, b, blob in zip(*(batch.column(k).to_pylist() for k in range(5))):
             if c != cluster:
-                cluster, sets = c, {}
+                if pairs:
+                    yield close()
+                cluster, sets, place, pairs = c, [], {}, []
             if kind == 0:
-                sets[a] = np.frombuffer(blob, dtype=np.uint64)
-                continue
-            x, y = sets[a], sets[b]
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9:
-                out_a.append(a)
-                out_b.append(b)
-                out_j.append(both / (len(x) + len(y) - both))
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b), pa.array(out_j)], names=["a", "b", "jaccard"])
+                place[a] = len(sets)
+                sets.append(np.frombuffer(blob, dtype=np.uint64))
+            else:
+                pairs.append((a, b))
+    if pairs:
+        yield close()
 
 
 def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -361,10 +436,17 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
 
     def blob(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
-            yield pa.array([token_set(s).tobytes() for _, piece in tc.pieces(tc.as_text(text)) for _, sets in _sets(piece) for s in sets], type=pa.binary())
-
-    udf = F.arrow_udf(blob, "binary")
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(broadcast_if_small(wanted, 64), "_id").select("node", "clusters", udf("text").alias("blob"))
+            keys, sets = [np.zeros(0, dtype=np.int64)], []
+            for _, piece in tc.pieces(tc.as_text(text)):
+                t, first = token_sets(piece)
+                keys.append(set_keys(t, first))
+                sets += [t[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(sets, type=pa.binary())], names=["key", "blob"])
+
+    udf = F.arrow_udf(blob, "struct<key bigint, blob binary>")
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(broadcast_if_small(wanted, 64), "_id").select("node", "clusters", udf("text").alias("s"))
+    # An id with several texts brings each of them; only the node's own counts.
+    texts = texts.where("s.key = node").select("node", "clusters", "s.blob")
     sets = texts.select(F.explode("clusters").alias("cluster"), F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("bigint").alias("b"), "blob")
     rows = sets.unionByName(blocked.select("cluster", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("blob")))
     rows = rows.select("cluster", "kind", "a", "b", "blob").repartition(partitions(spark), "cluster").sortWithinPartitions("cluster", "kind")
@@ -374,8 +456,8 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
 def join_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, node, size; node pairs: a, b, jaccard) — the join without expanding equal documents."""
     docs = docs.select("doc_id", "text")
-    members = cut(nodes(docs).dropDuplicates(["doc_id", "node"]))
-    pairs = cut(candidates(docs, order_of(docs)))
+    members, packed, slot_bits = frequencies(docs)
+    pairs = cut(candidates(docs, packed, slot_bits))
     return members, cut(verified(docs, members, pairs))
 
 
