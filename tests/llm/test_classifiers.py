@@ -5,7 +5,6 @@ import pytest
 
 from tests.llm.conftest import LONG
 from threadloom.llm import language, quality, textcore, toxicity
-from threadloom.llm.quality import labelled_sample
 
 D = "/root/testdata/sf0.1"
 
@@ -87,7 +86,7 @@ def test_stages_keep_rows_and_columns(docs):
 def test_nothing_to_learn_from(docs, spark):
     none = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
     d = docs([(1, "some words", None), (2, "more words", None)])
-    q = quality.fit(labelled_sample(d, none, "quality", 100, 1))
+    q = quality.fit_on(d, none)
     assert [r["quality"] for r in quality.classify(d, q).collect()] == [None, None]
     x = toxicity.fit_on(d, none)
     assert toxicity.keep_clean(d, x).count() == 2 and [r["toxic"] for r in toxicity.classify(d, x).collect()] == [None, None]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,5 +56,18 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def fit_in_task(sample: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """``fit`` of the rows of ``sample`` (a bounded sample, brought together in one task) in an executor; what it returns is pickled back.
+
+    The driver holds neither the texts nor the features, and a lost executor costs a retry.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else fit([])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

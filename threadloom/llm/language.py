@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import table
+from threadloom.llm.common import fit_in_task, table
 from threadloom.llm.subword import gram_buckets, padded
 
 BITS, ORDERS = 12, (2, 3)
@@ -114,16 +114,15 @@ def fit_on(docs: DataFrame) -> LanguageModel:
     """Fit on at most ``TRAIN_ROWS_EACH`` rows of each declared language, picked by a hash of the id over the whole table."""
     keys = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_l")).where("_id is not null and _l is not null")
     langs = [r["_l"] for r in keys.select("_l").distinct().collect()]
-    rows = []
-    if langs:
-        chosen = None
-        for lang in sorted(langs):
-            one = keys.where(F.col("_l") == lang).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(TRAIN_ROWS_EACH)
-            chosen = one if chosen is None else chosen.unionByName(one)
-        chosen = chosen.select("_id").distinct()
-        got = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t"), F.col("lang").alias("_l")).where("_t is not null and _l is not null").join(F.broadcast(chosen), "_id")
-        rows = sorted(got.dropDuplicates(["_id"]).toArrow().to_pylist(), key=lambda r: r["_id"])
-    return fit([(r["_t"], r["_l"]) for r in rows])
+    if not langs:
+        return fit([])
+    chosen = None
+    for lang in sorted(langs):
+        one = keys.where(F.col("_l") == lang).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(TRAIN_ROWS_EACH)
+        chosen = one if chosen is None else chosen.unionByName(one)
+    chosen = chosen.select("_id").distinct()
+    sample = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t"), F.col("lang").alias("_l")).where("_t is not null and _l is not null").join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    return fit_in_task(sample, lambda rows: fit([(r["_t"], r["_l"]) for r in sorted(rows, key=lambda r: r["_id"])]))
 
 
 def _verdict(docs: DataFrame, model: LanguageModel):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import table
+from threadloom.llm.common import fit_in_task, table
 from threadloom.llm.subword import BagModel, gram_buckets, padded, sigmoid, tokens
 
 BITS, DIM, ORDERS = 18, 16, (3, 4)
@@ -19,14 +19,17 @@ TRAIN_ROWS = 4000
 EPOCHS, RATE, SEED = 4, 0.05, 7
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled documents, half of them of the rarer class if it has as many, picked by a hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
+    """_id, _t (text) and _y (label) of at most ``rows`` labelled documents, half of them of the rarer class if it has as many, picked by a hash of the id."""
     lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     pick = lambda y, n: lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(n)
     chosen = pick(0, rows // 2).unionByName(pick(1, rows // 2))
-    found = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where("_t is not null").join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").dropDuplicates(["_id"])
-    got = sorted(found.toArrow().to_pylist(), key=lambda r: r["_id"])
-    return [(r["_t"], r["_y"]) for r in got]
+    return docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where("_t is not null").join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").dropDuplicates(["_id"])
+
+
+def training_rows(rows: list[dict]) -> list[tuple[str, int]]:
+    """(text, label) in the order of the ids."""
+    return [(r["_t"], r["_y"]) for r in sorted(rows, key=lambda r: r["_id"])]
 
 
 def _features(arr: pa.Array):
@@ -45,7 +48,7 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         feats = list(_features(piece))
         for i in range(len(piece)):
             idx, n = np.unique(np.concatenate([f[r[i] : r[i + 1]] for f, r in feats]), return_counts=True)
-            out.append((idx, (n / max(1, n.sum())).astype(np.float32)))
+            out.append((idx.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -113,7 +116,11 @@ def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
     return scored.select("doc_id", "quality_score", F.when(F.col("quality_score") >= 0.5, 1).when(F.col("quality_score") < 0.5, 0).alias("quality"))
 
 
+def fit_on(docs: DataFrame, labels: DataFrame) -> QualityModel:
+    return fit_in_task(labelled_sample(docs, labels, "quality", TRAIN_ROWS, SEED), lambda rows: fit(training_rows(rows)))
+
+
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, scored by a model fitted on ``labels``."""
     docs = table(spark, sf_dir, "documents")
-    return classify(docs, fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", TRAIN_ROWS, SEED)))
+    return classify(docs, fit_on(docs, table(spark, sf_dir, "labels")))

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import table
-from threadloom.llm.quality import labelled_sample
+from threadloom.llm.common import fit_in_task, table
+from threadloom.llm.quality import labelled_sample, training_rows
 from threadloom.llm.subword import BagModel, gram_buckets, padded, sigmoid, tokens
 
 BITS, DIM, ORDERS, WINDOW = 18, 16, (3, 4, 5), 2
@@ -86,7 +86,8 @@ class _Words:
 
     def __init__(self, text: str):
         arr = tc.as_text(pa.array([text], type=pa.large_string()))
-        self.first, self.kinds = word_features(arr)
+        self.first, kinds = word_features(arr)
+        self.kinds = [(bucket.astype(np.int32), first.astype(np.int32)) for bucket, first in kinds]
         self.n = int(self.first[-1])
         b, _ = padded(arr, lower=True, words_only=True)
         self.bytes, self.spans = b.tobytes(), tokens(b)
@@ -190,7 +191,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return fit(labelled_sample(docs, labels, "toxic", TRAIN_ROWS, SEED))
+    return fit_in_task(labelled_sample(docs, labels, "toxic", TRAIN_ROWS, SEED), lambda rows: fit(training_rows(rows)))
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
