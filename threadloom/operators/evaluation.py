@@ -22,6 +22,18 @@ def liberal(pred: Column) -> Column:
     return F.when(pred == 0, POSITIVE).otherwise(pred)
 
 
+def with_labels(predictions: DataFrame, labels: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(predictions that have a label, joined with it; one row with the numbers of labels and of labels without a prediction)."""
+    joined = predictions.join(labels, key)
+    missing = labels.join(predictions.select(key), key, "left_anti").agg(F.count("*").alias("unmatched"))
+    return joined, labels.agg(F.count("*").alias("labels")).crossJoin(missing)
+
+
+def shares(df: DataFrame, by: str, flag: Column) -> DataFrame:
+    """n and the percentage of rows with ``flag``, by group."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), (F.avg(flag.cast("int")) * 100).alias("percent"))
+
+
 def confusion(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """tp, fn, fp, tn (of the positive class) in all or for each group."""
     t, p = F.col(truth), F.col(pred)

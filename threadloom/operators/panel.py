@@ -114,3 +114,10 @@ def odds_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
     fit = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="target", maxIter=100, tol=1e-10).fit(rows)
     data = [(c, float(b), math.exp(b), float(p)) for c, b, p in zip(columns, fit.coefficients, fit.summary.pValues)]
     return df.sparkSession.createDataFrame(data, "feature string, coefficient double, odds_ratio double, p_value double").orderBy(F.desc("odds_ratio"), "feature")
+
+
+def model_report(df: DataFrame, market: list[str], topics: list[str], names: dict[str, str] | None = None, folds: int = FOLDS) -> dict:
+    """Everything a result file holds: days, the scores of the three feature sets, the improvement, and the odds ratios with labels."""
+    out = compare(df, market, topics, folds)
+    rows = [r.asDict() | {"label": (names or {}).get(r["feature"], r["feature"])} for r in odds_ratios(df, topics[1:] + market).collect()]
+    return {"n_days": df.count(), **out, "odds_ratios": rows}

@@ -50,6 +50,12 @@ def thread_chunks(df: DataFrame, thread: str, position: str, message: str, size:
     return rows.groupBy(thread, "chunk_id").agg(F.count("*").alias("n_messages_in_chunk"), joined.alias("chunk_comments"), *extra)
 
 
+def multi_chunk(chunks: DataFrame, thread: str = "submission_id") -> DataFrame:
+    """The chunks of threads that have more than one."""
+    many = chunks.groupBy(thread).count().where("count > 1").select(thread)
+    return chunks.join(many, thread, "left_semi")
+
+
 def fold_threads(chunks: DataFrame, step: Callable[[str | None, pd.Series], str], thread: str = "submission_id", order: str = "chunk_id", name: str = "state") -> DataFrame:
     """Fold ``step`` (previous state, chunk row) -> state along each thread's chunks, for steps that only Python can take (models).
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ def tokens(c: Column, stop: set[str] | None = None, least: int = 3) -> Column:
     return F.filter(found, lambda w: ~w.isin(*drop)) if drop else found
 
 
+def model_tokens(load: Callable[[], Callable[[list[str]], list[list[str]]]]) -> Callable[[Column], Column]:
+    """A tokenizer from a model (lemmas, parts of speech): ``load`` runs once a worker, its result takes texts in batches."""
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield pd.Series(model(texts.fillna("").str.replace("[SEP]", " ", regex=False).tolist()))
+
+    return split
+
+
 def document_frequency(docs: DataFrame, column: str = "tokens") -> DataFrame:
     """token and df."""
     return docs.select(F.explode(F.array_distinct(column)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
@@ -92,6 +105,17 @@ def vocabulary(docs: DataFrame, column: str = "tokens", no_below: int = NO_BELOW
     return CountVectorizer(inputCol=column, outputCol="bow", minDF=float(no_below), maxDF=float(no_above)).fit(docs)
 
 
+def save_corpus(bow: DataFrame, vocab: CountVectorizerModel, path: str) -> None:
+    """Counts and vocabulary under one folder."""
+    vocab.write().overwrite().save(f"{path}/vocabulary")
+    bow.write.mode("overwrite").parquet(f"{path}/bow")
+
+
+def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, CountVectorizerModel]:
+    """What :func:`save_corpus` wrote; an error if any of it is missing."""
+    return spark.read.parquet(f"{path}/bow"), CountVectorizerModel.load(f"{path}/vocabulary")
+
+
 def expand_bow(bow: DataFrame, words: list[str], column: str = "bow") -> DataFrame:
     """Tokens back from counts, in vocabulary order."""
     names = F.array(*map(F.lit, words))
@@ -219,6 +243,21 @@ def best_k(rows: DataFrame, score: str = "coherence_cv") -> DataFrame:
     return rows.agg(F.max_by("K", score).alias("K"))
 
 
+def ranked(df: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group in ``order``, with their rank from 1."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col(name) <= k)
+
+
+def by_stock(panel: DataFrame, k: int, stock: str = "stock") -> DataFrame:
+    """Mean and sample deviation of each topic's share, by stock."""
+    return panel.groupBy(stock).agg(*[x for i in range(k) for x in (F.avg(f"topic_{i}").alias(f"mean_{i}"), F.stddev_samp(f"topic_{i}").alias(f"std_{i}"))])
+
+
+def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
+    """bin (1 to ``bins``; 0 and bins + 1 outside) and n."""
+    return df.groupBy(F.expr(f"width_bucket(cast({column} as double), {low}, {high}, {bins})").alias("bin")).agg(F.count("*").alias("n"))
+
+
 def dominant_topic(panel: DataFrame, k: int) -> DataFrame:
     """``panel`` with dominant_topic, the first of the greatest."""
     a = F.array(*[F.col(f"topic_{i}") for i in range(k)])

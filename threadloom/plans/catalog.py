@@ -585,3 +585,83 @@ def _(t):
     text = F.concat(F.lit('answer {"k": '), F.col("props"))
     found = tx.last_flat_json(text)
     return t("events").select("event_id", found.alias("found"), F.get_json_object(found, "$.k").try_cast("bigint").alias("k"))
+
+
+# --- more ---------------------------------------------------------------------------------------------------------
+
+
+@query("q59_multi_chunk_threads", "SELECT conv_id, chunk_id, n_messages_in_chunk FROM (SELECT conv_id, (turn // 3)::INT AS chunk_id, count(*) AS n_messages_in_chunk FROM conversations GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY conv_id) > 1")
+def _(t):
+    c = threads.thread_chunks(t("conversations").withColumn("p", F.col("turn") + 1), "conv_id", "p", "text", 3)
+    return threads.multi_chunk(c, "conv_id").select("conv_id", "chunk_id", "n_messages_in_chunk")
+
+
+@query("q60_labels_without_prediction", "SELECT (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')) AS unmatched")
+def _(t):
+    return evaluation.with_labels(t("documents").where("lang = 'en'").select("doc_id"), t("labels"), "doc_id")[1]
+
+
+@query("q61_conditional_share", "SELECT lang, count(*) AS n, round(avg((quality = 1)::INT) * 100, 6) AS percent FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def _(t):
+    joined, _ = evaluation.with_labels(t("documents").select("doc_id", "lang"), t("labels"), "doc_id")
+    return evaluation.shares(joined, "lang", F.col("quality") == 1).withColumn("percent", F.round("percent", 6))
+
+
+@query("q62_top_words_per_group", f"SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word)::INT AS rank FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({_TOKENS}) AS word FROM documents) GROUP BY lang, word) QUALIFY rank <= 20")
+def _(t):
+    n = _tokenized(t).select("lang", F.explode("tokens").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return topics.ranked(n, "lang", [F.desc("n"), "word"], 20)
+
+
+@query("q63_argmax", "SELECT user_id, arg_max(event_type, (value, event_id)) AS event_type FROM events GROUP BY user_id")
+def _(t):
+    return t("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("value", "event_id")).alias("event_type"))
+
+
+_LOOSE = "CASE event_id % 5 WHEN 0 THEN 'x' || event_id WHEN 1 THEN NULL ELSE event_id::VARCHAR END"
+
+
+@query("q64_coerced_cast", f"SELECT event_id, try_cast({_LOOSE} AS BIGINT) AS n, coalesce(try_cast({_LOOSE} AS BIGINT), 1) AS filled FROM events")
+def _(t):
+    c = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).when(F.col("event_id") % 5 != 1, F.col("event_id").cast("string"))
+    n = c.try_cast("bigint")
+    return t("events").select("event_id", n.alias("n"), F.coalesce(n, F.lit(1)).cast("bigint").alias("filled"))
+
+
+@query("q65_permalink", "SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'https://forum.example/x' WHEN conv_id % 4 = 0 THEN '' ELSE 'https://forum.example/comments/' || conv_id || '/_/' || turn END AS link FROM conversations")
+def _(t):
+    thread = F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("t3_"), F.col("conv_id").cast("string")))
+    have = F.when(F.col("turn") == 1, "https://forum.example/x")
+    return t("conversations").select("conv_id", "turn", tx.permalink(have, F.col("turn").cast("string"), thread, "https://forum.example", False).alias("link"))
+
+
+@query("q66_summary_text", """
+SELECT event_id, '[thread_topic]: ' || CASE WHEN trim(topic) = '' THEN 'unclear' ELSE trim(topic) END || chr(10) || '[financial_angle]: ' || CASE WHEN event_type = 'view' THEN 'earnings' ELSE 'unclear' END || chr(10)
+  || '[conversation_character]: ' || CASE WHEN event_type = 'click' THEN 'reactive' ELSE 'unclear' END || chr(10) || '[brief_summary]: unclear' AS summary
+FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN '  ' ELSE ' about ' || user_id || ' ' END AS topic FROM events)""")
+def _(t):
+    topic = F.when(F.col("event_id") % 3 == 0, "  ").otherwise(F.concat(F.lit(" about "), F.col("user_id").cast("string"), F.lit(" ")))
+    fields = {"thread_topic": topic, "financial_angle": F.when(F.col("event_type") == "view", "earnings").otherwise("hype"), "conversation_character": F.when(F.col("event_type") == "click", "reactive")}
+    return t("events").select("event_id", tx.summary_text(tx.normalized_summary(fields)).alias("summary"))
+
+
+@query("q67_group_sizes", "SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
+def _(t):
+    return t("events").groupBy("user_id").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+@query("q68_ingest_counters", "SELECT count(*) AS seen, count_if(lower(event_type) <> 'click')::BIGINT AS skipped_subreddit, count_if(lower(event_type) = 'click' AND NOT ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-12')::BIGINT AS skipped_period, count_if(lower(event_type) = 'click' AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-12')::BIGINT AS passed FROM events")
+def _(t):
+    e = t("events").select(F.col("event_type").alias("subreddit"), F.unix_timestamp("ts").alias("created_utc"))
+    return matching.ingest_counters(e, "Click", "2024-01-05", "2024-01-12")
+
+
+@query("q69_bar_histogram", "SELECT (CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 41 ELSE floor(value / 2.5) + 1 END)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL")
+def _(t):
+    return topics.histogram(t("events"), "value", 40, 0.0, 100.0)
+
+
+@query("q70_npmi_pairs")
+def _(t):
+    d = _tokenized(t)
+    return topics.npmi_pairs(d, _topic_words(d.sparkSession), 4, 10)
