@@ -228,8 +228,8 @@ def frequencies(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     slot_bits = min(_SLOT_BITS[1], max(_SLOT_BITS[0], int(np.ceil(np.log2(chars / 12 + 1)))))
     bits = min(slot_bits - 2, max(0, int(np.ceil(np.log2(partitions(spark))))))
-    rows = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(_residues(bits), "bucket int, low binary, k binary, i binary, s binary")
-    found = cut(rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_classes(bits, slot_bits, FREQUENT, VERY), "bucket int, part binary, node bigint, doc_id bigint, size int"))
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(tc.releasing(_residues(bits)), "bucket int, low binary, k binary, i binary, s binary")
+    found = cut(rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(tc.releasing(_classes(bits, slot_bits, FREQUENT, VERY)), "bucket int, part binary, node bigint, doc_id bigint, size int"))
     packed = np.zeros(1 << (slot_bits - 2), dtype=np.uint8)
     each = 1 << (slot_bits - 2 - bits)
     for r in found.where("bucket is not null").select("bucket", "part").toLocalIterator():
@@ -328,38 +328,54 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, size, sig = key[shared], size[shared], sig[shared]
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
     ends = np.repeat(np.append(starts[1:], len(sig)), np.diff(np.append(starts, len(sig)))) if len(sig) else starts
-    need = np.maximum(1, np.minimum(4, size // 32))
-
-    def batch_of(a, b, need_a):
-        lo, hi = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
-        o = np.lexsort((hi, lo))
-        lo, hi, need_a = lo[o], hi[o], need_a[o]
-        new = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        n = np.diff(np.append(new, len(lo)))
-        return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.array(n.astype(np.int32)), pa.array(need_a[new].astype(np.int32))], names=["a", "b", "shared", "need"])
+    names, node = np.unique(key, return_inverse=True)
+    node_size = np.zeros(len(names), dtype=np.int64)
+    node_size[node] = size
+    node = node.astype(np.uint64)
+    held, total = [], (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+    def merged():
+        code = np.concatenate([total[0], *held])
+        n = np.concatenate([total[1], np.ones(len(code) - len(total[0]), dtype=np.int64)])
+        by = np.argsort(code)
+        code, n = code[by], n[by]
+        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, dtype=np.int64)
+        return code[new], np.add.reduceat(n, new) if len(new) else n
+
+    def rows_of(code, n):
+        for lo in range(0, len(code), 100_000):
+            i, j = (code[lo : lo + 100_000] >> _U(32)).astype(np.int64), (code[lo : lo + 100_000] & _U(0xFFFFFFFF)).astype(np.int64)
+            need = np.maximum(1, np.minimum(4, np.minimum(node_size[i], node_size[j]) // 32))
+            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j]), pa.array(n[lo : lo + 100_000].astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "shared", "need"])
 
     rows = ends - np.arange(len(sig)) - 1
     upto = np.cumsum(rows)
-    at = 0
+    at = fresh = 0
     while at < len(sig):
-        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000)))
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 500_000)))
         n = rows[at:stop]
-        a = np.repeat(np.arange(at, stop), n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        ok = size[a] >= np.ceil(THRESHOLD * size[b] - 1e-9)
-        if ok.any():
-            a, b = a[ok], b[ok]
-            yield batch_of(a, b, np.minimum(need[a], need[b]))
+        x = np.repeat(np.arange(at, stop), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        ok = size[x] >= np.ceil(THRESHOLD * size[y] - 1e-9)
+        i, j = node[x[ok]], node[y[ok]]
+        held.append((np.minimum(i, j) << _U(32)) | np.maximum(i, j))
+        fresh += len(i)
         at = stop
+        if fresh > 2_000_000:
+            total, held, fresh = merged(), [], 0
+            if len(total[0]) > 4_000_000:
+                yield from rows_of(*total)
+                total = (total[0][:0], total[1][:0])
+    yield from rows_of(*merged())
 
 
-def candidates(docs: DataFrame, packed: np.ndarray, slot_bits: int) -> DataFrame:
-    """Pairs (a < b) of nodes that share as many prefix combinations as they must."""
+def candidates(docs: DataFrame, shared, slot_bits: int) -> DataFrame:
+    """Pairs (a < b) of nodes that share as many prefix combinations as they must; ``shared`` is the class table, broadcast."""
     spark = docs.sparkSession
     # A near pair shares many entries; fewer buckets than partitions mean fewer rows for it.
-    buckets = max(4, partitions(spark) // 4)
-    blobs = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(_indexer(spark.sparkContext.broadcast(packed), slot_bits, buckets), "bucket int, blob binary")
-    found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_pair_counts, "a bigint, b bigint, shared int, need int")
+    buckets = max(4, partitions(spark) // 8)
+    blobs = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(tc.releasing(_indexer(shared, slot_bits, buckets)), "bucket int, blob binary")
+    found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_pair_counts), "a bigint, b bigint, shared int, need int")
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
 
 
@@ -372,7 +388,7 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
         out = np.zeros(len(a), dtype=np.int64)
         for n, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
             x, y = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
-            out[n] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+            out[n] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum() if len(y) else 0
         return out
     # Many pairs of few sets: products of 0/1 matrices over the tokens that two sets have, some thousand columns at a time.
     every = np.concatenate(sets)
@@ -394,13 +410,13 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cluster and, within it, sets (kind 0) before pairs (kind 1), to the pairs that are near."""
-    cluster, sets, place, pairs = None, [], {}, []
+    cluster, sets, place, pairs, sizes = None, [], {}, [], []
 
     def close():
         a, b = (np.array(c, dtype=np.int64) for c in zip(*pairs))
         i, j = (np.array([place[k] for k in c.tolist()], dtype=np.int64) for c in (a, b))
         both = _overlaps(sets, i, j)
-        size = np.array([len(s) for s in sets])
+        size = np.array(sizes)
         union = size[i] + size[j] - both
         ok = both >= THRESHOLD * union - 1e-9
         return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(both[ok] / union[ok])], names=["a", "b", "jaccard"])
@@ -410,17 +426,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if c != cluster:
                 if pairs:
                     yield close()
-                cluster, sets, place, pairs = c, [], {}, []
+                cluster, sets, place, pairs, sizes = c, [], {}, [], []
             if kind == 0:
                 place[a] = len(sets)
-                sets.append(np.frombuffer(blob, dtype=np.uint64))
+                token = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+                token[:, 2:] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+                sets.append(token.view(np.uint64).ravel())
+                sizes.append(b)
             else:
                 pairs.append((a, b))
     if pairs:
         yield close()
 
 
-def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, shared, slot_bits: int) -> DataFrame:
     """The candidate ``pairs`` whose Jaccard similarity reaches the threshold: a, b, jaccard."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
@@ -436,29 +455,36 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
 
     def blob(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
-            keys, sets = [np.zeros(0, dtype=np.int64)], []
+            keys, sets, sizes = [np.zeros(0, dtype=np.int64)], [], []
             for _, piece in tc.pieces(tc.as_text(text)):
                 t, first = token_sets(piece)
                 keys.append(set_keys(t, first))
-                sets += [t[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(sets, type=pa.binary())], names=["key", "blob"])
-
-    udf = F.arrow_udf(blob, "struct<key bigint, blob binary>")
+                # Tokens of no other document can't be in an intersection; of the rest 6 bytes tell them apart within a cluster.
+                kept = levels(shared.value, slot_bits, t) > 0
+                at = np.concatenate([[0], np.cumsum(kept)])[first]
+                low = np.ascontiguousarray(t[kept].view(np.uint8).reshape(-1, 8)[:, 2:])
+                sizes += np.diff(first).tolist()
+                sets += [low[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(sets, type=pa.binary()), pa.array(sizes, type=pa.int64())], names=["key", "blob", "size"])
+        tc.release()
+
+    udf = F.arrow_udf(blob, "struct<key bigint, blob binary, size bigint>")
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(broadcast_if_small(wanted, 64), "_id").select("node", "clusters", udf("text").alias("s"))
     # An id with several texts brings each of them; only the node's own counts.
-    texts = texts.where("s.key = node").select("node", "clusters", "s.blob")
-    sets = texts.select(F.explode("clusters").alias("cluster"), F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("bigint").alias("b"), "blob")
+    texts = texts.where("s.key = node").select("node", "clusters", "s.blob", "s.size")
+    sets = texts.select(F.explode("clusters").alias("cluster"), F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("size").alias("b"), "blob")
     rows = sets.unionByName(blocked.select("cluster", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("blob")))
     rows = rows.select("cluster", "kind", "a", "b", "blob").repartition(partitions(spark), "cluster").sortWithinPartitions("cluster", "kind")
-    return rows.mapInArrow(_verify, "a bigint, b bigint, jaccard double").dropDuplicates(["a", "b"])
+    return rows.mapInArrow(tc.releasing(_verify), "a bigint, b bigint, jaccard double").dropDuplicates(["a", "b"])
 
 
 def join_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, node, size; node pairs: a, b, jaccard) — the join without expanding equal documents."""
     docs = docs.select("doc_id", "text")
     members, packed, slot_bits = frequencies(docs)
-    pairs = cut(candidates(docs, packed, slot_bits))
-    return members, cut(verified(docs, members, pairs))
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    pairs = cut(candidates(docs, shared, slot_bits))
+    return members, cut(verified(docs, members, pairs, shared, slot_bits))
 
 
 def near_pairs(docs: DataFrame) -> DataFrame:

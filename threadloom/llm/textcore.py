@@ -12,7 +12,8 @@ split, so a longer one forms a piece by itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,27 @@ def pieces(arr: pa.Array, limit: int = 0) -> Iterator[tuple[int, pa.Array]]:
         i = j
 
 
+def release() -> None:
+    """Give free memory back to the system: a worker lives on for other tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task``, after which memory is released."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Words:
     """The words of a piece: byte spans, hashes, and each document's range of words."""
 
