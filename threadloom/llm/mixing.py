@@ -34,6 +34,70 @@ def _uniform(doc_id: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
+def _measure() -> Column:
+    size = F.greatest(F.lit(0), F.coalesce(F.col("n_chars"), F.lit(0))).cast("double")
+    return F.greatest(F.lit(1), F.floor(F.sqrt(size))).cast("bigint")
+
+
+def _ids(docs: DataFrame) -> DataFrame:
+    """doc_id, source and m, a row a document."""
+    ids = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), _measure().alias("m")).where("doc_id is not null")
+    return cut(ids.groupBy("doc_id").agg(F.max(F.struct("m", "source")).alias("s")).select("doc_id", "s.source", "s.m"))
+
+
+def _quotas(ids: DataFrame, weights: DataFrame | None, total_share: float) -> DataFrame:
+    """_s (source), _sum (its measure) and _n (its places)."""
+    per = ids.groupBy("source").agg(F.count("*").alias("docs"), F.sum("m").alias("_sum"))
+    every = per.agg(F.sum("docs").alias("all_docs"))
+    if weights is None:
+        size = F.col("docs").cast("double")
+        per = per.withColumn("w", F.sqrt(size) if TEMPERATURE == 0.5 else F.pow(size, F.lit(TEMPERATURE)))
+    else:
+        w = weights.select(F.col("source").alias("_w"), F.col("weight").cast("double").alias("w")).where("w > 0")
+        per = per.join(w, per["source"].eqNullSafe(F.col("_w"))).drop("_w")
+    # Weights are made integers, so that their sum doesn't depend on the order of addition.
+    per = per.withColumn("w", F.round(F.col("w") * 1000000).cast("bigint"))
+    sums = per.agg(F.sum("w").alias("all_w")).crossJoin(every)
+    share = F.col("all_docs").cast("double") * F.lit(total_share) * F.col("w").cast("double") / F.col("all_w").cast("double")
+    return cut(per.crossJoin(F.broadcast(sums)).select(F.col("source").alias("_s"), "_sum", F.floor(share + F.lit(0.5)).cast("bigint").alias("_n")))
+
+
+def _expected(n: Column, m: Column, total: Column, doc_id: Column) -> Column:
+    """Struct of the whole copies, the odds ratio q of the rest (NULL without a rest) and its bin."""
+    p = ((n * m) % total).cast("double") / total.cast("double")
+    u = _uniform(doc_id)
+    q = F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    return F.struct(F.floor((n * m - (n * m) % total) / total).cast("bigint").alias("whole"), q.alias("q"), F.floor(q / (1 + q) * _BINS).cast("int").alias("bin"))
+
+
+def _last_places(each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_t (source) and _last, the bin in which its last place falls; _won, the ids of that bin that get one)."""
+    bins = each.groupBy("source", "x.bin").agg(F.count("*").alias("c"), F.sum("x.whole").alias("w"), F.max("_n").alias("n"))
+    by = W.partitionBy("source")
+    left = F.max("n").over(by) - F.sum("w").over(by)
+    before = F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("c"))).over(by.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = bins.select(F.col("source").alias("_t"), F.col("bin").alias("_last"), "c", left.alias("left"), before.alias("before")).where("_last is not null and before < left and before + c >= left")
+    last = cut(last.select("_t", "_last", (F.col("left") - F.col("before")).alias("_places")))
+    edge = each.join(broadcast_if_small(last, 200), each["source"].eqNullSafe(F.col("_t")) & (F.col("x.bin") == F.col("_last")))
+    won = edge.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("x.q", "doc_id"))).where(F.col("r") <= F.col("_places")).select(F.col("doc_id").alias("_won"))
+    return last.select("_t", "_last"), cut(won)
+
+
+def _copies(rows: DataFrame, doc_id: Column, source: Column, m: Column, quotas: DataFrame, last: DataFrame, won: DataFrame) -> DataFrame:
+    """``rows`` with _copies; the tables joined are a row a source, and the few ids of the sources' last bins."""
+    out = rows.join(broadcast_if_small(quotas, 200), source.eqNullSafe(F.col("_s"))).withColumn("_x", _expected(F.col("_n"), m, F.col("_sum"), doc_id))
+    out = out.join(broadcast_if_small(last, 200), source.eqNullSafe(F.col("_t")), "left").join(broadcast_if_small(won, 16), doc_id == F.col("_won"), "left")
+    inside = F.coalesce(F.col("_x.bin") < F.col("_last"), F.lit(False)) | F.col("_won").isNotNull()
+    return out.withColumn("_copies", F.col("_x.whole") + inside.cast("bigint")).where("_copies > 0")
+
+
+def _tables(ids: DataFrame, weights: DataFrame | None, total_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    quotas = _quotas(ids, weights, total_share)
+    each = ids.join(broadcast_if_small(quotas, 200), ids["source"].eqNullSafe(F.col("_s")))
+    each = each.select("doc_id", "source", "_n", _expected(F.col("_n"), F.col("m"), F.col("_sum"), F.col("doc_id")).alias("x"))
+    return (quotas, *_last_places(each))
+
+
 def decide(docs: DataFrame, weights: DataFrame | None = None, total_share: float = TOTAL_SHARE) -> DataFrame:
     """doc_id, source and copies (1 or more) of each document in the mixture.
 
@@ -45,46 +109,27 @@ def decide(docs: DataFrame, weights: DataFrame | None = None, total_share: float
     doc_id take no part.  Ties of the ratio go to the smaller doc_id.  An empty
     table gives an empty mixture.  Other columns are ignored whatever their names.
     """
-    ids = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.greatest(F.lit(1), F.floor(F.sqrt(F.greatest(F.lit(0), F.coalesce(F.col("n_chars"), F.lit(0))).cast("double")))).cast("bigint").alias("m")).where("doc_id is not null")
-    ids = cut(ids.groupBy("doc_id").agg(F.max(F.struct("m", "source")).alias("s")).select("doc_id", "s.source", "s.m"))
-    per = ids.groupBy("source").agg(F.count("*").alias("docs"), F.sum("m").alias("sum_m"))
-    if weights is None:
-        per = per.withColumn("w", F.pow(F.col("docs").cast("double"), F.lit(TEMPERATURE)) if TEMPERATURE != 0.5 else F.sqrt(F.col("docs").cast("double")))
-    else:
-        per = per.alias("p").join(weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("w")).where("w > 0"), F.col("p.source").eqNullSafe(F.col("_s"))).drop("_s")
-    # Weights are made integers, so that their sum doesn't depend on the order of addition.
-    per = per.withColumn("w", F.round(F.col("w") * 1000000).cast("bigint"))
-    sums = per.agg(F.sum("w").alias("all_w"), F.sum("docs").alias("all_docs"))
-    per = cut(per.crossJoin(F.broadcast(sums)).select("source", "sum_m", F.floor(F.col("all_docs").cast("double") * F.lit(total_share) * F.col("w").cast("double") / F.col("all_w").cast("double") + F.lit(0.5)).cast("bigint").alias("n")))
-    small = broadcast_if_small(per.select(F.col("source").alias("_s"), "sum_m", "n"), 200)
-    each = ids.join(small, ids["source"].eqNullSafe(F.col("_s"))).drop("_s")
-    whole = F.expr("(n * m) div sum_m")
-    p = ((F.col("n") * F.col("m")) % F.col("sum_m")).cast("double") / F.col("sum_m").cast("double")
-    u = _uniform(F.col("doc_id"))
-    each = each.select("doc_id", "source", "n", whole.alias("whole"), p.alias("p"), u.alias("u"))
-    ratio = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    each = each.withColumn("q", F.when(F.col("p") > 0, ratio)).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * _BINS).cast("int"))
-    bins = each.groupBy("source", "bin").agg(F.count("*").alias("c"), F.sum("whole").alias("w"), F.max("n").alias("n"))
-    left = F.max("n").over(W.partitionBy("source")) - F.sum("w").over(W.partitionBy("source"))
-    before = F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("c"))).over(W.partitionBy("source").orderBy(F.col("bin").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    places = bins.select(F.col("source").alias("_s"), F.col("bin").alias("last"), "c", left.alias("left"), before.alias("before")).where("last is not null and before < left and before + c >= left")
-    places = cut(places.select("_s", "last", (F.col("left") - F.col("before")).alias("places")))
-    each = each.join(broadcast_if_small(places, 200), each["source"].eqNullSafe(F.col("_s")), "left")
-    # Sources all of whose fractional documents get in (left equals their number) still have a last bin; sources with nothing left have none.
-    inside = F.coalesce(F.col("bin") < F.col("last"), F.lit(False))
-    edge = each.where("bin = last").withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("q", "doc_id"))).where(F.col("r") <= F.col("places"))
-    won = edge.select("doc_id", "source", (F.col("whole") + 1).alias("copies"))
-    rest = each.where(~F.coalesce(F.col("bin") == F.col("last"), F.lit(False))).select("doc_id", "source", (F.col("whole") + inside.cast("bigint")).alias("copies"))
-    lost = each.where("bin = last and whole > 0").join(won.select(F.col("doc_id").alias("_d")), F.col("doc_id") == F.col("_d"), "left_anti").select("doc_id", "source", F.col("whole").alias("copies"))
-    return rest.where("copies > 0").unionByName(won).unionByName(lost)
+    ids = _ids(docs)
+    out = _copies(ids, F.col("doc_id"), F.col("source"), F.col("m"), *_tables(ids, weights, total_share))
+    return out.select("doc_id", "source", F.col("_copies").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are in the mixture, with their number of copies in ``copies`` (``copies_`` and so on if there is such a column)."""
+    """The rows of ``docs`` that are in the mixture, with their number of copies in ``copies`` (``copies_`` and so on if there is such a column).
+
+    Texts are never shuffled: each row is decided where it is, from tables of a
+    row a source.  Only where a doc_id has several rows are decisions joined by id.
+    """
     name = "copies"
     while name in docs.columns:
         name += "_"
-    chosen = decide(docs).select(F.col("doc_id").alias("__loom_id"), F.col("copies").alias("__loom_copies"))
+    ids = _ids(docs)
+    tables = _tables(ids, None, TOTAL_SHARE)
+    if docs.where("doc_id is not null").count() == ids.count():
+        whole = docs.where("doc_id is not null").select(F.struct(*[docs[c] for c in docs.columns]).alias("_d"), _measure().alias("_m"))
+        out = _copies(whole, F.col("_d.doc_id"), F.col("_d.source"), F.col("_m"), *tables)
+        return out.select("_d.*", F.col("_copies").alias(name))
+    chosen = _copies(ids, F.col("doc_id"), F.col("source"), F.col("m"), *tables).select(F.col("doc_id").alias("__loom_id"), F.col("_copies").alias("__loom_copies"))
     chosen = broadcast_if_small(cut(chosen), 32)
     return docs.join(chosen, docs["doc_id"] == F.col("__loom_id")).select(*[docs[c] for c in docs.columns], F.col("__loom_copies").alias(name))
 
