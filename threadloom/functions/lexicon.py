@@ -46,7 +46,7 @@ def _literal(term: str) -> str:
 
 def term_pattern(term: str, kind: str) -> str:
     """Java pattern of a term: tickers stand between characters that are neither ASCII letters nor digits (nor $ before), others between non-word characters."""
-    before, after = (r"(?<![A-Za-z0-9$])", r"(?![A-Za-z0-9])") if kind == "ticker" else (r"(?<!\w)", r"(?!\w)")
+    before, after = (r"(?<![$0-9A-Za-z])", r"(?![0-9A-Za-z])") if kind == "ticker" else (r"(?<!\w)", r"(?!\w)")
     return f"(?iuU){before}{_literal(term)}{after}"
 
 

@@ -83,17 +83,17 @@ def context_input(message: Column, summary: Column, submission: Column, limit: i
     return F.left(F.concat(F.lit("COMMENT: "), F.trim(F.coalesce(message, F.lit(""))), tail), F.lit(limit))
 
 
-# --- the cleaning chain -------------------------------------------------------------------------------------------
+# == the cleaning chain
 
 #: (pattern, replacement) in order; emoji names come between STEPS and LAST_STEPS.
 STEPS = [
-    (r"(?Ud)!\[img\]\(emote[^)]*\)", " "),
-    (r"(?Ud)>!(.*?)!<", "$1"),
+    (r"(?Ud)![\[]img[\]][(]emote[^)]*[)]", " "),
+    (r"(?Ud)[>]!(.*?)![<]", "$1"),
     # One pass: a link whose text has at most three characters goes, any other leaves its text.
     (rf"(?Ud)\[(?:{WS}*([^\]]{{0,3}}?){WS}*|{WS}*([^\]]*?){WS}*)\]\(https?://[^)]+\)", "$2"),
-    (rf"(?Ud)https?://{_NOT_WS}+|www\.{_NOT_WS}+", " "),
-    (r"(?Ud)\*{1,3}([^*\n]+)\*{1,3}", "$1"),
-    (rf"(?Udm)^>+{WS}?", " "),
+    (rf"(?Ud)(?:https?://|www[.]){_NOT_WS}+", " "),
+    (r"(?Ud)[*]{1,3}([^*\n]+)[*]{1,3}", "$1"),
+    (rf"(?Udm)^[>]+{WS}?", " "),
     (r"(?Ud)u/\w+", " "),
     (r"(?Ud)r/\w+", " "),
     (r"(?Ud)!\w+", " "),
@@ -134,11 +134,11 @@ def clean_text(c: Column, emoji: bool = False) -> Column:
     return squeeze(apply_steps(F.lower(x), LAST_STEPS))
 
 
-# --- summaries ----------------------------------------------------------------------------------------------------
+# == summaries
 
-SUMMARY_FIELDS = ("main_stock_or_company", "thread_topic", "financial_angle", "conversation_character", "brief_summary")
-ANGLES = ("company_news", "earnings", "mixed", "price_action", "product_or_company_discussion", "sector_macro", "trading_positions", "unclear", "valuation")
-CHARACTERS = ("analytical", "meme_heavy", "mixed", "off_topic", "reactive", "speculative")
+SUMMARY_FIELDS = tuple("main_stock_or_company thread_topic financial_angle conversation_character brief_summary".split())
+ANGLES = tuple("company_news earnings mixed price_action product_or_company_discussion sector_macro trading_positions unclear valuation".split())
+CHARACTERS = tuple("analytical meme_heavy mixed off_topic reactive speculative".split())
 
 
 def normalized_summary(fields: dict[str, Column]) -> Column:

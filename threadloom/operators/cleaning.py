@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Names of moderators and automatic accounts; "bot" matches within words.
-AUTOMATIC_AUTHOR = r"(?iu)(?<![a-z])mod(?![a-z])|bot|automoderator|visualmod"
-_NO_KEY = ("", "nan", "none", "null", "<na>")
+AUTOMATIC_AUTHOR = r"(?iu)(?<![A-Za-z])mod(?![A-Za-z])|visualmod|automoderator|bot"
+_NO_KEY = tuple("|nan|none|null|<na>".split("|"))
 RULES = ("missing_submission_id", "duplicate_id", "bot_mod", "composite_duplicate")
 
 

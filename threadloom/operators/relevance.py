@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as tx
 
 MIN_WORDS = 5
-BOT_COMMAND = r"(?iU)^\s*!(?:banbet|remindme|remind|ban|bet)\b"
+BOT_COMMAND = r"(?iU)^\s*!(?:ban|banbet|bet|remind|remindme)\b"
 AT_LEAST_RELEVANT, AT_LEAST_NOT = 0.75, 0.5
 
 

@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# --- matching -----------------------------------------------------------------------------------------------------
+# == matching
 
 _NON = r"[^\pL\pM\pN_]"
 
@@ -47,7 +47,7 @@ _NON = r"[^\pL\pM\pN_]"
 def _re2(term: str, kind: str) -> str:
     body = "".join("\\" + ch if ch in "$.()" else ch for ch in term)
     if kind == "ticker":
-        return rf"(?i)(^|[^A-Za-z0-9$]){body}([^A-Za-z0-9]|$)"
+        return rf"(?i)(^|[^$0-9A-Za-z]){body}([^0-9A-Za-z]|$)"
     return rf"(?i)(^|{_NON}){body}({_NON}|$)"
 
 
@@ -97,7 +97,7 @@ def _(t):
     return _matched(t).where(matching.overlaps(c, targets)).select("doc_id", matching.overlaps(c, targets, strip=True).alias("stripped"), matching.is_single_target(c, targets).alias("single"))
 
 
-# --- cleaning -----------------------------------------------------------------------------------------------------
+# == cleaning
 
 _KEYED_SQL = "SELECT *, CASE doc_id % 11 WHEN 0 THEN NULL WHEN 1 THEN ' NaN ' WHEN 2 THEN '' WHEN 3 THEN '<NA>' ELSE source END AS thread FROM documents"
 
@@ -113,7 +113,7 @@ def _(t):
 
 
 _AUTHOR = "CASE conv_id % 7 WHEN 0 THEN 'VisualMod' WHEN 1 THEN 'a_mod' WHEN 2 THEN 'robotics' WHEN 3 THEN 'Comodo' WHEN 4 THEN NULL ELSE role END"
-_BOT_SQL = r"(?i)(^|[^a-z])mod([^a-z]|$)|bot|automoderator|visualmod"
+_BOT_SQL = r"(?i)(^|[^A-Za-z])mod([^A-Za-z]|$)|visualmod|automoderator|bot"
 
 
 @query("q07_author_anti_regex", f"SELECT conv_id, turn, author FROM (SELECT conv_id, turn, {_AUTHOR} AS author FROM conversations) WHERE NOT coalesce(regexp_matches(author, '{_BOT_SQL}'), false)")
@@ -164,7 +164,7 @@ def _(t):
     return cleaning.required_threads(t("documents").select(_thread().alias("thread")), "thread")
 
 
-# --- joins --------------------------------------------------------------------------------------------------------
+# == joins
 
 
 @query("q13_semi_join", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -214,7 +214,7 @@ def _(t):
     return topics.named(t("customer").select("c_custkey", "c_nationkey"), names, "c_nationkey").drop("c_nationkey")
 
 
-# --- chunks -------------------------------------------------------------------------------------------------------
+# == chunks
 
 
 @query("q19_chunk100", "SELECT conv_id, chunk_id, count(*) AS n_messages_in_chunk, string_agg('[MSG ' || (turn % 3 + 1) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS chunk_comments FROM (SELECT conv_id, turn, text, (turn // 3)::INT AS chunk_id FROM conversations) GROUP BY ALL")
@@ -284,7 +284,7 @@ def _(t):
     return e.groupBy("user_id", "day").agg(chunks.dominant(F.col("k"), ["click", "purchase"]).alias("stock"))
 
 
-# --- text ---------------------------------------------------------------------------------------------------------
+# == text
 
 _SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
@@ -296,7 +296,7 @@ def _(t):
 
 
 _CHAIN = "text"
-for _p, _r in ((r"!\[img\]\(emote[^)]*\)", " "), (r">!(.*?)!<", r"\1"), (r"https?://\S+|www\.\S+", " "), (r"\*{1,3}([^*\n]+)\*{1,3}", r"\1"), (r"(?m)^>+\s?", " "), (r"u/[\pL\pM\pN_]+", " "), (r"r/[\pL\pM\pN_]+", " "), (r"![\pL\pM\pN_]+", " ")):
+for _p, _r in ((r"![\[]img[\]][(]emote[^)]*[)]", " "), (r"[>]!(.*?)![<]", r"\1"), (r"(https?://|www[.])\S+", " "), (r"[*]{1,3}([^*\n]+)[*]{1,3}", r"\1"), (r"(?m)^[>]+\s?", " "), (r"u/[\pL\pM\pN_]+", " "), (r"r/[\pL\pM\pN_]+", " "), (r"![\pL\pM\pN_]+", " ")):
     _CHAIN = f"regexp_replace({_CHAIN}, '{_p}', '{_r}', 'g')"
 _CHAIN = f"regexp_replace(lower({_CHAIN}), '[^a-z\\s$!?]', ' ', 'g')"
 
@@ -318,7 +318,7 @@ def _(t):
 _CMD = "CASE conv_id % 5 WHEN 0 THEN ' !BanBet ' WHEN 1 THEN '!better ' WHEN 2 THEN 'x !ban ' ELSE '' END || text"
 
 
-@query("q29_bot_command", f"SELECT conv_id, turn FROM (SELECT conv_id, turn, {_CMD} AS text FROM conversations) WHERE regexp_matches(text, '(?i)^\\s*!(banbet|remindme|remind|ban|bet)([^\\pL\\pM\\pN_]|$)')")
+@query("q29_bot_command", f"SELECT conv_id, turn FROM (SELECT conv_id, turn, {_CMD} AS text FROM conversations) WHERE regexp_matches(text, '(?i)^\\s*!(ban|banbet|bet|remind|remindme)([^\\pL\\pM\\pN_]|$)')")
 def _(t):
     c = t("conversations").select("conv_id", "turn", F.expr(_CMD).alias("text"))
     return c.where(relevance.is_bot_command(F.col("text"))).drop("text")
@@ -339,7 +339,7 @@ def _(t):
     return t("events").select("event_id", relevance.label(r, 1 - r).alias("label"))
 
 
-# --- evaluation ---------------------------------------------------------------------------------------------------
+# == evaluation
 
 _PRED_SQL = "SELECT l.doc_id, lang, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS truth, CASE WHEN d.doc_id % 6 = 0 THEN 0 WHEN n_chars > 600 THEN 1 ELSE -1 END AS pred, (d.doc_id % 97)::DOUBLE / 97 AS conf FROM labels l JOIN documents d USING (doc_id)"
 
@@ -400,7 +400,7 @@ def _(t):
     return evaluation.accuracy_by_bucket(_strict(t), "truth", "pred", "conf").withColumn("accuracy", F.round("accuracy", 9))
 
 
-# --- vocabulary ---------------------------------------------------------------------------------------------------
+# == vocabulary
 
 _TOKENS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\pL\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 3)"
 _DF = f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS token FROM documents) GROUP BY token"
@@ -469,7 +469,7 @@ def _(t):
     return d.sparkSession.createDataFrame(rows, out.schema)
 
 
-# --- panel --------------------------------------------------------------------------------------------------------
+# == panel
 
 
 @query("q44_daily_weighted_mean", "SELECT day, sum(k)::BIGINT AS k, round(sum(value * k) / nullif(sum(k), 0), 6) AS value FROM (SELECT ts::DATE AS day, value, json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY day")
@@ -587,7 +587,7 @@ def _(t):
     return t("events").select("event_id", found.alias("found"), F.get_json_object(found, "$.k").try_cast("bigint").alias("k"))
 
 
-# --- more ---------------------------------------------------------------------------------------------------------
+# == more
 
 
 @query("q59_multi_chunk_threads", "SELECT conv_id, chunk_id, n_messages_in_chunk FROM (SELECT conv_id, (turn // 3)::INT AS chunk_id, count(*) AS n_messages_in_chunk FROM conversations GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY conv_id) > 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,8 +74,7 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_config(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
 def with_arrival(df: DataFrame, name: str = "_ord") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
@@ -38,8 +39,7 @@ def append_remaining(todo: DataFrame, path: str, keys: list[str], make) -> DataF
 def write_report(row: DataFrame | dict, path: str) -> dict:
     """A one-row table, or a dict, as a JSON file; the dict."""
     data = row if isinstance(row, dict) else (row.first() or {}) and row.first().asDict(recursive=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(data, f, indent=2, default=str)
+    Path(path).write_text(json.dumps(data, indent=2, default=str), encoding="utf-8")
     return data
 
 
