@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm import textcore as tc
+
 #: Most bytes that any operator broadcasts; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -65,7 +67,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[dict]], object]) -> objec
         rows = [r for batch in batches for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
 
-    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    got = sample.repartition(1).mapInArrow(tc.releasing(run), "model binary").first()
     return pickle.loads(got["model"]) if got else fit([])
 
 

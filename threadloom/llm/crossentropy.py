@@ -56,7 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush(parts)
 
-    return docs.select("text").where("text is not null").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").where("text is not null").mapInArrow(tc.releasing(count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame) -> np.ndarray:
@@ -107,7 +107,7 @@ def bigram_counts(docs: DataFrame, target_ids: DataFrame, vocab) -> DataFrame:
 
     t = broadcast_if_small(target_ids.select(F.col("_id"), F.lit(True).alias("_t")), 24)
     flagged = docs.select("doc_id", "text").where("text is not null").join(t, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_t", F.lit(False)).alias("_t"))
-    return flagged.mapInArrow(count, "code bigint, t bigint, b bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    return flagged.mapInArrow(tc.releasing(count), "code bigint, t bigint, b bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 def loss_differences(counts: DataFrame, base: int) -> DataFrame:
@@ -171,6 +171,7 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
                     means.append((sums[first[1:]] - sums[first[:-1]]) / np.diff(first))
             size, mean = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, means))
             yield pa.StructArray.from_arrays([pa.array(size.astype(np.int64)), pa.array(mean, from_pandas=True)], names=["n_words", "score"])
+        tc.release()
 
     udf = F.arrow_udf(run, "struct<n_words bigint, score double>")
     return rows.select("doc_id", udf("text").alias("s")).select("doc_id", "s.n_words", "s.score")

@@ -179,7 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
                         if found is not None:
                             yield found
 
-        found = d.mapInArrow(scan, _SCHEMA)
+        found = d.mapInArrow(tc.releasing(scan), _SCHEMA)
     else:
         found = _leaks_joined(d, b)
     best = F.max(F.struct("coverage", "matched", (-F.col("item_words")).alias("w")))

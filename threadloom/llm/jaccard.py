@@ -149,7 +149,7 @@ def signatures(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-# --- frequencies --------------------------------------------------------------------------------------------------
+# == frequencies
 
 
 def _residues(bits: int):
@@ -237,7 +237,7 @@ def frequencies(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     return found.where("bucket is null").select("doc_id", "node", "size").dropDuplicates(["doc_id", "node"]), packed, slot_bits
 
 
-# --- candidates ---------------------------------------------------------------------------------------------------
+# == candidates
 
 
 def _indexer(shared, slot_bits: int, buckets: int):
@@ -379,7 +379,7 @@ def candidates(docs: DataFrame, shared, slot_bits: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
 
 
-# --- verification -------------------------------------------------------------------------------------------------
+# == verification
 
 
 def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:

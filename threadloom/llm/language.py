@@ -137,6 +137,7 @@ def _verdict(docs: DataFrame, model: LanguageModel):
             lang = pa.array([m.names[i] if i >= 0 else None for i in best], type=pa.string())
             unsure = (best < 0) | (gap < m.margin)
             yield pa.StructArray.from_arrays([lang, pa.array(loss, from_pandas=True), pa.array(gap, from_pandas=True), pa.array(unsure)], names=["language", "loss", "margin", "ambiguous"])
+        tc.release()
 
     return decide
 

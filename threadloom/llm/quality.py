@@ -111,6 +111,7 @@ def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
             yield pa.array(shared.value.scores(text), from_pandas=True)
+        tc.release()
 
     scored = docs.select(F.col("doc_id"), score(F.col("text")).alias("quality_score"))
     return scored.select("doc_id", "quality_score", F.when(F.col("quality_score") >= 0.5, 1).when(F.col("quality_score") < 0.5, 0).alias("quality"))

@@ -170,6 +170,7 @@ def _verdicts(model: ToxicityModel, docs: DataFrame):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
             yield pa.array(shared.value.scores(text), from_pandas=True)
+        tc.release()
 
     return score
 
