@@ -15,9 +15,19 @@ from threadloom.llm import textcore as tc
 
 #: Most bytes that any operator broadcasts; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a batch of rows that goes to a Python worker (a longer row is a batch by itself).
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches to Python workers near ``BATCH_BYTES`` unless the session has set a bound of its own."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +73,8 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[dict]], object]) -> objec
 
     The driver holds neither the texts nor the features, and a lost executor costs a retry.
     """
+    bound_batches(sample.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])

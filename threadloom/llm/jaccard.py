@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import broadcast_if_small, cut, partitions, table
+from threadloom.llm.common import bound_batches, broadcast_if_small, cut, partitions, table
 
 GRAM, THRESHOLD = 2, 0.7
 FREQUENT, VERY = 64, 4096
@@ -225,6 +225,7 @@ def levels(packed: np.ndarray, slot_bits: int, tokens: np.ndarray) -> np.ndarray
 def frequencies(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """(members: doc_id, node, size of each document with words; packed class table; bits of its slots)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     slot_bits = min(_SLOT_BITS[1], max(_SLOT_BITS[0], int(np.ceil(np.log2(chars / 12 + 1)))))
     bits = min(slot_bits - 2, max(0, int(np.ceil(np.log2(partitions(spark))))))
@@ -294,18 +295,25 @@ def _indexer(shared, slot_bits: int, buckets: int):
     return run
 
 
-def _unpack(blob: bytes):
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sizes and numbers of entries of a blob's documents, and the entries."""
     n, m = np.frombuffer(blob, dtype=np.int64, count=2)
-    at = 16
-    key = np.frombuffer(blob, dtype=np.int64, count=n, offset=at)
-    at += 8 * n
-    size = np.frombuffer(blob, dtype=np.int32, count=n, offset=at)
-    at += 4 * n
-    each = np.frombuffer(blob, dtype=np.int32, count=n, offset=at)
-    at += 4 * n
+    key = np.frombuffer(blob, dtype=np.int64, count=n, offset=16)
+    size = np.frombuffer(blob, dtype=np.int32, count=n, offset=16 + 8 * n)
+    each = np.frombuffer(blob, dtype=np.int32, count=n, offset=16 + 12 * n)
     low = np.zeros((m, 8), dtype=np.uint8)
-    low[:, :6] = np.frombuffer(blob, dtype=np.uint8, count=6 * m, offset=at).reshape(-1, 6)
-    return np.repeat(key, each), np.repeat(size, each), low.view(np.uint64).ravel()
+    low[:, :6] = np.frombuffer(blob, dtype=np.uint8, count=6 * m, offset=16 + 16 * n).reshape(-1, 6)
+    return key, size, each, low.view(np.uint64).ravel()
+
+
+def _changes(*sorted_by: np.ndarray) -> np.ndarray:
+    """Positions at which any of the arrays differs from the place before; the first is one."""
+    n = len(sorted_by[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for x in sorted_by:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,57 +321,60 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [_unpack(v.as_py()) for batch in batches for v in batch.column(1)]
     if not parts:
         return
-    key, size, sig = (np.concatenate(x) for x in zip(*parts))
-    del parts
-    # Within a signature by size: the partners of an entry are a run of the entries after it.
-    by = np.lexsort((key, size, sig))
-    key, size, sig = key[by], size[by], sig[by]
-    again = np.zeros(len(sig), dtype=bool)
-    again[1:] = (sig[1:] == sig[:-1]) & (key[1:] == key[:-1])
-    key, size, sig = key[~again], size[~again], sig[~again]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    key, size, each, sig = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    # Nodes are numbered by size, so the partners of an entry are a run of the entries after it.
+    by = np.lexsort((key, size))
+    new = _changes(key[by])
+    names, sizes = key[by][new], size[by][new].astype(np.int64)
+    node = np.empty(len(key), dtype=np.uint32)
+    node[by] = np.repeat(np.arange(len(new), dtype=np.uint32), np.diff(np.append(new, len(by))))
+    node = np.repeat(node, each)
+    by = np.lexsort((node, sig))
+    sig, node = sig[by], node[by]
+    keep = _changes(sig, node)
+    sig, node = sig[keep], node[keep]
+    starts = _changes(sig)
     counts = np.diff(np.append(starts, len(sig)))
-    # Entries of signatures that stand alone are dropped here.
-    shared = np.repeat(counts > 1, counts)
-    key, size, sig = key[shared], size[shared], sig[shared]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
-    ends = np.repeat(np.append(starts[1:], len(sig)), np.diff(np.append(starts, len(sig)))) if len(sig) else starts
-    names, node = np.unique(key, return_inverse=True)
-    node_size = np.zeros(len(names), dtype=np.int64)
-    node_size[node] = size
-    node = node.astype(np.uint64)
-    held, total = [], (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    # Entries that stand alone are dropped; of the others only the node and the end of the run is kept.
+    node = node[np.repeat(counts > 1, counts)]
+    counts = counts[counts > 1]
+    ends = np.repeat(np.cumsum(counts), counts)
+    del by, keep, sig, starts, counts, key, size, each
+    held, total = [], (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))
 
     def merged():
-        code = np.concatenate([total[0], *held])
-        n = np.concatenate([total[1], np.ones(len(code) - len(total[0]), dtype=np.int64)])
+        code = np.sort(np.concatenate(held)) if held else total[0][:0]
+        new = _changes(code)
+        n = np.concatenate([total[1], np.diff(np.append(new, len(code))).astype(np.int32)])
+        code = np.concatenate([total[0], code[new]])
         by = np.argsort(code)
         code, n = code[by], n[by]
-        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, dtype=np.int64)
+        new = _changes(code)
         return code[new], np.add.reduceat(n, new) if len(new) else n
 
     def rows_of(code, n):
-        for lo in range(0, len(code), 100_000):
-            i, j = (code[lo : lo + 100_000] >> _U(32)).astype(np.int64), (code[lo : lo + 100_000] & _U(0xFFFFFFFF)).astype(np.int64)
-            need = np.maximum(1, np.minimum(4, np.minimum(node_size[i], node_size[j]) // 32))
-            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j]), pa.array(n[lo : lo + 100_000].astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "shared", "need"])
+        for lo in range(0, len(code), 50_000):
+            i, j = (code[lo : lo + 50_000] >> _U(32)).astype(np.int64), (code[lo : lo + 50_000] & _U(0xFFFFFFFF)).astype(np.int64)
+            need = np.maximum(1, np.minimum(4, sizes[i] // 32)).astype(np.int32)
+            a, b = names[i], names[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n[lo : lo + 50_000].astype(np.int32)), pa.array(need)], names=["a", "b", "shared", "need"])
 
-    rows = ends - np.arange(len(sig)) - 1
-    upto = np.cumsum(rows)
+    upto = np.cumsum(ends - np.arange(len(node)) - 1)
     at = fresh = 0
-    while at < len(sig):
-        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 500_000)))
-        n = rows[at:stop]
+    while at < len(node):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000)))
+        n = ends[at:stop] - np.arange(at, stop) - 1
         x = np.repeat(np.arange(at, stop), n)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-        ok = size[x] >= np.ceil(THRESHOLD * size[y] - 1e-9)
-        i, j = node[x[ok]], node[y[ok]]
-        held.append((np.minimum(i, j) << _U(32)) | np.maximum(i, j))
-        fresh += len(i)
+        i, j = node[x], node[y]
+        ok = sizes[i] >= np.ceil(THRESHOLD * sizes[j] - 1e-9)
+        held.append((i[ok].astype(np.uint64) << _U(32)) | j[ok])
+        fresh += len(held[-1])
         at = stop
-        if fresh > 2_000_000:
+        if fresh > 1_000_000:
             total, held, fresh = merged(), [], 0
-            if len(total[0]) > 4_000_000:
+            if len(total[0]) > 2_000_000:
                 yield from rows_of(*total)
                 total = (total[0][:0], total[1][:0])
     yield from rows_of(*merged())
@@ -373,7 +384,7 @@ def candidates(docs: DataFrame, shared, slot_bits: int) -> DataFrame:
     """Pairs (a < b) of nodes that share as many prefix combinations as they must; ``shared`` is the class table, broadcast."""
     spark = docs.sparkSession
     # A near pair shares many entries; fewer buckets than partitions mean fewer rows for it.
-    buckets = max(4, partitions(spark) // 8)
+    buckets = max(4, partitions(spark) // 6)
     blobs = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(tc.releasing(_indexer(shared, slot_bits, buckets)), "bucket int, blob binary")
     found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_pair_counts), "a bigint, b bigint, shared int, need int")
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
