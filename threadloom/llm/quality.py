@@ -1,4 +1,4 @@
-"""Quality classifier: learned hashed word and character n-gram vectors, averaged per document, softmax output."""
+"""Quality classifier: learned hashed word, word bigram and character n-gram vectors, averaged per document, softmax output."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ BITS, DIM, ORDERS = 18, 16, (3, 4)
 #: Most labelled rows that are fetched to fit the model.
 TRAIN_ROWS = 4000
 EPOCHS, RATE, SEED = 4, 0.05, 7
+#: Buckets of the bigrams that repeat a word and of all others.
+_BIGRAM = (0x155AA % (1 << BITS), 0x2A955 % (1 << BITS))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
@@ -33,10 +35,16 @@ def training_rows(rows: list[dict]) -> list[tuple[str, int]]:
 
 
 def _features(arr: pa.Array):
-    """Bucket arrays and their ranges per document: one pair for the tokens, one for each n-gram order."""
+    """Bucket arrays and their ranges per document: a pair for the words, one for their bigrams, one for each n-gram order."""
     b, seps = padded(arr, lower=False, words_only=False)
     s, e = tokens(b)
-    yield (tc.span_hashes(b, s, e) >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(s, seps)
+    word, first = tc.span_hashes(b, s, e), np.searchsorted(s, seps)
+    yield (word >> np.uint64(64 - BITS)).astype(np.int64), first
+    # Word bigrams, by whether they repeat the word: what no n-gram of one word can tell.
+    again = np.zeros(len(word), dtype=bool)
+    again[1:] = word[1:] == word[:-1]
+    again[first[:-1][np.diff(first) > 0]] = False
+    yield np.where(again, *_BIGRAM), first
     for pos, bucket in gram_buckets(b, ORDERS, BITS):
         yield bucket, np.searchsorted(pos, seps)
 
