@@ -32,14 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir.
+
+    Only where none is named one is set: a temporary folder in local mode, a
+    folder in the warehouse, which machines share, on a cluster.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if current is None:
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadloom-"))
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="threadloom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
     return sc.getCheckpointDir()
 
 
