@@ -46,6 +46,17 @@ def test_scores_equal_brute_force(docs, spark, words, limit, monkeypatch):
     assert all(got[k] == pytest.approx(v, abs=1e-5) for k, v in want.items() if v is not None)
 
 
+@pytest.mark.parametrize("limit", [C.BROADCAST_BYTES, 0])
+def test_words_that_occur_twice_are_known_in_any_table(docs, spark, words, limit):
+    """The count asked of a word doesn't grow with the corpus."""
+    rows = [(1, LONG), (2, "rare1 rare2 w1x"), (3, "rare1 rare2 w2x once"), (4, "w1x w2x rare3"), (5, "rare3 w7x"), (6, "")]
+    labels = spark.createDataFrame([(2, 1, 0), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: (r["n_words"], r["score"]) for r in C.score(docs(rows), labels, limit).collect()}
+    want = brute_scores(rows, {2, 4}, words, 0)
+    assert got.keys() == want.keys() and got[6] == (0, None) and got[3][0] == 4
+    assert all(got[k][1] == pytest.approx(v, abs=1e-5) for k, v in want.items() if v is not None)
+
+
 def test_scores_without_target_or_rows(docs, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for limit in (C.BROADCAST_BYTES, -1):

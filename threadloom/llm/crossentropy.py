@@ -2,15 +2,14 @@
 
 Two bigram models, one of the target documents (good quality, not toxic, by
 ``labels``) and one of the background (all documents), share one vocabulary:
-the words that make up at least ``MIN_SHARE`` of all words (so at most
-1 / MIN_SHARE of them, without a cut at a rank), an unknown word, and the start
-of a document.  Both are smoothed alike: Witten-Bell interpolation with an
-add-one unigram model.  A document's score is the mean over its words of
-loss(target) - loss(background): lower is more like the target.
-
-All counts are of all documents.  They are added up map-side in runs of about
-``FLUSH_WORDS`` words and then by a shuffle, so what is gathered grows with the
-corpus.
+the words that occur ``MIN_COUNT`` times or more in all documents, an unknown
+word, and the start of a document.  Both are smoothed alike: Witten-Bell
+interpolation with an add-one unigram model.  A document's score is the mean
+over its words of loss(target) - loss(background): lower is more like the target.
+
+All counts are of all documents, by word hashes, so no worker needs the
+vocabulary.  They are added up map-side in runs of about ``FLUSH_WORDS`` words and
+then by a shuffle; vocabulary and bigrams grow with the corpus without a bound.
 """
 
 from __future__ import annotations
@@ -23,108 +22,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import BROADCAST_BYTES, broadcast_if_small, cut, table
+from threadloom.llm.common import BROADCAST_BYTES, broadcast_if_small, cut, drop_table, table, write_table
 
-MIN_SHARE, MIN_COUNT = 4e-5, 2
+#: Occurrences that a word of the vocabulary has, and the share of all words that may be asked besides (none: it would bound the vocabulary).
+MIN_COUNT, MIN_SHARE = 2, 0.0
 FLUSH_WORDS = 4_000_000
+#: What stands for a word's hash: the start of a document, an unknown word.
+START, UNKNOWN = 0, 1
 
 
-def _grouped_sum(keys: np.ndarray, *values: np.ndarray):
-    """Distinct keys and the sums of each of ``values`` (None: counts)."""
-    by = np.argsort(keys, kind="stable")
-    k = keys[by]
-    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return (k[new], *(np.add.reduceat(v[by], new) for v in values))
+def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hashes of bigrams of word hashes."""
+    return tc.mix(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)).view(np.int64)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n, over all documents."""
+def _bigrams(piece: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and words (hashes) of a piece and each document's range."""
+    words = tc.Words(piece)
+    w = words.hashes.view(np.int64)
+    v = np.concatenate([[START], w[:-1]]) if len(w) else w
+    v[words.first[:-1][np.diff(words.first) > 0]] = START
+    return v, w, words.first
+
+
+def bigram_counts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """v, w (hashes), target and background counts, over all documents; ``target_ids`` has _id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
-            k, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["word", "n"])
+            v, w, mark = (np.concatenate(c) for c in zip(*parts))
+            key = _key(v, w)
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            t, b = np.add.reduceat(mark[by].astype(np.int64), new), np.diff(np.append(new, len(key)))
+            for lo in range(0, len(new), 200_000):
+                at = slice(lo, lo + 200_000)
+                first = by[new[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(v[first]), pa.array(w[first]), pa.array(t[at]), pa.array(b[at])], names=["v", "w", "t", "b"])
 
         parts, held = [], 0
         for batch in batches:
-            for _, piece in tc.pieces(tc.as_text(batch.column(0))):
-                parts.append(tc.Words(piece).hashes)
-                held += len(parts[-1])
+            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for start, piece in tc.pieces(tc.as_text(batch.column(0))):
+                v, w, first = _bigrams(piece)
+                parts.append((v, w, np.repeat(flags[start : start + len(piece)], np.diff(first))))
+                held += len(w)
                 if held >= FLUSH_WORDS:
-                    yield flush(parts)
+                    yield from flush(parts)
                     parts, held = [], 0
         if held:
-            yield flush(parts)
-
-    return docs.select("text").where("text is not null").mapInArrow(tc.releasing(count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shared vocabulary."""
-    counts = cut(word_counts(docs))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = max(MIN_COUNT, int(np.ceil(total * MIN_SHARE)))
-    return np.sort(counts.where(F.col("n") >= least).select("word").toArrow()["word"].to_numpy().view(np.uint64))
+            yield from flush(parts)
 
+    t = broadcast_if_small(target_ids.select(F.col("_id"), F.lit(True).alias("_t")), 24)
+    flagged = docs.select("doc_id", "text").where("text is not null").join(t, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_t", F.lit(False)).alias("_t"))
+    return flagged.mapInArrow(tc.releasing(count), "v bigint, w bigint, t bigint, b bigint").groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def loss_differences(counts: DataFrame) -> DataFrame:
+    """key and diff = ln P(background) - ln P(target), for each bigram of the corpus; rare words are taken as unknown."""
+    words = cut(counts.groupBy("w").agg(F.sum("t").alias("t"), F.sum("b").alias("n")))
+    total = words.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
+    least = max(MIN_COUNT, int(np.ceil((total["n"] or 0) * MIN_SHARE)))
+    rare = cut(words.where(F.col("n") < least).select("w"))
+    n_rare = rare.count()
+    #: The vocabulary and the unknown word.
+    kinds = words.count() - n_rare + 1
+    marked = counts
+    for name in ("v", "w"):
+        marked = marked.join(broadcast_if_small(rare.select(F.col("w").alias(f"r{name}")), 16, n_rare), F.col(name) == F.col(f"r{name}"), "left")
+    marked = marked.select("v", "w", "t", "b", *(F.when(F.col(f"r{x}").isNotNull(), F.lit(UNKNOWN).cast("bigint")).otherwise(F.col(x)).alias(f"c{x}") for x in ("v", "w")))
+    loose = (F.col("cv") == UNKNOWN) | (F.col("cw") == UNKNOWN)
+    merged = cut(marked.where(loose).groupBy("cv", "cw").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
+    model = marked.where(~loose).select("cv", "cw", "t", "b").unionByName(merged)
+    ctx = cut(model.groupBy("cv").agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("b") > 0).alias("kb")))
+    uni = cut(model.groupBy("cw").agg(F.sum("t").alias("ut"), F.sum("b").alias("ub")))
 
-def _codes(piece: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram codes (context * base + word) of a piece and each document's range. Ids: 0 start, 1 unknown, 2 on the vocabulary."""
-    w = tc.Words(piece)
-    if len(vocab):
-        at = np.minimum(np.searchsorted(vocab, w.hashes), len(vocab) - 1)
-        ids = np.where(vocab[at] == w.hashes, at + 2, 1)
-    else:
-        ids = np.ones(len(w.hashes), dtype=np.int64)
-    before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-    begin = w.first[:-1][np.diff(w.first) > 0]
-    before[begin] = 0
-    return before * (len(vocab) + 2) + ids, w.first
-
+    def p(n: str, u: str, all_n: int, cn: str, kn: str):
+        low = (F.col(u) + 1.0) / F.lit(float((all_n or 0) + kinds))
+        return F.when(F.col(cn) > 0, (F.col(n) + F.col(kn) * low) / (F.col(cn) + F.col(kn))).otherwise(low)
 
-def bigram_counts(docs: DataFrame, target_ids: DataFrame, vocab) -> DataFrame:
-    """code, target and background counts, over all documents; ``target_ids`` has _id."""
+    diff = F.log(p("b", "ub", total["n"], "cb", "kb")) - F.log(p("t", "ut", total["t"], "ct", "kt"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
+    def lost(df: DataFrame) -> DataFrame:
+        return df.join(broadcast_if_small(ctx, 48), "cv").join(broadcast_if_small(uni, 32), "cw").withColumn("diff", diff)
 
-        def flush(codes, marks):
-            k, t, b = _grouped_sum(np.concatenate(codes), (m := np.concatenate(marks)), np.ones(len(m), dtype=np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(t), pa.array(b)], names=["code", "t", "b"])
+    unknown = lost(merged).select("cv", "cw", "diff")
+    both = lost(marked.where(~loose)).select("v", "w", "diff").unionByName(marked.where(loose).join(broadcast_if_small(unknown, 32, merged.count()), ["cv", "cw"]).select("v", "w", "diff"))
 
-        codes, marks, held = [], [], 0
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for start, piece in tc.pieces(tc.as_text(batch.column(0))):
-                c, first = _codes(piece, v)
-                codes.append(c)
-                marks.append(np.repeat(flags[start : start + len(piece)], np.diff(first)))
-                held += len(c)
-                if held >= FLUSH_WORDS:
-                    yield flush(codes, marks)
-                    codes, marks, held = [], [], 0
-        if held:
-            yield flush(codes, marks)
-
-    t = broadcast_if_small(target_ids.select(F.col("_id"), F.lit(True).alias("_t")), 24)
-    flagged = docs.select("doc_id", "text").where("text is not null").join(t, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_t", F.lit(False)).alias("_t"))
-    return flagged.mapInArrow(tc.releasing(count), "code bigint, t bigint, b bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+            yield pa.RecordBatch.from_arrays([pa.array(_key(batch.column(0).to_numpy(), batch.column(1).to_numpy())), batch.column(2)], names=["key", "diff"])
 
-
-def loss_differences(counts: DataFrame, base: int) -> DataFrame:
-    """code and diff = ln P(background) - ln P(target), for each bigram of the corpus."""
-    c = counts.withColumn("v", F.expr(f"code div {base}")).withColumn("w", F.col("code") % base)
-    ctx = c.groupBy("v").agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("b") > 0).alias("kb"))
-    uni = c.groupBy("w").agg(F.sum("t").alias("ut"), F.sum("b").alias("ub"))
-    ctx, uni = cut(ctx), cut(uni)
-    total = uni.agg(F.sum("ut").alias("nt"), F.sum("ub").alias("nb")).first()
-    joined = c.join(broadcast_if_small(ctx, 48), "v").join(broadcast_if_small(uni, 32), "w")
-
-    def p(n: str, u: str, all_n: int, cn: str, kn: str):
-        low = (F.col(u) + 1.0) / F.lit(float((all_n or 0) + base - 1))
-        return F.when(F.col(cn) > 0, (F.col(n) + F.col(kn) * low) / (F.col(cn) + F.col(kn))).otherwise(low)
-
-    diff = F.log(p("b", "ub", total["nb"], "cb", "kb")) - F.log(p("t", "ut", total["nt"], "ct", "kt"))
-    return joined.select("code", diff.alias("diff"))
+    return both.mapInArrow(keyed, "key bigint, diff double")
 
 
 def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -142,31 +132,30 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
     """
     spark = docs.sparkSession
     good = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q"), F.col("toxic").alias("_x")).where("_id is not null").groupBy("_id").agg(F.max("_q").alias("_q"), F.max(F.coalesce("_x", F.lit(0))).alias("_x")).where("_q = 1 and _x = 0").select("_id")
-    vocab = vocabulary(docs)
-    shared = spark.sparkContext.broadcast(vocab)
-    counts = cut(bigram_counts(docs, cut(good), shared))
+    counts, at = write_table(bigram_counts(docs, cut(good)), "bigrams")
     known = counts.where("t > 0").limit(1).count() > 0
     rows = docs.select("doc_id", "text").where("doc_id is not null")
-    diffs = cut(loss_differences(counts, len(vocab) + 2))
+    diffs, _ = write_table(loss_differences(counts), "losses")
+    drop_table(spark, at)
     n = diffs.count()
     if n * 12 > broadcast_bytes:
-        return _scored_by_join(rows, shared, diffs, known)
+        return _scored_by_join(rows, diffs, known)
     got = diffs.toArrow()
-    code = got["code"].to_numpy()
-    by = np.argsort(code)
-    lookup = spark.sparkContext.broadcast((code[by], got["diff"].to_numpy()[by].astype(np.float32) if known else None))
+    key = got["key"].to_numpy()
+    by = np.argsort(key)
+    lookup = spark.sparkContext.broadcast((key[by], got["diff"].to_numpy()[by].astype(np.float32) if known else None))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codes, diff = lookup.value
+        keys, diff = lookup.value
         for text in batches:
             sizes, means = [], []
             for _, piece in tc.pieces(tc.as_text(text)):
-                c, first = _codes(piece, shared.value)
+                v, w, first = _bigrams(piece)
                 sizes.append(np.diff(first))
                 if diff is None:
                     means.append(np.full(len(piece), np.nan))
                     continue
-                sums = np.concatenate([[0.0], np.cumsum(diff[np.searchsorted(codes, c)], dtype=np.float64)])
+                sums = np.concatenate([[0.0], np.cumsum(diff[np.searchsorted(keys, _key(v, w))], dtype=np.float64)])
                 with np.errstate(invalid="ignore"):
                     means.append((sums[first[1:]] - sums[first[:-1]]) / np.diff(first))
             size, mean = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, means))
@@ -177,27 +166,29 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
     return rows.select("doc_id", udf("text").alias("s")).select("doc_id", "s.n_words", "s.score")
 
 
-def _scored_by_join(rows: DataFrame, vocab, diffs: DataFrame, known: bool) -> DataFrame:
+def _scored_by_join(rows: DataFrame, diffs: DataFrame, known: bool) -> DataFrame:
     """:func:`score` for a table of differences of any size: each document's distinct bigrams are joined with it."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """row, key and n; the doc_id is with a row's first key, or with none where the text has no words."""
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for start, piece in tc.pieces(tc.as_text(batch.column(1))):
-                c, first = _codes(piece, vocab.value)
-                doc = np.repeat(np.arange(len(piece)), np.diff(first))
-                if not len(c):
-                    continue
-                by = np.lexsort((c, doc))
-                c, doc = c[by], doc[by]
-                new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])]))
-                n = np.diff(np.append(new, len(c)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start + doc[new]]), pa.array(c[new]), pa.array(n)], names=["row", "code", "n"])
-
-    numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    found = numbered.select("row", "text").where("text is not null").mapInArrow(spread, "row bigint, code bigint, n bigint").join(diffs, "code").groupBy("row").agg(F.sum("n").alias("n_words"), (F.sum(F.col("n") * F.col("diff")) / F.sum("n")).alias("score"))
-    out = numbered.select("doc_id", "row").join(found, "row", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), "score")
-    return out if known else out.withColumn("score", F.lit(None).cast("double"))
+            ids, row = batch.column(0), batch.column(1).to_numpy()
+            for start, piece in tc.pieces(tc.as_text(batch.column(2))):
+                v, w, first = _bigrams(piece)
+                key, doc = _key(v, w), np.repeat(np.arange(len(piece)), np.diff(first))
+                by = np.lexsort((key, doc))
+                key, doc = key[by], doc[by]
+                new = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(doc, prepend=-1) != 0))
+                n = np.diff(np.append(new, len(key)))
+                key, doc = key[new], doc[new]
+                empty = np.flatnonzero(np.diff(first) == 0)
+                key, doc, n = (np.concatenate([x, y]) for x, y in ((key, np.zeros(len(empty), np.int64)), (doc, empty), (n, np.zeros(len(empty), np.int64))))
+                again = np.diff(doc, prepend=-1) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(row[start + doc]), pa.array(ids.take(pa.array(start + doc)).to_numpy(), mask=again), pa.array(key, mask=n == 0), pa.array(n)], names=["row", "doc_id", "key", "n"])
+
+    found = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(tc.releasing(spread), "row bigint, doc_id bigint, key bigint, n bigint").join(diffs, "key", "left")
+    mean = F.when(F.sum("n") > 0, F.sum(F.col("n") * F.col("diff")) / F.sum("n"))
+    return found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), mean.alias("score")).select("doc_id", "n_words", "score" if known else F.lit(None).cast("double").alias("score"))
 
 
 def scoring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
