@@ -115,3 +115,11 @@ def test_words_and_pieces(words):
             w = textcore.Words(piece)
             got += [w.hashes[a:b].tolist() for a, b in zip(w.first[:-1], w.first[1:])]
         assert got == [[textcore.hash_word(x) for x in words(t)] for t in texts]
+
+
+def test_sample_is_drawn_from_the_documents_at_hand(docs, spark):
+    """Labels of documents that are missing or have no text take no place in the sample."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id bigint, quality int")
+    at_hand = docs([*((i, f"text {i}") for i in range(0, 2000, 40)), *((i + 1, f"text {i}") for i in range(0, 2000, 40)), *((i + 2, None) for i in range(0, 2000, 40))])
+    got = quality.labelled_sample(at_hand, labels, "quality", 40, quality.SEED).collect()
+    assert sorted(r["_y"] for r in got) == [0] * 20 + [1] * 20 and all(r["_id"] % 40 < 2 for r in got)

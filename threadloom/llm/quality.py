@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import fit_in_task, table
+from threadloom.llm.common import cut, fit_in_task, table
 from threadloom.llm.subword import BagModel, gram_buckets, padded, sigmoid, tokens
 
 BITS, DIM, ORDERS = 18, 16, (3, 4)
@@ -22,11 +22,13 @@ _BIGRAM = (0x155AA % (1 << BITS), 0x2A955 % (1 << BITS))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
-    """_id, _t (text) and _y (label) of at most ``rows`` labelled documents, half of them of the rarer class if it has as many, picked by a hash of the id."""
+    """_id, _t (text) and _y (label) of at most ``rows`` labelled documents, half of them of the rarer class if it has as many, picked by a hash of the id among those of ``docs`` with a text."""
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where("_t is not null")
     lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
+    lab = cut(lab.join(texts.select("_id"), "_id", "left_semi"))
     pick = lambda y, n: lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(n)
     chosen = pick(0, rows // 2).unionByName(pick(1, rows // 2))
-    return docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where("_t is not null").join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").dropDuplicates(["_id"])
+    return texts.join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").dropDuplicates(["_id"])
 
 
 def training_rows(rows: list[dict]) -> list[tuple[str, int]]:
