@@ -144,3 +144,13 @@ def test_near_vectors_edges(spark):
     got = N.near_duplicates(_vectors(spark, rows)).collect()
     assert [(r["vec_a"], r["vec_b"], r["cosine"]) for r in got] == [(1, 2, 1.0)]
     assert N.near_duplicates(_vectors(spark, [])).count() == 0 and N.near_duplicates(_vectors(spark, [(1, None)])).count() == 0
+
+
+def test_near_vectors_of_each_dimension(spark):
+    """Vectors of several models: pairs are found within each dimension, none across."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((30, 16)))]
+    rows += [(100 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((10, 24)))]
+    rows += [(50, rows[0][1]), (200, rows[30][1]), (201, rows[31][1]), (30, [1.0, 2.0]), (202, rows[0][1] + [0.0] * 8), (50, rows[32][1])]
+    got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in N.near_duplicates(_vectors(spark, rows)).collect()}
+    assert got.keys() == {(0, 50), (100, 200), (101, 201), (50, 102)} and all(c == pytest.approx(1, abs=1e-5) for c in got.values())

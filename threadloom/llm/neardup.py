@@ -20,6 +20,7 @@ vectors, which keeps cells about ``CELL_ROWS`` large.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -61,13 +62,8 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def _units(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(id, v: vector of length 1) of usable rows, and their dimension (the commonest, the smallest among equals)."""
-    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
-    top = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if top is None:
-        return v, 0
-    dim = top["d"]
+def _units(vectors: DataFrame, dim: int) -> DataFrame:
+    """(id, v: vector of length 1) of the usable rows of one dimension; ``vectors`` has id and v."""
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +74,7 @@ def _units(vectors: DataFrame) -> tuple[DataFrame, int]:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), flat], names=["id", "v"])
 
-    return v.where(F.size("v") == dim).mapInArrow(scale, "id bigint, v array<float>"), dim
+    return vectors.where(F.size("v") == dim).mapInArrow(scale, "id bigint, v array<float>")
 
 
 def _posts(plan):
@@ -156,20 +152,10 @@ def _count(plan):
     return run
 
 
-def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """vec_a < vec_b and cosine, for pairs with a cosine of at least ``min_cosine`` (approximate search, exact verification).
-
-    Left out are rows with a NULL vec_id or embedding, with a NULL, NaN or
-    infinite element, of length 0, and of another dimension than most.  Repeated
-    rows count once; an id with several vectors takes part with each, never with
-    itself, and a pair then has its greatest cosine.  Empty tables give no pairs.
-    Other columns are ignored whatever their names.
-    """
+def _pairs(vectors: DataFrame, dim: int, min_cosine: float) -> DataFrame:
+    """vec_a, vec_b and cosine of the near-duplicates among the vectors of one dimension."""
     spark = vectors.sparkSession
-    v, dim = _units(vectors.where(F.expr("not exists(embedding, x -> x is null)")))
-    if not dim:
-        return spark.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
-    v = cut(v.distinct())
+    v = cut(_units(vectors, dim).distinct())
     plan = spark.sparkContext.broadcast(Plan(dim, v.count(), min_cosine))
     posts = v.mapInArrow(_posts(plan), "key bigint, guest boolean, id bigint, proj binary").repartition(partitions(spark), "key").sortWithinPartitions("key")
     found = cut(posts.mapInArrow(_count(plan), "a bigint, b bigint").distinct())
@@ -181,7 +167,27 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataF
             keep = pa.array(cosine >= min_cosine)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(cosine).filter(keep)], names=["vec_a", "vec_b", "cosine"])
 
-    return full.mapInArrow(verify, "vec_a bigint, vec_b bigint, cosine double").groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    return full.mapInArrow(verify, "vec_a bigint, vec_b bigint, cosine double")
+
+
+def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """vec_a < vec_b and cosine, for pairs with a cosine of at least ``min_cosine`` (approximate search, exact verification).
+
+    Vectors are compared with those of the same dimension, for each dimension that
+    occurs.  Left out are rows with a NULL vec_id or embedding, with a NULL, NaN or
+    infinite element, and of length 0.  Repeated rows count once; an id with several
+    vectors takes part with each, never with itself, and a pair then has its
+    greatest cosine.  Empty tables give no pairs.  Other columns are ignored
+    whatever their names.
+    """
+    spark = vectors.sparkSession
+    v = vectors.where(F.expr("not exists(embedding, x -> x is null)")).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    # A dimension of one row has no pair.
+    dims = [r["d"] for r in v.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
+    if not dims:
+        return spark.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
+    found = functools.reduce(DataFrame.unionByName, (_pairs(v, d, min_cosine) for d in dims))
+    return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
 def neardup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
