@@ -57,6 +57,14 @@ def test_words_that_occur_twice_are_known_in_any_table(docs, spark, words, limit
     assert all(got[k][1] == pytest.approx(v, abs=1e-5) for k, v in want.items() if v is not None)
 
 
+def test_scores_do_not_depend_on_the_size_of_the_table(docs, spark):
+    rng = np.random.default_rng(6)
+    rows = docs([(i, " ".join(f"w{rng.integers(30)}" for _ in range(40))) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    small, large = ({r["doc_id"]: r["score"] for r in C.score(rows, labels, limit).collect()} for limit in (C.BROADCAST_BYTES, 0))
+    assert small.keys() == large.keys() and all(small[k] == pytest.approx(v, rel=1e-11, abs=1e-12) for k, v in large.items())
+
+
 def test_scores_without_target_or_rows(docs, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for limit in (C.BROADCAST_BYTES, -1):

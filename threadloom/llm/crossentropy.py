@@ -138,12 +138,12 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
     diffs, _ = write_table(loss_differences(counts), "losses")
     drop_table(spark, at)
     n = diffs.count()
-    if n * 12 > broadcast_bytes:
+    if n * 16 > broadcast_bytes:
         return _scored_by_join(rows, diffs, known)
     got = diffs.toArrow()
     key = got["key"].to_numpy()
     by = np.argsort(key)
-    lookup = spark.sparkContext.broadcast((key[by], got["diff"].to_numpy()[by].astype(np.float32) if known else None))
+    lookup = spark.sparkContext.broadcast((key[by], got["diff"].to_numpy()[by] if known else None))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keys, diff = lookup.value
@@ -155,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
                 if diff is None:
                     means.append(np.full(len(piece), np.nan))
                     continue
-                sums = np.concatenate([[0.0], np.cumsum(diff[np.searchsorted(keys, _key(v, w))], dtype=np.float64)])
+                sums = np.concatenate([[0.0], np.cumsum(diff[np.searchsorted(keys, _key(v, w))])])
                 with np.errstate(invalid="ignore"):
                     means.append((sums[first[1:]] - sums[first[:-1]]) / np.diff(first))
             size, mean = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, means))
