@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
@@ -31,17 +31,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _place(columns: list[str], name: str) -> int:
+    """Where ``name`` stands: the first column spelled so, else the first that differs in case only."""
+    if name in columns:
+        return columns.index(name)
+    low = [c.lower() for c in columns]
+    if name.lower() in low:
+        return low.index(name.lower())
+    raise ValueError(f"no column {name!r} among {columns}")
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``df`` with columns renamed by place, and a function from an old name to the new column: no other column's name can clash, in any case."""
+    old = df.columns
+    return df.toDF(*(f"__loom_{i}" for i in range(len(old)))), lambda name: F.col(f"__loom_{_place(old, name)}")
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only these columns, also where others have names that differ in case only."""
+    plain, col = numbered(df)
+    return plain.select(*(col(n).alias(n) for n in names))
+
+
+def keep(df: DataFrame, condition: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+    """The rows of ``df``, all columns, that meet a condition on columns taken by name."""
+    plain, col = numbered(df)
+    return plain.where(condition(col)).toDF(*df.columns)
+
+
+def without(df: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df``, all columns, whose ``name`` isn't in the only column of ``gone``."""
+    plain, col = numbered(df)
+    return plain.join(gone.toDF("__loom_gone"), col(name) == F.col("__loom_gone"), "left_anti").toDF(*df.columns)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 
-    Only where none is named one is set: a temporary folder in local mode, a
-    folder in the warehouse, which machines share, on a cluster.
+    Where none is named, local mode gets a temporary folder; on a cluster it is
+    an error, since only the cluster knows which folder its machines share.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="threadloom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
+        if not named and not alone:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadloom-"))
     return sc.getCheckpointDir()
 
 
@@ -52,10 +88,12 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(path), path
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
+def drop_table(spark: SparkSession, *paths: str) -> None:
+    """Delete what :func:`write_table` wrote, once it is consumed."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import bound_batches, broadcast_if_small, cut, partitions, table
+from threadloom.llm.common import BROADCAST_BYTES, bound_batches, broadcast_if_small, cut, partitions, pick, table, without, write_table
+from threadloom.llm.pairs import best_of_each, pairs_within
 
 GRAM, THRESHOLD = 2, 0.7
 FREQUENT, VERY = 64, 4096
@@ -54,6 +55,8 @@ _U = np.uint64
 _SLOT_BITS = (16, 28)
 #: Pairs that one verification task takes of a cluster; a larger cluster is split into a grid of blocks.
 _BLOCK_PAIRS = 200_000
+#: Bytes of token residues, and characters of text behind the index entries, that a bucket holds: what a task has in memory doesn't grow with the input.
+_BUCKET_BYTES, _BUCKET_CHARS = 32 << 20, 1 << 28
 
 
 def token_sets(piece: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +92,10 @@ def _need(size: int) -> int:
     return max(1, min(4, size // 32))
 
 
+#: A multiple of all numbers that ``_need`` gives.
+_ENOUGH = 12
+
+
 def _size_class(size: int) -> int:
     return int(size).bit_length() - 1
 
@@ -222,13 +229,12 @@ def levels(packed: np.ndarray, slot_bits: int, tokens: np.ndarray) -> np.ndarray
     return (packed[slot >> 2] >> ((slot & 3) << 1).astype(np.uint8)) & 3
 
 
-def frequencies(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """(members: doc_id, node, size of each document with words; packed class table; bits of its slots)."""
+def frequencies(docs: DataFrame, chars: int) -> tuple[DataFrame, np.ndarray, int]:
+    """(members: doc_id, node, size of each document with words; packed class table; bits of its slots), of texts of ``chars`` characters in all."""
     spark = docs.sparkSession
-    bound_batches(spark)
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     slot_bits = min(_SLOT_BITS[1], max(_SLOT_BITS[0], int(np.ceil(np.log2(chars / 12 + 1)))))
-    bits = min(slot_bits - 2, max(0, int(np.ceil(np.log2(partitions(spark))))))
+    # A distinct token for every 5 characters at most, 4 bytes each.
+    bits = min(slot_bits - 2, max(0, int(np.ceil(np.log2(max(partitions(spark), chars * 4 / 5 / _BUCKET_BYTES))))))
     rows = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(tc.releasing(_residues(bits)), "bucket int, low binary, k binary, i binary, s binary")
     found = cut(rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(tc.releasing(_classes(bits, slot_bits, FREQUENT, VERY)), "bucket int, part binary, node bigint, doc_id bigint, size int"))
     packed = np.zeros(1 << (slot_bits - 2), dtype=np.uint8)
@@ -317,7 +323,7 @@ def _changes(*sorted_by: np.ndarray) -> np.ndarray:
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index entries of one partition to (a, b, shared, need) rows; a < b are set keys whose sizes allow the threshold."""
+    """Index entries of one partition to (a, b, weight) rows; a < b are set keys whose sizes allow the threshold. A pair has what it needs if its weights come to ``_ENOUGH``."""
     parts = [_unpack(v.as_py()) for batch in batches for v in batch.column(1)]
     if not parts:
         return
@@ -356,9 +362,9 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows_of(code, n):
         for lo in range(0, len(code), 50_000):
             i, j = (code[lo : lo + 50_000] >> _U(32)).astype(np.int64), (code[lo : lo + 50_000] & _U(0xFFFFFFFF)).astype(np.int64)
-            need = np.maximum(1, np.minimum(4, sizes[i] // 32)).astype(np.int32)
+            weight = np.minimum(n[lo : lo + 50_000], 4) * (_ENOUGH // np.maximum(1, np.minimum(4, sizes[i] // 32)))
             a, b = names[i], names[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n[lo : lo + 50_000].astype(np.int32)), pa.array(need)], names=["a", "b", "shared", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(weight.astype(np.int8))], names=["a", "b", "weight"])
 
     upto = np.cumsum(ends - np.arange(len(node)) - 1)
     at = fresh = 0
@@ -380,14 +386,16 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows_of(*merged())
 
 
-def candidates(docs: DataFrame, shared, slot_bits: int) -> DataFrame:
-    """Pairs (a < b) of nodes that share as many prefix combinations as they must; ``shared`` is the class table, broadcast."""
+def candidates(docs: DataFrame, shared, slot_bits: int, chars: int) -> DataFrame:
+    """node and partners (greater nodes that share as many prefix combinations as they must); ``shared`` is the class table, broadcast."""
     spark = docs.sparkSession
-    # A near pair shares many entries; fewer buckets than partitions mean fewer rows for it.
-    buckets = max(4, partitions(spark) // 6)
+    # A near pair shares many entries; fewer buckets mean fewer rows for it.
+    buckets = max(4, partitions(spark) // 6, -(-chars // _BUCKET_CHARS))
     blobs = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(tc.releasing(_indexer(shared, slot_bits, buckets)), "bucket int, blob binary")
-    found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_pair_counts), "a bigint, b bigint, shared int, need int")
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+    found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_pair_counts), "a bigint, b bigint, weight tinyint")
+    # One shuffle, by the lesser node, serves both aggregations.
+    enough = found.repartition(partitions(spark), "a").groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= _ENOUGH)
+    return enough.groupBy("a").agg(F.collect_list("b").alias("partners"))
 
 
 # == verification
@@ -419,50 +427,86 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return total[a, b].astype(np.int64)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cluster and, within it, sets (kind 0) before pairs (kind 1), to the pairs that are near."""
-    cluster, sets, place, pairs, sizes = None, [], {}, [], []
-
-    def close():
-        a, b = (np.array(c, dtype=np.int64) for c in zip(*pairs))
-        i, j = (np.array([place[k] for k in c.tolist()], dtype=np.int64) for c in (a, b))
-        both = _overlaps(sets, i, j)
-        size = np.array(sizes)
-        union = size[i] + size[j] - both
-        ok = both >= THRESHOLD * union - 1e-9
-        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(both[ok] / union[ok])], names=["a", "b", "jaccard"])
-
-    for batch in batches:
-        for c, kind, a, b, blob in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if c != cluster:
-                if pairs:
-                    yield close()
-                cluster, sets, place, pairs, sizes = c, [], {}, [], []
-            if kind == 0:
-                place[a] = len(sets)
-                token = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-                token[:, 2:] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-                sets.append(token.view(np.uint64).ravel())
-                sizes.append(b)
-            else:
-                pairs.append((a, b))
-    if pairs:
-        yield close()
-
-
-def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, shared, slot_bits: int) -> DataFrame:
-    """The candidate ``pairs`` whose Jaccard similarity reaches the threshold: a, b, jaccard."""
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of bigint arrays (nulls: empty)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    off, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(off[:-1], off[1:])]
+
+
+def _verify(expand: bool):
+    """Worker function: rows sorted by cluster and, within it, sets (kind 0, ``ids`` the documents with that set) before partners (kind 1, in ``ids``), to near pairs of nodes, or of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, sets, place, sizes, members, firsts, partners = None, [], {}, [], [], [], []
+
+        def close():
+            a = np.repeat(np.array(firsts, dtype=np.int64), [len(p) for p in partners])
+            b = np.concatenate(partners)
+            i, j = (np.array([place[k] for k in c.tolist()], dtype=np.int64) for c in (a, b))
+            both = _overlaps(sets, i, j)
+            size = np.array(sizes)
+            union = size[i] + size[j] - both
+            ok = both >= THRESHOLD * union - 1e-9
+            a, b, i, j, value = a[ok], b[ok], i[ok], j[ok], both[ok] / union[ok]
+            if not expand:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value)], names=["a", "b", "jaccard"])
+                return
+            many = np.array([len(m) for m in members], dtype=np.int64)
+            at = 0
+            upto = np.cumsum(many[i] * many[j])
+            while at < len(i):
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 100_000)))
+                x = np.concatenate([np.repeat(members[p], many[q]) for p, q in zip(i[at:stop].tolist(), j[at:stop].tolist())])
+                y = np.concatenate([np.tile(members[q], many[p]) for p, q in zip(i[at:stop].tolist(), j[at:stop].tolist())])
+                v = np.repeat(value[at:stop], many[i[at:stop]] * many[j[at:stop]])
+                for lo in range(0, len(x), 1_000_000):
+                    p, q, r = x[lo : lo + 1_000_000], y[lo : lo + 1_000_000], v[lo : lo + 1_000_000]
+                    own = p != q
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[own]), pa.array(np.maximum(p, q)[own]), pa.array(r[own])], names=["doc_a", "doc_b", "jaccard"])
+                at = stop
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            for c, kind, a, size, blob, ids in zip(*columns, _lists(batch.column(5))):
+                if c != cluster:
+                    if partners:
+                        yield from close()
+                    cluster, sets, place, sizes, members, firsts, partners = c, [], {}, [], [], [], []
+                if kind:
+                    firsts.append(a)
+                    partners.append(ids.copy())
+                elif a not in place:
+                    place[a] = len(sets)
+                    token = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+                    token[:, 2:] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+                    sets.append(token.view(np.uint64).ravel())
+                    sizes.append(size)
+                    members.append(ids.copy())
+        if partners:
+            yield from close()
+
+    return run
+
+
+def verified(docs: DataFrame, nodes: DataFrame, near: DataFrame, shared, slot_bits: int, expand: bool) -> DataFrame:
+    """The candidates ``near`` (a, partners) whose Jaccard similarity reaches the threshold: a, b (nodes), or doc_a, doc_b (their documents, a pair for each pair of nodes), and jaccard.
+
+    A pair is verified in the cluster of its lesser node's least neighbour.
+    Partners travel as arrays, and ``nodes`` (node, ids) with the sets, so that
+    pairs are first spelled out after the last shuffle.
+    """
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    label = cut(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"), F.count("*").alias("deg")))
-    la, lb = label.select(F.col("node").alias("a"), F.col("label").alias("l1")), label.select(F.col("node").alias("b"), F.col("label").alias("l2"))
-    tagged = pairs.join(la, "a").join(lb, "b").select("a", "b", F.least("l1", "l2").alias("label"))
-    size = tagged.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / F.lit(_BLOCK_PAIRS)))).cast("int").alias("side"))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
-    blocked = cut(tagged.join(size, "label").select("a", "b", F.xxhash64("label", cell("a"), cell("b")).alias("cluster")))
-    wanted = blocked.select("cluster", F.col("a").alias("node")).unionByName(blocked.select("cluster", F.col("b").alias("node"))).distinct().groupBy("node").agg(F.collect_set("cluster").alias("clusters"))
-    first = members.groupBy("node").agg(F.min("doc_id").alias("_id"))
-    wanted = cut(wanted.join(first, "node").select("_id", "node", "clusters"))
+    label = near.select(F.explode("partners").alias("node"), "a").groupBy("node").agg(F.min("a").alias("label"))
+    tagged = near.join(label, F.col("a") == F.col("node"), "left").select(F.coalesce("label", "a").alias("label"), "a", "partners")
+    wide = tagged.groupBy("label").agg(F.sum(F.size("partners")).alias("n")).where(F.col("n") > _BLOCK_PAIRS).select("label", F.ceil(F.sqrt(F.col("n") / F.lit(_BLOCK_PAIRS))).cast("int").alias("side"))
+    tagged = tagged.join(wide, "label", "left").withColumn("side", F.coalesce("side", F.lit(1)))
+    split = tagged.select("label", "a", "partners", "side", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("cell"))
+    mine = F.filter("partners", lambda b: F.pmod(F.xxhash64(b), F.col("side")) == F.col("cell"))
+    blocked, path = write_table(split.select(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("side")), "cell").alias("cluster"), "a", mine.alias("partners")).where(F.size("partners") > 0), "blocks")
+    ends = blocked.select("cluster", F.explode(F.array_append("partners", F.col("a"))).alias("node"))
+    wanted = cut(ends.groupBy("node").agg(F.collect_set("cluster").alias("clusters")).join(nodes, "node").select(F.array_min("ids").alias("_id"), "node", "clusters", "ids"))
 
     def blob(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
@@ -480,22 +524,26 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, shared, slot
         tc.release()
 
     udf = F.arrow_udf(blob, "struct<key bigint, blob binary, size bigint>")
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(broadcast_if_small(wanted, 64), "_id").select("node", "clusters", udf("text").alias("s"))
+    held = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("clusters") + F.size("ids") + 8), F.lit(0)).alias("words")).first()
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(F.broadcast(wanted) if held["words"] * 8 <= BROADCAST_BYTES else wanted, "_id").select("node", "clusters", "ids", udf("text").alias("s"))
     # An id with several texts brings each of them; only the node's own counts.
-    texts = texts.where("s.key = node").select("node", "clusters", "s.blob", "s.size")
-    sets = texts.select(F.explode("clusters").alias("cluster"), F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("size").alias("b"), "blob")
-    rows = sets.unionByName(blocked.select("cluster", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("blob")))
-    rows = rows.select("cluster", "kind", "a", "b", "blob").repartition(partitions(spark), "cluster").sortWithinPartitions("cluster", "kind")
-    return rows.mapInArrow(tc.releasing(_verify), "a bigint, b bigint, jaccard double").dropDuplicates(["a", "b"])
+    sets = texts.where("s.key = node").select(F.explode("clusters").alias("cluster"), F.lit(0).alias("kind"), F.col("node").alias("a"), "s.size", "s.blob", "ids")
+    rows = sets.unionByName(blocked.select("cluster", F.lit(1).alias("kind"), "a", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("blob"), F.col("partners").alias("ids")))
+    rows = rows.repartition(partitions(spark), "cluster").sortWithinPartitions("cluster", "kind")
+    return rows.mapInArrow(tc.releasing(_verify(expand)), "doc_a bigint, doc_b bigint, jaccard double" if expand else "a bigint, b bigint, jaccard double")
 
 
-def join_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, node, size; node pairs: a, b, jaccard) — the join without expanding equal documents."""
-    docs = docs.select("doc_id", "text")
-    members, packed, slot_bits = frequencies(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-    pairs = cut(candidates(docs, shared, slot_bits))
-    return members, cut(verified(docs, members, pairs, shared, slot_bits))
+def join_nodes(docs: DataFrame, expand: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: doc_id, node, size; nodes: node, ids; near pairs) — the join of distinct token sets, as pairs of nodes or of their documents."""
+    docs = pick(docs, "doc_id", "text")
+    spark = docs.sparkSession
+    bound_batches(spark)
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    members, packed, slot_bits = frequencies(docs, chars)
+    nodes = cut(members.groupBy("node").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")))
+    shared = spark.sparkContext.broadcast(packed)
+    near = cut(candidates(docs, shared, slot_bits, chars))
+    return members, nodes, verified(docs, nodes, near, shared, slot_bits, expand)
 
 
 def near_pairs(docs: DataFrame) -> DataFrame:
@@ -506,15 +554,11 @@ def near_pairs(docs: DataFrame) -> DataFrame:
     doc_id take no part.  Equal texts are pairs with jaccard 1.  Repeated rows
     count once; a doc_id with several texts takes part with each of them, never
     with itself, and a pair then has its greatest jaccard.  An empty table gives
-    no pairs.  Other columns are ignored whatever their names.
+    no pairs.  Other columns are ignored whatever their names, in any case.
     """
-    members, pairs = join_nodes(docs)
-    m = members.select("doc_id", "node")
-    left, right = m.select(F.col("doc_id").alias("x"), F.col("node").alias("a")), m.select(F.col("doc_id").alias("y"), F.col("node").alias("b"))
-    across = pairs.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    many = m.groupBy("node").agg(F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1)
-    same = many.select(F.explode("ids").alias("doc_a"), "ids").select("doc_a", F.explode(F.filter("ids", lambda i: i > F.col("doc_a"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(same).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    members, nodes, across = join_nodes(docs, expand=True)
+    pairs = across.unionByName(pairs_within(nodes, "doc_a", "doc_b", "jaccard"))
+    return best_of_each(pairs, members.select(F.col("doc_id").alias("id"), "node"), "doc_a", "doc_b", "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -545,13 +589,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first text's, by node key, where they differ); rows with a NULL doc_id or
     without words stay.
     """
-    members, pairs = join_nodes(docs)
+    members, _, pairs = join_nodes(docs)
     one = members.groupBy("doc_id").agg(F.min("node").alias("node"))
     group = components(pairs).select("node", "group")
     tagged = one.join(group, "node", "left").select("doc_id", F.coalesce("group", "node").alias("group"))
     first = tagged.groupBy("group").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = cut(tagged.join(first, "group").where("doc_id > first").select(F.col("doc_id").alias("__loom_id")))
-    return docs.join(broadcast_if_small(gone, 16), docs["doc_id"] == F.col("__loom_id"), "left_anti")
+    gone = cut(tagged.join(first, "group").where("doc_id > first").select("doc_id"))
+    return without(docs, "doc_id", broadcast_if_small(gone, 16))
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
