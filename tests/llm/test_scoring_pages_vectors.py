@@ -8,69 +8,89 @@ from tests.llm.conftest import LONG
 from threadloom.llm import crossentropy as C
 from threadloom.llm import html as H
 from threadloom.llm import neardup as N
-
-
-def brute_scores(rows, good, words, share):
-    texts = [(i, words(t)) for i, t in rows if t is not None]
-    n = collections.Counter(w for _, t in texts for w in t)
-    least = max(C.MIN_COUNT, math.ceil(sum(n.values()) * share))
-    vocab = {w for w, c in n.items() if c >= least}
-    grams = lambda t: list(zip(["<s>", *(w if w in vocab else "?" for w in t)], (w if w in vocab else "?" for w in t)))
-
-    def model(which):
-        c = collections.Counter(g for i, t in texts if i in which for g in grams(t))
-        ctx, kinds, uni = collections.Counter(), collections.Counter(), collections.Counter()
-        for (v, w), k in c.items():
-            ctx[v] += k
-            kinds[v] += 1
-            uni[w] += k
-        z = sum(uni.values()) + len(vocab) + 1
-        low = lambda w: (uni[w] + 1) / z
-        return lambda v, w: (c[v, w] + kinds[v] * low(w)) / (ctx[v] + kinds[v]) if ctx[v] else low(w)
-
-    back, target = model({i for i, _ in texts}), model(good)
-    return {i: sum(math.log(back(*g)) - math.log(target(*g)) for g in grams(t)) / len(t) if t else None for i, t in texts if i is not None}
-
-
-@pytest.mark.parametrize("limit", [C.BROADCAST_BYTES, 0])
-def test_scores_equal_brute_force(docs, spark, words, limit, monkeypatch):
-    monkeypatch.setattr(C, "MIN_SHARE", 0.01)
+from threadloom.llm import textcore as tc
+
+
+def brute_scores(rows, good, words):
+    """From the definition: plain dictionaries of bigrams, each row scored by the counts of all other rows."""
+    texts = [(i, words(t)) for i, t in rows]
+    chain = lambda t: ["<>", *t, "<>"] if t else []
+    grams = [list(zip(chain(t), chain(t)[1:])) for _, t in texts]
+    kinds = len({w for g in grams for _, w in g})
+
+    def counts(members):
+        pairs = collections.Counter(p for k in members for p in grams[k])
+        heads, tails = collections.Counter(), collections.Counter()
+        for (v, w), n in pairs.items():
+            heads[v] += n
+            tails[w] += n
+        return pairs, heads, tails, sum(tails.values())
+
+    sides = [counts(range(len(texts))), counts([k for k, (i, _) in enumerate(texts) if i in good])]
+    out = collections.defaultdict(list)
+    for k, (i, t) in enumerate(texts):
+        if i is None:
+            continue
+        mine = counts([k])
+        losses = []
+        for side, off in zip(sides, (1, i in good)):
+            pairs, heads, tails, total = ((x - off * y if isinstance(x, int) else {q: n - off * y[q] for q, n in x.items()}) for x, y in zip(side, mine))
+            low = lambda w: (tails.get(w, 0) + 1) / (total + kinds)  # noqa: B023, E731
+            losses.append([-math.log((pairs.get((v, w), 0) + C.PRIOR * low(w)) / (heads.get(v, 0) + C.PRIOR)) for v, w in grams[k]])
+        out[i].append((len(t), sum(y - x for x, y in zip(*losses)) / len(grams[k]) if t and sides[1][3] else None))
+    return dict(out)
+
+
+def scored(df):
+    out = collections.defaultdict(list)
+    for r in df.collect():
+        out[r["doc_id"]].append((r["n_words"], r["score"]))
+    return dict(out)
+
+
+def same_scores(got, want):
+    assert got.keys() == want.keys()
+    for k in want:
+        for (n, x), (m, y) in zip(sorted(got[k], key=str), sorted(want[k], key=str), strict=True):
+            assert n == m and (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-9, abs=1e-12))
+
+
+@pytest.mark.parametrize("run_words", [C.RUN_WORDS, 40])
+def test_scores_equal_brute_force(docs, spark, words, run_words, monkeypatch):
+    """Also with runs of a few documents, so that totals come from many."""
+    monkeypatch.setattr(C, "RUN_WORDS", run_words)
+    monkeypatch.setattr(tc, "PIECE_BYTES", 200 if run_words < 100 else tc.PIECE_BYTES)
+    monkeypatch.setattr(C, "BUCKET_WORDS", 100 if run_words < 100 else C.BUCKET_WORDS)
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(f"w{min(rng.integers(40), rng.integers(40))}" for _ in range(rng.integers(1, 60)))) for i in range(60)]
-    rows += [(100, ""), (101, "..."), (102, LONG[:5000]), (None, "w1 w2 w3")]
-    labels = spark.createDataFrame([(i, i % 2, 1 if i % 8 == 1 else 0, "z") for i in range(50)] + [(None, 1, 0, "z"), (3, 1, None, "z"), (5, None, None, "z")], "doc_id bigint, quality int, toxic int, text string")
+    rows += [(100, ""), (101, "..."), (102, LONG[:5000]), (None, "w1 w2 w3"), (103, None), (104, "w1 w1 w1 only here"), (104, "w1 w1 w1 only here"), (105, "other w2"), (105, "another w2")]
+    labels = spark.createDataFrame([(i, i % 2, 1 if i % 8 == 1 else 0, "z") for i in range(50)] + [(None, 1, 0, "z"), (3, 1, None, "z"), (5, None, None, "z")], "doc_id bigint, quality int, toxic int, TEXT string")
     good = {i for i in range(50) if i % 2 and i % 8 != 1}
-    got = {r["doc_id"]: r["score"] for r in C.score(docs([*rows, (103, None), (104, None)]), labels, limit).collect()}
-    want = brute_scores(rows, good, words, 0.01)
-    assert got.keys() == want.keys() | {103, 104} and got[103] is None and got[100] is None
-    assert all(got[k] == pytest.approx(v, abs=1e-5) for k, v in want.items() if v is not None)
+    d = docs(rows)
+    same_scores(scored(C.score(d.withColumnRenamed("text_", "TEXT"), labels)), brute_scores(rows, good, words))
 
 
-@pytest.mark.parametrize("limit", [C.BROADCAST_BYTES, 0])
-def test_words_that_occur_twice_are_known_in_any_table(docs, spark, words, limit):
-    """The count asked of a word doesn't grow with the corpus."""
-    rows = [(1, LONG), (2, "rare1 rare2 w1x"), (3, "rare1 rare2 w2x once"), (4, "w1x w2x rare3"), (5, "rare3 w7x"), (6, "")]
-    labels = spark.createDataFrame([(2, 1, 0), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
-    got = {r["doc_id"]: (r["n_words"], r["score"]) for r in C.score(docs(rows), labels, limit).collect()}
-    want = brute_scores(rows, {2, 4}, words, 0)
-    assert got.keys() == want.keys() and got[6] == (0, None) and got[3][0] == 4
-    assert all(got[k][1] == pytest.approx(v, abs=1e-5) for k, v in want.items() if v is not None)
+def test_documents_that_occur_twice_are_told_apart(docs, spark, words):
+    """Words that one document has weigh alike in both models; those of two copies do not."""
+    rows = [(i, " ".join([f"w{(i + k) % 9}" for k in range(30)] + [f"own{i}x{k}" for k in range(5)])) for i in range(40)]
+    rows += [(90, "rare one two three four five"), (91, "rare one two three four five"), (92, LONG)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    got = scored(C.score(docs(rows), labels))
+    same_scores(got, brute_scores(rows, set(range(10)), words))
+    assert min(got[90][0][1], got[91][0][1]) > max(got[i][0][1] for i in range(40)) + 1
 
 
-def test_scores_do_not_depend_on_the_size_of_the_table(docs, spark):
-    rng = np.random.default_rng(6)
-    rows = docs([(i, " ".join(f"w{rng.integers(30)}" for _ in range(40))) for i in range(40)])
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
-    small, large = ({r["doc_id"]: r["score"] for r in C.score(rows, labels, limit).collect()} for limit in (C.BROADCAST_BYTES, 0))
-    assert small.keys() == large.keys() and all(small[k] == pytest.approx(v, rel=1e-11, abs=1e-12) for k, v in large.items())
+def test_packing():
+    rng = np.random.default_rng(1)
+    for x in (np.zeros(0), np.zeros(5), np.arange(70_000), rng.integers(0, 1 << 63, size=1000)):
+        assert np.array_equal(C.unpack(C.pack(x.astype(np.uint64))), x.astype(np.uint64))
 
 
 def test_scores_without_target_or_rows(docs, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    for limit in (C.BROADCAST_BYTES, -1):
-        got = C.score(docs([(1, "a b c"), (1, "a b c"), (2, None)]), labels, limit).collect()
-        assert sorted((r["doc_id"], r["n_words"], r["score"]) for r in got) == [(1, 3, None), (1, 3, None), (2, 0, None)]
-        assert C.score(docs([]), labels, limit).count() == 0
+    got = C.score(docs([(1, "a b c"), (1, "a b c"), (2, None)]), labels).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["score"]) for r in got) == [(1, 3, None), (1, 3, None), (2, 0, None)]
+    assert C.score(docs([]), labels).count() == 0
 
 
 PAGE = (
@@ -135,18 +155,54 @@ def test_near_vectors_recall(spark):
 
 
 def test_near_vectors_in_many_cells(spark, monkeypatch):
-    """More projections a table, as large inputs have, find the same pairs."""
+    """More signs and tables, as large inputs have, and counting in many steps find the same pairs."""
     monkeypatch.setattr(N, "CELL_ROWS", 2)
+    monkeypatch.setattr(N, "_AT_ONCE", 50)
     rng = np.random.default_rng(4)
     base = rng.standard_normal((150, 16))
     x = np.concatenate([base, base[:90] + rng.standard_normal((90, 16)) * 0.1])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert N.Plan(16, len(x)).c >= 3
+    assert N.Plan(16, len(x)).signs >= 6
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= N.MIN_COSINE, 1)))}
     got = {(r["vec_a"], r["vec_b"]) for r in N.near_duplicates(_vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
     assert len(want & got) >= 0.95 * len(want) and got <= want
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_near_vectors_recall_at_two_sizes(spark, n):
+    """Pairs just above the threshold, the hardest ones, with as many signs and tables as the size asks for."""
+    rng = np.random.default_rng(n)
+    u = rng.standard_normal((n, 24))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    side = rng.standard_normal((n, 24))
+    side -= (side * u).sum(axis=1, keepdims=True) * u
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([u, u[: n // 3] * 0.952 + side[: n // 3] * np.sqrt(1 - 0.952**2)])
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= N.MIN_COSINE, 1)))}
+    got = {(r["vec_a"], r["vec_b"]) for r in N.near_duplicates(_vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    assert len(want) >= n // 3 and len(want & got) >= 0.975 * len(want)
+
+
+def test_tables_grow_slowly_with_the_vectors():
+    tables = [N.Plan(64, 10**k).tables for k in (3, 5, 7, 9)]
+    assert tables == sorted(tables) and tables[-1] < 60
+
+
+def test_equal_vectors_are_one_node(spark, monkeypatch):
+    from threadloom.llm import pairs
+
+    monkeypatch.setattr(pairs, "CHUNK", 4)
+    rows = [(i, [3.0 + i, 0.0, 0.0, 0.0]) for i in range(11)] + [(20 + i, [0.0, 1.0, 0.01 * i, 0.0]) for i in range(3)] + [(20, [0.0, 0.0, 0.0, 5.0]), (5, [0.0, 2.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0, 0.0])]
+    got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in N.near_duplicates(_vectors(spark, rows)).collect()}
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+    want: dict = {}
+    for k, (i, v) in enumerate(unit):
+        for j, w in unit[:k]:
+            if i != j and v @ w >= N.MIN_COSINE:
+                want[min(i, j), max(i, j)] = max(want.get((min(i, j), max(i, j)), 0), v @ w)
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_near_vectors_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (8, [1.0, None]), (9, [0.0, 1.0])]
     got = N.near_duplicates(_vectors(spark, rows)).collect()

@@ -1,27 +1,29 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Vectors are scaled to length 1 and projected on ``PROJECTIONS`` random
-directions.  On each sorted projection the query-centred window of a vector is
-everything within ``WINDOW`` times the near-duplicate distance; a pair collides
-there if each is in the other's window.  Over Gaussian directions a pair at the
-threshold distance collides with known probability p on each projection, so the
-number of collisions asked of a pair is calibrated: the greatest count that such
-a pair reaches with probability ``COUNT_RECALL``.  Pairs with that count are
-verified by their exact cosine.
-
-Not all pairs are counted: c projections are laid together as a table, sorted
-into cells of one window's width, and a vector meets those in its own and the
-adjacent cells, so its window is centred on it in each of the c projections.
-Pairs that collide on all c of a table are counted over all projections.  The
-number of tables is calibrated so that a pair at the threshold distance meets in
-one with probability ``MEET_RECALL``; c grows with the logarithm of the number of
-vectors, which keeps cells about ``CELL_ROWS`` large.
+Equal directions are one node of the join.  Vectors of length 1 are projected on
+``PROJECTIONS`` random directions.  On a projection, the query-centred window of
+a vector is everything within ``WINDOW`` times the near-duplicate distance; a
+pair collides there if each is in the other's window.  Over Gaussian directions a
+pair at the threshold distance collides with known probability p on each
+projection, so the number of collisions asked of a pair is calibrated: the
+greatest count that such a pair reaches with probability ``COUNT_RECALL``.  Pairs
+with that count are verified by their exact cosine.
+
+A window of one projection holds a third of all vectors at the usual threshold,
+however many there are, so counting all of its collisions would be quadratic.
+Therefore each sort is of a part of the vectors: a table sorts by the signs of
+some further random directions first and by a projection of its own second.
+A vector's window is then the run of rows around it in that order, and a pair
+whose windows meet there is counted over all projections.  The number of signs
+follows the number of vectors, so that about ``CELL_ROWS`` share their signs; the
+number of tables is the one by which a pair at the threshold meets in at least one
+with probability ``MEET_RECALL``.  It grows with about the sixth root of the
+number of vectors (cosine 0.95), and a vector has one row a table.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -30,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut, partitions, table
+from threadloom.llm.common import cut, partitions, pick, table
+from threadloom.llm.pairs import best_of_each, pairs_within
 
 MIN_COSINE, PROJECTIONS, WINDOW, SEED = 0.95, 48, 1.5, 17
-COUNT_RECALL, MEET_RECALL, CELL_ROWS = 0.995, 0.98, 1000
+COUNT_RECALL, MEET_RECALL, CELL_ROWS = 0.995, 0.99, 512
 #: Projections are rounded to this part of a window, which widens windows by as much.
 _GRID = 256
+#: Pairs that are counted at once, and projections after which those that can't reach the count are dropped.
+_AT_ONCE, _STEP = 1 << 19, 8
 
 
 class Plan:
@@ -47,11 +52,13 @@ class Plan:
         self.width = WINDOW * near
         self.p = math.erf(WINDOW / math.sqrt(2))
         self.count = max(k for k in range(PROJECTIONS + 1) if self._at_least(k) >= COUNT_RECALL)
-        cell = min(0.9, self.width / (2 * math.sqrt(math.pi)))
-        self.c = min(6, max(1, math.ceil(math.log(max(1, rows / CELL_ROWS)) / -math.log(cell))))
-        self.tables = min(PROJECTIONS // self.c, math.ceil(math.log(1 - MEET_RECALL) / math.log(1 - self.p**self.c)))
-        self.directions = np.random.default_rng(SEED).standard_normal((dim, PROJECTIONS)).astype(np.float32)
-        self.offsets = [o for o in itertools.product((-1, 0, 1), repeat=self.c) if o > (0,) * self.c]
+        self.signs = max(0, math.ceil(math.log2(max(1, rows / CELL_ROWS))))
+        #: A pair at the threshold meets in a table if all signs agree and it collides on the table's own projection.
+        meet = (1 - math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi) ** self.signs * self.p
+        self.tables = math.ceil(math.log(1 - MEET_RECALL) / math.log(1 - meet))
+        rng = np.random.default_rng(SEED)
+        self.directions = rng.standard_normal((dim, PROJECTIONS)).astype(np.float32)
+        self.planes = rng.standard_normal((self.tables, dim, self.signs)).astype(np.float32)
 
     def _at_least(self, k: int) -> float:
         n, p = PROJECTIONS, self.p
@@ -78,96 +85,101 @@ def _units(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def _posts(plan):
-    """Worker function: vectors to (cell of a table, guest or not, id, projections) rows."""
+    """Worker function: nodes to one row a table: its cell (signs and table), its place on the table's projection, and all projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Plan = plan.value
-        mult = np.random.default_rng(SEED + 1).integers(1, 1 << 62, size=p.c, dtype=np.int64) | 1
+        weights = np.random.default_rng(SEED + 1).integers(1, 1 << 62, size=p.signs, dtype=np.int64) | 1
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                ids = batch.column(0).to_numpy()
-                proj = np.rint(_matrix(batch.column(1), p.dim) @ p.directions * (_GRID / p.width)).astype(np.int32)
+                v = _matrix(batch.column(1), p.dim)
+                proj = np.clip(np.rint(v @ p.directions * (_GRID / p.width)), -32000, 32000).astype(np.int16)
                 blob = pa.array([r.tobytes() for r in proj], type=pa.binary())
                 for t in range(p.tables):
-                    cell = proj[:, t * p.c : (t + 1) * p.c] // _GRID
-                    for guest, off in [(False, (0,) * p.c), *((True, o) for o in p.offsets)]:
-                        with np.errstate(over="ignore"):
-                            key = ((cell - np.array(off)).astype(np.int64) * mult).sum(axis=1) * 64 + t
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), guest)), pa.array(ids), blob], names=["key", "guest", "id", "proj"])
+                    with np.errstate(over="ignore"):
+                        cell = ((v @ p.planes[t] > 0) * weights).sum(axis=1, dtype=np.int64) * 1_000_003 + t
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(v), t, dtype=np.int32)), pa.array(proj[:, t % PROJECTIONS].astype(np.int32)), batch.column(0), blob], names=["cell", "t", "place", "node", "proj"])
 
     return run
 
 
+def _window_pairs(place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, in the order of one sorted projection, that are in each other's window."""
+    ends = np.searchsorted(place, place + _GRID, side="right")
+    n = ends - np.arange(len(place)) - 1
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(place):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _AT_ONCE)))
+        some = n[at:stop]
+        i = np.repeat(np.arange(at, stop), some)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        at = stop
+
+
+def _collided(x: np.ndarray, i: np.ndarray, j: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that collide on at least ``count`` projections."""
+    missed = np.zeros(len(i), dtype=np.int16)
+    for d in range(0, PROJECTIONS, _STEP):
+        part = x[:, d : d + _STEP]
+        missed += (np.abs(part[i] - part[j]) > _GRID).sum(axis=1, dtype=np.int16)
+        left = missed <= PROJECTIONS - count
+        i, j, missed = i[left], j[left], missed[left]
+    return i, j
+
+
 def _count(plan):
-    """Worker function: posts sorted by cell to (a, b) pairs with enough collisions."""
-
-    def pairs(key: int, home: tuple, guest: tuple, p: Plan):
-        t = key % 64
-        mine = slice(t * p.c, (t + 1) * p.c)
-        for ids, x, own in ((*home, True), (*guest, False)):
-            for at in range(0, len(home[0]), 256):
-                a_id, a = home[0][at : at + 256], home[1][at : at + 256]
-                for lo in range(0, len(ids), 4096):
-                    b_id, b = ids[lo : lo + 4096], x[lo : lo + 4096]
-                    near = np.ones((len(a), len(b)), dtype=bool)
-                    for d in range(mine.start, mine.stop):
-                        near &= np.abs(a[:, None, d] - b[None, :, d]) <= _GRID
-                    if own:
-                        near &= np.arange(at, at + len(a))[:, None] < np.arange(lo, lo + len(b))[None, :]
-                    i, j = np.nonzero(near)
-                    for s in range(0, len(i), 65536):
-                        u, v = i[s : s + 65536], j[s : s + 65536]
-                        hit = (np.abs(a[u] - b[v]) <= _GRID).sum(axis=1) >= p.count
-                        m, n = a_id[u[hit]], b_id[v[hit]]
-                        ok = m != n
-                        if ok.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, n)[ok]), pa.array(np.maximum(m, n)[ok])], names=["a", "b"])
+    """Worker function: posts sorted by cell and place to (a, b) pairs of nodes with enough collisions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Plan = plan.value
-        now, held = None, []
+        count, now, held = plan.value.count, None, []
 
         def close():
-            guest, ids, x = (np.concatenate(c) for c in zip(*held))
-            yield from pairs(now, (ids[~guest], x[~guest]), (ids[guest], x[guest]), p)
+            place, node, x = (np.concatenate(c) for c in zip(*held))
+            for i, j in _window_pairs(place):
+                i, j = _collided(x, i, j, count)
+                if len(i):
+                    a, b = node[i], node[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            guest = batch.column(1).to_numpy(zero_copy_only=False)
-            ids = batch.column(2).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.int32).reshape(-1, PROJECTIONS)
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            cell, t, place, node = (batch.column(k).to_numpy() for k in range(4))
+            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.int16).reshape(-1, PROJECTIONS)
+            cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (t[1:] != t[:-1])) + 1, [len(cell)]])
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if lo == hi:
                     continue
-                if now is not None and key[lo] != now:
+                if now is not None and (cell[lo], t[lo]) != now:
                     yield from close()
                     held = []
-                now = key[lo]
-                held.append((guest[lo:hi], ids[lo:hi], x[lo:hi]))
+                now = (cell[lo], t[lo])
+                held.append((place[lo:hi], node[lo:hi], x[lo:hi]))
         if held:
             yield from close()
 
     return run
 
 
-def _pairs(vectors: DataFrame, dim: int, min_cosine: float) -> DataFrame:
-    """vec_a, vec_b and cosine of the near-duplicates among the vectors of one dimension."""
+def _pairs(vectors: DataFrame, dim: int, min_cosine: float) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates among the vectors of one dimension: (vec_a, vec_b, cosine), and the nodes' members (id, node)."""
     spark = vectors.sparkSession
-    v = cut(_units(vectors, dim).distinct())
-    plan = spark.sparkContext.broadcast(Plan(dim, v.count(), min_cosine))
-    posts = v.mapInArrow(_posts(plan), "key bigint, guest boolean, id bigint, proj binary").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    found = cut(posts.mapInArrow(_count(plan), "a bigint, b bigint").distinct())
-    full = found.join(v.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
+    nodes = cut(_units(vectors, dim).groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "v", "ids"))
+    plan = spark.sparkContext.broadcast(Plan(dim, nodes.count(), min_cosine))
+    posts = nodes.select("node", "v").mapInArrow(_posts(plan), "cell bigint, t int, place int, node bigint, proj binary").repartition(partitions(spark), "cell", "t").sortWithinPartitions("cell", "t", "place")
+    found = posts.mapInArrow(_count(plan), "a bigint, b bigint").distinct()
+    side = lambda node, v, ids: nodes.select(F.col("node").alias(node), F.col("v").alias(v), F.col("ids").alias(ids))
+    full = found.join(side("a", "x", "ids_a"), "a").join(side("b", "y", "ids_b"), "b").select("x", "y", "ids_a", "ids_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cosine = np.einsum("ij,ij->i", _matrix(batch.column(2), dim).astype(np.float64), _matrix(batch.column(3), dim).astype(np.float64))
-            keep = pa.array(cosine >= min_cosine)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(cosine).filter(keep)], names=["vec_a", "vec_b", "cosine"])
+            cosine = np.minimum(1.0, np.einsum("ij,ij->i", *(_matrix(batch.column(k), dim).astype(np.float64) for k in (0, 1))))
+            ok = pa.array(cosine >= min_cosine)
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(ok), batch.column(3).filter(ok), pa.array(cosine).filter(ok)], names=["ids_a", "ids_b", "cosine"])
 
-    return full.mapInArrow(verify, "vec_a bigint, vec_b bigint, cosine double")
+    near = full.mapInArrow(verify, "ids_a array<bigint>, ids_b array<bigint>, cosine double").select(F.explode("ids_a").alias("p"), "ids_b", "cosine").select("p", F.explode("ids_b").alias("q"), "cosine")
+    across = near.where("p <> q").select(F.least("p", "q").alias("vec_a"), F.greatest("p", "q").alias("vec_b"), "cosine")
+    return across.unionByName(pairs_within(nodes.select("ids"), "vec_a", "vec_b", "cosine")), nodes.select(F.explode("ids").alias("id"), "node", F.lit(dim).alias("dim"))
 
 
 def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -175,19 +187,20 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataF
 
     Vectors are compared with those of the same dimension, for each dimension that
     occurs.  Left out are rows with a NULL vec_id or embedding, with a NULL, NaN or
-    infinite element, and of length 0.  Repeated rows count once; an id with several
-    vectors takes part with each, never with itself, and a pair then has its
-    greatest cosine.  Empty tables give no pairs.  Other columns are ignored
-    whatever their names.
+    infinite element, and of length 0.  Repeated rows count once, and vectors that
+    are equal up to their length have cosine 1; an id with several vectors takes
+    part with each, never with itself, and a pair then has its greatest cosine.
+    Empty tables give no pairs.  Other columns are ignored whatever their names, in
+    any case.
     """
     spark = vectors.sparkSession
-    v = vectors.where(F.expr("not exists(embedding, x -> x is null)")).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    v = pick(vectors, "vec_id", "embedding").where(F.expr("not exists(embedding, x -> x is null)")).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
     # A dimension of one row has no pair.
     dims = [r["d"] for r in v.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
     if not dims:
         return spark.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
-    found = functools.reduce(DataFrame.unionByName, (_pairs(v, d, min_cosine) for d in dims))
-    return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    found, members = zip(*(_pairs(v, d, min_cosine) for d in dims))
+    return best_of_each(functools.reduce(DataFrame.unionByName, found), functools.reduce(DataFrame.unionByName, members), "vec_a", "vec_b", "cosine")
 
 
 def neardup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
