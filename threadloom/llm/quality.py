@@ -1,4 +1,10 @@
-"""Quality classifier: learned hashed word, word bigram and character n-gram vectors, averaged per document, softmax output."""
+"""Quality classifier: learned hashed word, word bigram and character n-gram vectors, averaged per document, softmax output.
+
+All features share one space of buckets.  The hash of a word bigram is that of
+the difference of its words' hashes: bigrams of different words are told apart
+and ordered, and those of one word twice all share a bucket, so that what is
+learned of one repeated word holds for others.
+"""
 
 from __future__ import annotations
 
@@ -10,25 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import cut, fit_in_task, table
+from threadloom.llm.common import cut, fit_in_task, pick, table
 from threadloom.llm.subword import BagModel, gram_buckets, padded, sigmoid, tokens
 
 BITS, DIM, ORDERS = 18, 16, (3, 4)
 #: Most labelled rows that are fetched to fit the model.
 TRAIN_ROWS = 4000
 EPOCHS, RATE, SEED = 4, 0.05, 7
-#: Buckets of the bigrams that repeat a word and of all others.
-_BIGRAM = (0x155AA % (1 << BITS), 0x2A955 % (1 << BITS))
+_U = np.uint64
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
-    """_id, _t (text) and _y (label) of at most ``rows`` labelled documents, half of them of the rarer class if it has as many, picked by a hash of the id among those of ``docs`` with a text."""
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where("_t is not null")
-    lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
+    """_id, _t (text) and _y (label) of at most ``rows`` labelled documents, half of them of the rarer class if it has as many, picked by a hash of the id among those of ``docs`` whose text isn't blank.
+
+    An id with several labels has the greatest; one with several texts the least.
+    """
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where(F.col("_t").rlike(r"\S"))
+    lab = pick(labels, "doc_id", label).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     lab = cut(lab.join(texts.select("_id"), "_id", "left_semi"))
-    pick = lambda y, n: lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(n)
-    chosen = pick(0, rows // 2).unionByName(pick(1, rows // 2))
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").dropDuplicates(["_id"])
+    some = lambda y, n: lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(n)
+    chosen = some(0, rows // 2).unionByName(some(1, rows // 2))
+    return texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
 
 
 def training_rows(rows: list[dict]) -> list[tuple[str, int]]:
@@ -41,12 +49,11 @@ def _features(arr: pa.Array):
     b, seps = padded(arr, lower=False, words_only=False)
     s, e = tokens(b)
     word, first = tc.span_hashes(b, s, e), np.searchsorted(s, seps)
-    yield (word >> np.uint64(64 - BITS)).astype(np.int64), first
-    # Word bigrams, by whether they repeat the word: what no n-gram of one word can tell.
-    again = np.zeros(len(word), dtype=bool)
-    again[1:] = word[1:] == word[:-1]
-    again[first[:-1][np.diff(first) > 0]] = False
-    yield np.where(again, *_BIGRAM), first
+    yield (word >> _U(64 - BITS)).astype(np.int64), first
+    second = np.ones(len(word), dtype=bool)
+    second[first[:-1][np.diff(first) > 0]] = False
+    at = np.flatnonzero(second)
+    yield (tc.mix(word[at] - word[at - 1]) >> _U(64 - BITS)).astype(np.int64), np.searchsorted(at, first)
     for pos, bucket in gram_buckets(b, ORDERS, BITS):
         yield bucket, np.searchsorted(pos, seps)
 
@@ -87,10 +94,10 @@ class QualityModel:
 
 
 def fit(rows: list[tuple[str, int]]) -> QualityModel:
-    """Fit by stochastic gradient descent over shuffled rows; the classes have equal weight since each epoch repeats the rarer one."""
-    if len({y for _, y in rows}) < 2:
-        return QualityModel(None, 0.0)
+    """Fit by stochastic gradient descent over shuffled rows; the classes have equal weight since each epoch repeats the rarer one. Without rows with features of both classes there is no model."""
     data = [(idx, x, y) for (idx, x), (_, y) in zip(bags([t for t, _ in rows]), rows) if len(idx)]
+    if len({d[2] for d in data}) < 2:
+        return QualityModel(None, 0.0)
     y = np.array([d[2] for d in data])
     rng = np.random.default_rng(SEED)
     model = BagModel(BITS, DIM, SEED)
@@ -110,9 +117,11 @@ def fit(rows: list[tuple[str, int]]) -> QualityModel:
 def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, quality_score (probability of good quality) and quality (1 if it is 0.5 or more) for every row of ``docs``.
 
-    Null and empty texts, and every text where there was nothing to learn from,
-    get NULL in both columns.  Repeated rows are scored alike; a null doc_id
-    passes through; extra columns are ignored whatever their names.
+    Null and blank texts, and every text where there was nothing to learn from (no
+    labelled text of either class that isn't blank), get NULL in both columns.  A
+    text of any length is read whole.  Repeated rows are scored alike; a null
+    doc_id passes through; an empty table gives an empty one; other columns are
+    ignored whatever their names, in any case.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -123,7 +132,7 @@ def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.array(shared.value.scores(text), from_pandas=True)
         tc.release()
 
-    scored = docs.select(F.col("doc_id"), score(F.col("text")).alias("quality_score"))
+    scored = pick(docs, "doc_id", "text").select("doc_id", score("text").alias("quality_score"))
     return scored.select("doc_id", "quality_score", F.when(F.col("quality_score") >= 0.5, 1).when(F.col("quality_score") < 0.5, 0).alias("quality"))
 
 
