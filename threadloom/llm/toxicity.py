@@ -1,13 +1,17 @@
-"""Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly, read over short windows of words.
+"""Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the average of the vectors of its character n-grams (with its two
 boundaries) and of the whole word, so a misspelling shares most of its vectors
-with the word it stands for.  A window is the average of ``WINDOW`` successive
-words, and a document is as toxic as its most toxic window: a few words in a
-very long text weigh as much as in a short one.  Training alternates between
-choosing each labelled document's highest window under the present model and
-stochastic gradient steps on the windows chosen, some of them misspelt at
-random with their label kept.
+with the word it stands for.  A bag of words is the average of its words, and a
+linear softmax of the average is its verdict; vectors and softmax are learned
+together by stochastic gradient descent.
+
+With ``window`` 0 the bag is the document.  The average of a long document
+drowns a few words in it, so by default a bag is a window of ``WINDOW``
+successive words, and a document is as toxic as its most toxic window.  Training
+then alternates between choosing each labelled document's highest window under
+the present model and gradient steps on the windows chosen, some of them
+misspelt at random with their label kept.  The README compares the two.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import fit_in_task, table
+from threadloom.llm.common import fit_in_task, keep, pick, table
 from threadloom.llm.quality import labelled_sample, training_rows
 from threadloom.llm.subword import BagModel, gram_buckets, padded, sigmoid, tokens
 
@@ -52,19 +56,23 @@ def word_scores(kinds, weights: np.ndarray) -> np.ndarray:
     return total / np.maximum(count, 1)
 
 
-def window_means(score: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word the mean over it and the words after it in the same document, ``WINDOW`` in all; a window may be shorter at the end."""
+def window_means(score: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """For each word the mean over it and the words after it in the same document, ``window`` in all (0: as many as the document has, from its start on); a window may be shorter at the end."""
     n = len(score)
-    stop = np.minimum(np.arange(n) + WINDOW, np.repeat(first[1:], np.diff(first)))
+    size = np.diff(first)
+    at = np.arange(n) if window else np.repeat(first[:-1], size)
+    stop = np.repeat(first[1:], size)
+    if window:
+        stop = np.minimum(at + window, stop)
     sums = np.concatenate([[0.0], np.cumsum(score)])
-    return (sums[stop] - sums[:n]) / np.maximum(1, stop - np.arange(n))
+    return (sums[stop] - sums[at]) / np.maximum(1, stop - at)
 
 
 class ToxicityModel:
     """``weights`` is None where there were no labelled rows of both classes."""
 
-    def __init__(self, weights: np.ndarray | None, bias: float, threshold: float):
-        self.weights, self.bias, self.threshold = weights, bias, threshold
+    def __init__(self, weights: np.ndarray | None, bias: float, threshold: float, window: int = WINDOW):
+        self.weights, self.bias, self.threshold, self.window = weights, bias, threshold, window
 
     def scores(self, arr: pa.Array) -> np.ndarray:
         """Probability of the most toxic window; NaN for texts without words and without a model."""
@@ -76,7 +84,7 @@ class ToxicityModel:
             first, kinds = word_features(piece)
             full = np.flatnonzero(np.diff(first))
             if len(full):
-                means = window_means(word_scores(kinds, self.weights), first)
+                means = window_means(word_scores(kinds, self.weights), first, self.window)
                 out[at + full] = sigmoid(np.maximum.reduceat(means, first[full]) + self.bias)
         return out
 
@@ -115,15 +123,28 @@ class _Words:
         return keys, (share / share.sum()).astype(np.float32)
 
 
-def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """Fit on four rows of five; the threshold is the one that separates the fifth best (F1; the middle of the gap where there is one)."""
-    if len({y for _, y in rows}) < 2:
-        return ToxicityModel(None, 0.0, 0.5)
+def fit(rows: list[tuple[str, int]], window: int = WINDOW) -> ToxicityModel:
+    """Fit on four rows of five; the threshold is the one that separates the fifth best (F1; the middle of the gap where there is one).
+
+    Without rows with words of both classes there is no model.
+    """
     docs = [(_Words(t), y) for t, y in rows]
     docs = [d for d in docs if d[0].n]
+    if len({y for _, y in docs}) < 2:
+        return ToxicityModel(None, 0.0, 0.5, window)
     held = [d for i, d in enumerate(docs) if i % HELD_OUT == 0]
     used = [d for i, d in enumerate(docs) if i % HELD_OUT]
+    if len({y for _, y in used}) < 2:
+        held, used = docs, docs
     model, rng = BagModel(BITS, DIM, SEED), np.random.default_rng(SEED)
+    if not window:
+        for r in range(ROUNDS):
+            for k in rng.permutation(len(used)):
+                w, label = used[k]
+                model.step(*w.bag(0, w.n), label, RATE * (1 - 0.8 * r / ROUNDS))
+        weights, bias = model.folded()
+        best = [(float(window_means(word_scores(w.kinds, weights), w.first, 0)[0]) + bias, label) for w, label in held]
+        return ToxicityModel(weights, bias, float(sigmoid(_cut(best))), window)
     # Start from the words whose document frequency differs most between the classes, so that the first windows chosen are telling ones.
     y = np.array([d[1] for d in used])
     start = np.zeros(1 << BITS)
@@ -134,7 +155,7 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     for r in range(ROUNDS):
         chosen = []
         for w, label in used:
-            means = window_means(word_scores(w.kinds, weights), w.first)
+            means = window_means(word_scores(w.kinds, weights), w.first, window)
             at = int(means.argmax())
             chosen.append((w, at, label))
             if not label:
@@ -142,12 +163,12 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
         for k in rng.permutation(len(chosen)):
             w, at, label = chosen[k]
             rate = RATE * (1 - 0.8 * r / ROUNDS)
-            model.step(*w.bag(at, at + WINDOW), label, rate)
+            model.step(*w.bag(at, at + window), label, rate)
             if rng.random() < MISSPELT:
-                model.step(*w.misspelt(at, at + WINDOW, rng), label, rate)
+                model.step(*w.misspelt(at, at + window, rng), label, rate)
         weights, bias = model.folded()
-    best = [(float(window_means(word_scores(w.kinds, weights), w.first).max()) + bias, label) for w, label in (held or used)]
-    return ToxicityModel(weights, bias, float(sigmoid(_cut(best))))
+    best = [(float(window_means(word_scores(w.kinds, weights), w.first, window).max()) + bias, label) for w, label in held]
+    return ToxicityModel(weights, bias, float(sigmoid(_cut(best))), window)
 
 
 def _cut(scored: list[tuple[float, int]]) -> float:
@@ -179,16 +200,20 @@ def classify(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, toxicity (probability of the most toxic window) and toxic (1 from the fitted threshold on) for every row of ``docs``.
 
     Null texts, texts without words, and every text where there was nothing to
-    learn from, get NULL in both columns.  Repeated rows are scored alike; a
-    null doc_id passes through; extra columns are ignored whatever their names.
+    learn from (no labelled text with words of either class), get NULL in both
+    columns.  A text of any length is read whole.  Repeated rows are scored alike;
+    a null doc_id passes through; an empty table gives an empty one; other columns
+    are ignored whatever their names, in any case.
     """
-    scored = docs.select(F.col("doc_id"), _verdicts(model, docs)(F.col("text")).alias("toxicity"))
+    scored = pick(docs, "doc_id", "text").select("doc_id", _verdicts(model, docs)("text").alias("toxicity"))
     return scored.select("doc_id", "toxicity", F.when(F.col("toxicity") >= model.threshold, 1).when(F.col("toxicity") < model.threshold, 0).alias("toxic"))
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model doesn't find toxic; a text without a verdict stays."""
-    return docs.where(F.coalesce(_verdicts(model, docs)(docs["text"]), F.lit(0.0)) < model.threshold)
+    """The rows of ``docs``, all columns, that the model doesn't find toxic; a text without a verdict stays, and all rows where there was nothing to learn from."""
+    if model.weights is None:
+        return docs
+    return keep(docs, lambda col: F.coalesce(_verdicts(model, docs)(col("text")), F.lit(-1.0)) < model.threshold)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
