@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import fit_in_task, table
+from threadloom.llm.common import fit_in_task, keep, pick, table
 from threadloom.llm.subword import gram_buckets, padded
 
 BITS, ORDERS = 12, (2, 3)
@@ -111,18 +111,30 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
 
 
 def fit_on(docs: DataFrame) -> LanguageModel:
-    """Fit on at most ``TRAIN_ROWS_EACH`` rows of each declared language, picked by a hash of the id over the whole table."""
-    keys = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_l")).where("_id is not null and _l is not null")
-    langs = [r["_l"] for r in keys.select("_l").distinct().collect()]
-    if not langs:
+    """Fit on at most ``TRAIN_ROWS_EACH`` rows of each declared language, those with the least hashes of their id; an id with several texts or languages has the least.
+
+    One scan counts the rows of each language; one more takes those whose hash is
+    under a bound at which about half as many again are expected, whatever the
+    number of languages.
+    """
+    rows = pick(docs, "doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return fit([])
-    chosen = None
-    for lang in sorted(langs):
-        one = keys.where(F.col("_l") == lang).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(TRAIN_ROWS_EACH)
-        chosen = one if chosen is None else chosen.unionByName(one)
-    chosen = chosen.select("_id").distinct()
-    sample = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t"), F.col("lang").alias("_l")).where("_t is not null and _l is not null").join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
-    return fit_in_task(sample, lambda rows: fit([(r["_t"], r["_l"]) for r in sorted(rows, key=lambda r: r["_id"])]))
+    hashed = F.xxhash64("doc_id", F.lit(SEED))
+    share = {lang: min(1.0, (1.5 * TRAIN_ROWS_EACH + 100) / n) for lang, n in counts.items()}
+    bounds = docs.sparkSession.createDataFrame([(lang, min((1 << 63) - 1, int(x * (1 << 64)) - (1 << 63))) for lang, x in sorted(share.items())], "lang string, bound bigint")
+    sample = rows.join(F.broadcast(bounds), "lang").where(hashed <= F.col("bound")).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("s"), F.first(hashed).alias("h")).select("doc_id", "h", "s.text", "s.lang")
+    return fit_in_task(sample, _fit_sample)
+
+
+def _fit_sample(rows: list[dict]) -> LanguageModel:
+    """Fit on the rows with the least hashes of each language, in the order of their ids."""
+    by_lang: dict[str, list[dict]] = {}
+    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"])):
+        by_lang.setdefault(r["lang"], []).append(r)
+    chosen = sorted((r for own in by_lang.values() for r in own[:TRAIN_ROWS_EACH]), key=lambda r: r["doc_id"])
+    return fit([(r["text"], r["lang"]) for r in chosen])
 
 
 def _verdict(docs: DataFrame, model: LanguageModel):
@@ -147,18 +159,19 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Null texts and texts without letters or digits get a NULL language, loss and
     margin and are ambiguous; so is every text if no row had a declared language.
-    Repeated rows are decided alike; ties go to the first language by name, with
-    margin 0; a null doc_id passes through; extra columns are ignored whatever
-    their names.
+    A text of any length is read whole.  Repeated rows are decided alike; ties go
+    to the first language by name, with margin 0; a null doc_id passes through; an
+    empty table gives an empty one; other columns are ignored whatever their
+    names, in any case.
     """
-    return docs.select(F.col("doc_id"), _verdict(docs, model)(F.col("text")).alias("v")).select("doc_id", "v.language", "v.loss", "v.margin", "v.ambiguous")
+    return pick(docs, "doc_id", "text").select("doc_id", _verdict(docs, model)("text").alias("v")).select("doc_id", "v.language", "v.loss", "v.margin", "v.ambiguous")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not ambiguous; all rows where there was nothing to learn from."""
+    """The rows of ``docs``, all columns, whose language is not ambiguous: not those with a null, empty or letterless text. All rows stay where there was nothing to learn from."""
     if not model.names:
         return docs
-    return docs.where(~_verdict(docs, model)(docs["text"])["ambiguous"])
+    return keep(docs, lambda col: ~_verdict(docs, model)(col("text"))["ambiguous"])
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
