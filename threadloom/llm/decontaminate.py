@@ -8,6 +8,8 @@ since a match of a length implies one of each smaller length), marked as a tile,
 and so on until no run of ``MIN_MATCH`` words is left.  Tiles don't overlap and
 may stand in any order, so reordered passages are caught.  A document is
 contaminated by an item if the tiles cover at least ``COVERAGE`` of its words.
+An item of fewer than ``MIN_MATCH`` words has no seed; it contaminates a document
+that consists of just its words.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import BROADCAST_BYTES, broadcast_if_small, cut, table
+from threadloom.llm.common import BROADCAST_BYTES, broadcast_if_small, cut, pick, table, without
 
 MIN_MATCH, COVERAGE = 4, 0.5
 _U = np.uint64
@@ -85,7 +87,7 @@ class Benchmark:
             w = tc.Words(piece)
             self.items += [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
         self.ids = list(ids)
-        seeds = [(np.unique(tc.shingle_hashes(t, MIN_MATCH)) if len(t) >= MIN_MATCH else t[:0]) for t in self.items]
+        seeds = [np.unique(tc.shingle_hashes(t, MIN_MATCH)) for t in self.items]
         h = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
         at = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds]).astype(np.int64)
         by = np.argsort(h, kind="stable")
@@ -109,12 +111,21 @@ def _doc_seeds(piece: pa.Array, seen: np.ndarray):
     at = np.flatnonzero(seen[h >> _U(64 - bits)])
     doc = np.searchsorted(w.first, at, side="right") - 1
     inside = at + MIN_MATCH <= w.first[doc + 1]
-    at, doc = at[inside], doc[inside]
-    return w, doc, at - w.first[doc], h[at]
+    at, doc, h = at[inside], doc[inside], h[at[inside]]
+    # A document of fewer words has one seed, all its words, as an item of fewer has.
+    size = np.diff(w.first)
+    short = np.flatnonzero((size > 0) & (size < MIN_MATCH))
+    if len(short):
+        whole = np.array([tc.shingle_hashes(w.hashes[w.first[d] : w.first[d + 1]], MIN_MATCH)[0] for d in short], dtype=np.uint64)
+        hit = seen[whole >> _U(64 - bits)]
+        doc, at, h = np.concatenate([doc, short[hit]]), np.concatenate([at, w.first[short[hit]]]), np.concatenate([h, whole[hit]])
+    return w, doc, at - w.first[doc], h
 
 
 def _reduced(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Only the words of ``words`` that the seeds at ``at`` cover; a word that occurs nowhere parts what wasn't adjacent. No tile is lost."""
+    if len(words) < MIN_MATCH:
+        return words
     covered = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + MIN_MATCH, -1)
@@ -129,7 +140,7 @@ def _reduced(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _judge(doc_ids: list, item_ids: list, docs: list[np.ndarray], items: list[np.ndarray]) -> pa.RecordBatch | None:
     rows = []
     for d, i, x, y in zip(doc_ids, item_ids, docs, items):
-        n = sum(t[2] for t in tiles(x, y))
+        n = sum(t[2] for t in tiles(x, y)) if len(y) >= MIN_MATCH else len(y) * int(np.array_equal(x, y))
         if len(y) and n >= COVERAGE * len(y):
             rows.append((d, i, n, len(y), n / len(y)))
     if not rows:
@@ -144,16 +155,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
     A benchmark of at most ``broadcast_bytes`` is broadcast; of a larger one only
     a bitmap of bounded size, and seeds are joined by a shuffle.
 
-    Null and empty texts are in no pair, nor are items of fewer than
-    ``MIN_MATCH`` words, which prove nothing.  Rows with a NULL doc_id or item_id
-    take no part.  Repeated rows count once; if an id has several texts, the one
-    with the greatest coverage counts (then the most matched words, the fewest
-    words).  Ties between tiles are resolved by position.  Empty tables give no
-    pairs.  Other columns are ignored whatever their names.
+    Null and empty texts are in no pair; an item of fewer than ``MIN_MATCH`` words
+    is in one with documents of the same words and no others.  Rows with a NULL
+    doc_id or item_id take no part.  Texts of any length are read whole.  Repeated
+    rows count once; if an id has several texts, the one with the greatest coverage
+    counts (then the most matched words, the fewest words).  Ties between tiles are
+    resolved by position.  Empty tables give no pairs.  Other columns are ignored
+    whatever their names, in any case.
     """
     spark = docs.sparkSession
-    d = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    b = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    d = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
+    b = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct()
     held = b.agg(F.coalesce(F.sum(F.length("text") * 4 + 100), F.lit(0)).alias("n")).first()["n"]
     if held <= broadcast_bytes:
         rows = b.orderBy("item_id", "text").toArrow()
@@ -187,27 +199,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
 
 
 def _leaks_joined(d: DataFrame, b: DataFrame) -> DataFrame:
-    """:func:`leaks` for a benchmark of any size: seeds that pass a bitmap are joined by hash, the texts of pairs by id."""
+    """:func:`leaks` for a benchmark of any size: seeds that pass a bitmap are joined by hash, the texts of pairs by id.
+
+    Coverage takes ``COVERAGE`` of an item's n words in tiles of ``MIN_MATCH`` or
+    more, hence at least an eighth of n of its seeds.  So the seeds of an item that
+    the most documents have can be left out, as long as there are fewer of them: a
+    pair then meets on a rarer one.
+    """
     spark = d.sparkSession
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """item, text (a hash of it: an item may have several), seed, times it stands there, and times that may be left out."""
         for batch in batches:
-            one = Benchmark(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            ids = np.array(one.ids, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(one.seeds.view(np.int64)), pa.array(ids[one.seed_item])], names=["seed", "item_id"])
-
-    seeds = cut(b.mapInArrow(item_seeds, "seed bigint, item_id bigint").distinct())
+            for item, text in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+                words = tc.Words(tc.as_text(pa.array([text]))).hashes
+                if not len(words):
+                    continue
+                seed, n = np.unique(tc.shingle_hashes(words, MIN_MATCH), return_counts=True)
+                need = int(np.ceil(COVERAGE * len(words) / MIN_MATCH))
+                full = lambda v: pa.array(np.full(len(seed), v, dtype=np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([full(item), full(tc.shingle_hashes(words, len(words)).view(np.int64)[0]), pa.array(seed.view(np.int64)), pa.array(n.astype(np.int64)), full(need - 1)], names=["item_id", "version", "seed", "n", "spare"])
+
+    every = cut(b.mapInArrow(item_seeds, "item_id bigint, version bigint, seed bigint, n bigint, spare bigint").distinct())
     top = 26
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = [np.unique(batch.column(0).to_numpy().view(np.uint64) >> _U(64 - top)) for batch in batches]
-        if slots:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(slots)).astype(np.int32))], names=["slot"])
+        """The bitmap of a partition's seeds, in pieces of 64 kB of those that aren't empty."""
+        flags = np.zeros(1 << top, dtype=bool)
+        for batch in batches:
+            flags[batch.column(0).to_numpy().view(np.uint64) >> _U(64 - top)] = True
+        parts = np.packbits(flags).reshape(-1, 1 << 16)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["at", "part"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found[at] = found.get(at, np.zeros(1 << 16, dtype=np.uint8)) | np.frombuffer(part, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([p.tobytes() for p in found.values()], pa.binary())], names=["at", "part"])
 
-    slots = seeds.select("seed").mapInArrow(fold, "slot int").distinct().toArrow()["slot"].to_numpy()
-    flags = np.zeros(1 << top, dtype=bool)
-    flags[slots] = True
-    shared = spark.sparkContext.broadcast(np.packbits(flags))
+    packed = np.zeros(1 << (top - 3), dtype=np.uint8).reshape(-1, 1 << 16)
+    for r in every.select("seed").mapInArrow(fold, "at int, part binary").repartition("at").mapInArrow(merge, "at int, part binary").toLocalIterator():
+        packed[r["at"]] = np.frombuffer(r["part"], dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(packed.ravel())
 
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(shared.value).astype(bool)
@@ -218,7 +253,11 @@ def _leaks_joined(d: DataFrame, b: DataFrame) -> DataFrame:
                 if len(h):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[start + doc]), pa.array(h.view(np.int64))], names=["doc_id", "seed"])
 
-    pairs = d.mapInArrow(doc_seeds, "doc_id bigint, seed bigint").distinct().join(seeds, "seed").select("doc_id", "item_id").distinct()
+    met = cut(d.mapInArrow(tc.releasing(doc_seeds), "doc_id bigint, seed bigint").distinct())
+    often = met.groupBy("seed").agg(F.count("*").alias("often"))
+    by_rank = Window.partitionBy("item_id", "version").orderBy(F.desc("often"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seeds = every.join(often, "seed").withColumn("dropped", F.sum("n").over(by_rank)).where("dropped > spare").select("item_id", "seed").distinct()
+    pairs = met.join(seeds, "seed").select("doc_id", "item_id").distinct()
     full = pairs.join(d, "doc_id").join(b.select("item_id", F.col("text").alias("item")), "item_id").select("doc_id", "item_id", "text", "item")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +277,9 @@ def _leaks_joined(d: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that no benchmark item contaminates; rows with a NULL doc_id stay."""
-    bad = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__loom_id")).distinct())
-    return docs.join(broadcast_if_small(bad, 16), docs["doc_id"] == F.col("__loom_id"), "left_anti")
+    """The rows of ``docs``, all columns, that no benchmark item contaminates; rows with a NULL doc_id or text stay, and all where the benchmark is empty."""
+    bad = cut(leaks(docs, benchmark).select("doc_id").distinct())
+    return without(docs, "doc_id", broadcast_if_small(bad, 16))
 
 
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
