@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import table
+from threadloom.llm.common import pick, table
 
 OPEN, CLOSE, JOIN = "<|{}|>\n", "\n<|end|>\n", "\n"
 
 
 def _starts(turns: Column) -> Column:
-    """0-based positions at which the role changes, by an aggregation over the sorted turns that carries only positions, never text."""
-    zero = F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("role"), F.array().cast("array<int>").alias("at"))
-
-    def step(acc: Column, turn: Column) -> Column:
-        return F.struct((acc["i"] + 1).alias("i"), turn["role"].alias("role"), F.when(acc["role"].eqNullSafe(turn["role"]), acc["at"]).otherwise(F.array_append(acc["at"], acc["i"])).alias("at"))
-
-    return F.aggregate(turns, zero, step, lambda acc: acc["at"])
+    """0-based positions at which the role changes: those whose turn before has another role, or that have none before."""
+    every = F.sequence(F.lit(0), F.size(turns) - 1)
+    return F.filter(every, lambda i: (i == 0) | ~turns[i]["role"].eqNullSafe(F.get(turns, i - 1)["role"]))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -29,10 +25,10 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     Adjacent turns of a role are joined by a line break.  Rows with a NULL
     conv_id form one conversation; a conversation without a usable turn has none
     of the output; an empty table gives none.  Other columns are ignored whatever
-    their names.
+    their names, in any case.
     """
     role = F.lower(F.trim(F.coalesce(F.col("role"), F.lit("unknown"))))
-    rows = conversations.select(F.col("conv_id").alias("conv_id"), F.struct(F.col("turn").alias("turn"), F.when(role == "", "unknown").otherwise(role).alias("role"), F.col("text").alias("text")).alias("t")).where(F.trim(F.col("t.text")) != "")
+    rows = pick(conversations, "conv_id", "turn", "role", "text").select("conv_id", F.struct(F.col("turn").alias("turn"), F.when(role == "", "unknown").otherwise(role).alias("role"), F.col("text").alias("text")).alias("t")).where(F.trim(F.col("t.text")) != "")
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("t"), _order).alias("turns"))
     chats = chats.withColumn("at", _starts(F.col("turns")))
     text = lambda a: F.array_join(F.transform(a, lambda t: t["text"]), JOIN)
