@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import broadcast_if_small, cut, table
+from threadloom.llm.common import broadcast_if_small, cut, numbered, pick, table
 
 #: Share of the corpus's documents that the mixture holds.
 TOTAL_SHARE = 0.5
@@ -34,14 +34,14 @@ def _uniform(doc_id: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
-def _measure() -> Column:
-    size = F.greatest(F.lit(0), F.coalesce(F.col("n_chars"), F.lit(0))).cast("double")
+def _measure(n_chars: Column) -> Column:
+    size = F.greatest(F.lit(0), F.coalesce(n_chars, F.lit(0))).cast("double")
     return F.greatest(F.lit(1), F.floor(F.sqrt(size))).cast("bigint")
 
 
 def _ids(docs: DataFrame) -> DataFrame:
     """doc_id, source and m, a row a document."""
-    ids = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), _measure().alias("m")).where("doc_id is not null")
+    ids = pick(docs, "doc_id", "source", "n_chars").select("doc_id", "source", _measure(F.col("n_chars")).alias("m")).where("doc_id is not null")
     return cut(ids.groupBy("doc_id").agg(F.max(F.struct("m", "source")).alias("s")).select("doc_id", "s.source", "s.m"))
 
 
@@ -53,7 +53,7 @@ def _quotas(ids: DataFrame, weights: DataFrame | None, total_share: float) -> Da
         size = F.col("docs").cast("double")
         per = per.withColumn("w", F.sqrt(size) if TEMPERATURE == 0.5 else F.pow(size, F.lit(TEMPERATURE)))
     else:
-        w = weights.select(F.col("source").alias("_w"), F.col("weight").cast("double").alias("w")).where("w > 0")
+        w = pick(weights, "source", "weight").select(F.col("source").alias("_w"), F.col("weight").cast("double").alias("w")).where("w > 0")
         per = per.join(w, per["source"].eqNullSafe(F.col("_w"))).drop("_w")
     # Weights are made integers, so that their sum doesn't depend on the order of addition.
     per = per.withColumn("w", F.round(F.col("w") * 1000000).cast("bigint"))
@@ -107,7 +107,8 @@ def decide(docs: DataFrame, weights: DataFrame | None = None, total_share: float
     NULL source is a source of its own, in ``docs`` and in ``weights``.  Repeated
     rows of one doc_id count once, with the largest measure; rows with a NULL
     doc_id take no part.  Ties of the ratio go to the smaller doc_id.  An empty
-    table gives an empty mixture.  Other columns are ignored whatever their names.
+    table gives an empty mixture.  Other columns are ignored whatever their names,
+    in any case.
     """
     ids = _ids(docs)
     out = _copies(ids, F.col("doc_id"), F.col("source"), F.col("m"), *_tables(ids, weights, total_share))
@@ -121,17 +122,18 @@ def mix(docs: DataFrame) -> DataFrame:
     row a source.  Only where a doc_id has several rows are decisions joined by id.
     """
     name = "copies"
-    while name in docs.columns:
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
     ids = _ids(docs)
     tables = _tables(ids, None, TOTAL_SHARE)
-    if docs.where("doc_id is not null").count() == ids.count():
-        whole = docs.where("doc_id is not null").select(F.struct(*[docs[c] for c in docs.columns]).alias("_d"), _measure().alias("_m"))
-        out = _copies(whole, F.col("_d.doc_id"), F.col("_d.source"), F.col("_m"), *tables)
-        return out.select("_d.*", F.col("_copies").alias(name))
+    plain, col = numbered(docs)
+    there = plain.where(col("doc_id").isNotNull())
+    if there.count() == ids.count():
+        out = _copies(there.withColumn("_m", _measure(col("n_chars"))), col("doc_id"), col("source"), F.col("_m"), *tables)
+        return out.select(*plain.columns, "_copies").toDF(*docs.columns, name)
     chosen = _copies(ids, F.col("doc_id"), F.col("source"), F.col("m"), *tables).select(F.col("doc_id").alias("__loom_id"), F.col("_copies").alias("__loom_copies"))
     chosen = broadcast_if_small(cut(chosen), 32)
-    return docs.join(chosen, docs["doc_id"] == F.col("__loom_id")).select(*[docs[c] for c in docs.columns], F.col("__loom_copies").alias(name))
+    return plain.join(chosen, col("doc_id") == F.col("__loom_id")).select(*plain.columns, "__loom_copies").toDF(*docs.columns, name)
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
