@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import table
+from threadloom.llm.common import pick, table
 
 #: words and link density of the block before, the block, and the block after (0, 0: none); 1 for content.
 LABELLED = [
@@ -47,28 +47,28 @@ LABELLED = [
 ]
 
 _RAW = re.compile(r"<!--|<(script|style|noscript|template|svg|textarea|head)\b", re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*>|<[!?][^<>]*>")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:=\s*"[^"<]*"|=\s*'[^'<]*'|[^<>])*+>|<[!?][^<>]*>""")
+_END = {name: re.compile(f"</{name}", re.I) for name in ("script", "style", "noscript", "template", "svg", "textarea", "head")} | {"": re.compile("-->")}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
 
 def visible(page: str) -> str:
     """The page without comments, scripts, styles, its head and the like; an element that isn't closed takes the rest of the page (an unclosed head only its tag)."""
-    low = page.lower() if len(page.lower()) == len(page) else page
     out, at = [], 0
     while m := _RAW.search(page, at):
         out.append(page[at : m.start()])
         name = (m[1] or "").lower()
-        end = low.find("</" + name if name else "-->", m.end())
-        if end < 0:
+        stop = _END[name].search(page, m.end())
+        if not stop:
             if name == "head":
                 at = m.end()
                 out.append("<head")
                 continue
             return "".join(out)
         if not name:
-            at = end + 3
+            at = stop.end()
             continue
-        close = page.find(">", end)
+        close = page.find(">", stop.start())
         at = len(page) if close < 0 else close + 1
         out.append("<div>")
     out.append(page[at:])
@@ -168,8 +168,9 @@ def extract(pages: DataFrame) -> DataFrame:
     A NULL page gives a NULL text and no blocks; a page without words, or without
     content, gives an empty text.  Text outside any tag is a block like others;
     broken markup is read as far as tags can be told.  Repeated rows are
-    extracted alike; a NULL page_id passes through; other columns are ignored
-    whatever their names.
+    extracted alike; a NULL page_id passes through; pages of any length are read
+    whole; an empty table gives an empty one; other columns are ignored whatever
+    their names, in any case.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -179,7 +180,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(text, pa.string()), pa.array(n, pa.int32()), pa.array(kept, pa.int32())], names=["text", "n_blocks", "n_content"])
 
     udf = F.arrow_udf(run, "struct<text string, n_blocks int, n_content int>")
-    return pages.select(F.col("page_id"), udf(F.col("html")).alias("p")).select("page_id", "p.text", "p.n_blocks", "p.n_content")
+    return pick(pages, "page_id", "html").select("page_id", udf("html").alias("p")).select("page_id", "p.text", "p.n_blocks", "p.n_content")
 
 
 def extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
