@@ -56,6 +56,31 @@ def _cases(docs, spark):
     return docs(rows), bench
 
 
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
+def test_leaks_equal_brute_force(docs, spark, words, limit):
+    """All pairs of documents and items, tiled by trying every pair of positions; stock phrases, reordered and repeated passages, short items."""
+    rng = random.Random(limit + 9)
+    stock = "so it was said that".split()
+    items = [[f"w{rng.randrange(30)}" for _ in range(rng.choice([1, 2, 3, 5, 9, 20, 30]))] + stock * rng.randrange(3) for _ in range(25)]
+    texts = [["w1"], ["w2", "w3"], items[0], stock]
+    for _ in range(60):
+        t = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(4)):
+            own = rng.choice(items)
+            a = rng.randrange(len(own))
+            t += own[a : a + rng.randrange(1, 16)] + rng.choice([stock, [], ["zz"]])
+        texts.append(t)
+    bench = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(items)], "item_id bigint, text string, TEXT string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in D.leaks(docs([(i, " ".join(t)) for i, t in enumerate(texts)]), bench, limit).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            n = sum(x[2] for x in greedy(t, item, D.MIN_MATCH)) if len(item) >= D.MIN_MATCH else len(item) * (t == item)
+            if n >= D.COVERAGE * len(item):
+                want[i, k] = n
+    assert got == want and len(want) > 30
+
+
 @pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
 def test_leaks(docs, spark, limit):
     d, bench = _cases(docs, spark)

@@ -3,8 +3,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import chat, mixing
+from threadloom.llm.common import pick
 
 
 def _rows(df):
@@ -15,7 +17,7 @@ def test_mixing_equals_sorted_ranks(docs):
     rows = [(i, "x" * (1 + i * 7 % 900), "en", None if i % 10 == 9 else f"s{min(i % 10, 3)}") for i in range(400)] + [(3, "x" * 800, "en", "s3")]
     d = docs(rows)
     con = duckdb.connect()
-    con.register("docs", d.select("doc_id", "source", "n_chars").toPandas())
+    con.register("docs", pick(d, "doc_id", "source", "n_chars").toPandas())
     for share in (0.1, 0.5, 2.5):
         want = sorted(tuple(map(str, r)) for r in con.sql(mixing.decide_sql("docs", share)).fetchall())
         assert _rows(mixing.decide(d, total_share=share)) == want
@@ -43,6 +45,21 @@ def test_mixing_edges(docs, spark):
     assert mixed.columns == [*d.columns, "copies_"]
 
 
+def test_ties_of_the_ratio_go_to_the_smaller_id(docs, monkeypatch):
+    """With all random numbers alike, documents of one measure have one ratio, and the places left go to the least ids."""
+    monkeypatch.setattr(mixing, "_uniform", lambda doc_id: F.lit(0.5))
+    got = mixing.decide(docs([(i, "x" * 100, "en", "s") for i in range(20, 0, -1)]), total_share=0.25).collect()
+    assert sorted((r["doc_id"], r["copies"]) for r in got) == [(i, 1) for i in range(1, 6)]
+
+
+def test_turns_that_tie(spark):
+    """Rows of one turn are ordered by role, then by text."""
+    rows = [(1, 1, "user", "b"), (1, 1, "assistant", "z"), (1, 1, "user", "a"), (1, 1, "assistant", "y"), (1, 1, "user", "a")]
+    (r,) = chat.format_chats(spark.createDataFrame([(*x, "e") for x in rows], "conv_id bigint, turn bigint, role string, text string, TEXT string")).collect()
+    end = "\n<|end|>\n"
+    assert (r["n_turns"], r["n_messages"], r["chat"]) == (4, 2, f"<|assistant|>\ny\nz{end}<|user|>\na\nb{end}")
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "S"), (1, 2, "user", "b"), (1, 1, " User ", "a"), (1, 3, "assistant", "c"), (1, 4, "user", None), (1, 5, "assistant", "d"), (1, 5, "assistant", "d"), (1, 6, None, "e"),
             (2, 0, "user", "  "), (None, 0, "user", "x"), (None, None, "user", "y"), (3, 0, "", "t" * 200_000)]

@@ -46,6 +46,21 @@ def test_run_equals_brute_force(spark, words):
     assert all(text[r["doc_id"]] == r["text"] for r in rows) and collections.Counter(r["doc_id"] for r in rows).most_common(1)[0][1] == 1
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, names that clash, empty labels and benchmark."""
+    long = " ".join(f"w{i % 5000}x" for i in range(60_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the words of a text", "en", "a", 19), (3, "the words of a text", "en", "a", 19), (None, "no id here", "en", None, 10), (4, long, "en", "b", len(long)), (5, long + " more", None, "b", None), (6, "!!!", "en", "a", 3)]
+    base = spark.createDataFrame([(*r, "T", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, TEXT string, copies int")
+    for name, schema in (("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, seen = base, []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[: len(base.columns)] == base.columns
+        seen.append(sorted(r["doc_id"] or 0 for r in docs.collect()))
+    assert seen[:4] == [[0, 3, 3, 4, 5], [0, 3, 3, 4, 5], [0, 3, 3, 4], [0, 3, 3, 4]] and set(seen[4]) <= {3, 4} and docs.columns[-1] == "copies_"
+
+
 def test_stages_chain(spark):
     docs = base = spark.read.parquet(f"{D}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

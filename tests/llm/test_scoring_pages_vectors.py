@@ -67,7 +67,7 @@ def test_scores_equal_brute_force(docs, spark, words, run_words, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2, 1 if i % 8 == 1 else 0, "z") for i in range(50)] + [(None, 1, 0, "z"), (3, 1, None, "z"), (5, None, None, "z")], "doc_id bigint, quality int, toxic int, TEXT string")
     good = {i for i in range(50) if i % 2 and i % 8 != 1}
     d = docs(rows)
-    same_scores(scored(C.score(d.withColumnRenamed("text_", "TEXT"), labels)), brute_scores(rows, good, words))
+    same_scores(scored(C.score(d, labels)), brute_scores(rows, good, words))
 
 
 def test_documents_that_occur_twice_are_told_apart(docs, spark, words):
@@ -108,7 +108,7 @@ def test_blocks():
 
 def test_extract(spark):
     rows = [(1, PAGE), (2, None), (3, ""), (4, "<p><b>broken <i>mark < up " + "word " * 30), (5, "just text"), (6, "<script>never closed " * 5000), (7, "<" * 100_000), (8, "<p>" + LONG), (None, PAGE), (1, PAGE), (9, "<!-- only --><style>x</style>")]
-    d = spark.createDataFrame([(*r, "u", "t") for r in rows], "page_id bigint, html string, url string, text string")
+    d = spark.createDataFrame([(*r, "u", "t") for r in rows], "page_id bigint, html string, url string, HTML string")
     got = {r["page_id"]: r for r in H.extract(d).collect()}
     assert got[1]["text"].startswith("A heading of words\nThe first paragraph") and "Home" not in got[1]["text"] and "©" not in got[1]["text"]
     assert (got[2]["text"], got[2]["n_blocks"]) == (None, 0) and all(got[k]["text"] == "" and got[k]["n_blocks"] == 0 for k in (3, 6, 9))
@@ -116,6 +116,16 @@ def test_extract(spark):
     assert H.extract(d).count() == len(rows) and H.extract(d.where("false")).count() == 0
 
 
+def test_markup_that_misleads():
+    """End tags in any case, also where lower-casing changes the length of the page; quoted values with a bracket."""
+    body = "<p>" + "words " * 30
+    assert "after" in H.visible("\u0130 start<SCRIPT>x</p></Script >after") and "x</p>" not in H.visible("\u0130<SCRIPT>x</p></Script >after")
+    assert [b[0] for b in H.blocks(f'<p><img alt="a > b" src=x>shown</p>{body}')][0] == "shown"
+    assert [b[0] for b in H.blocks("<p><a title='x > y' href=q>link</a> and text")] == ["link and text"]
+    assert [b[0] for b in H.blocks('<p title="open>text</p><p>more</p>')] == ["text", "more"]
+    H.blocks('<a ' + 'b="c" ' * 20_000 + "<p>x")
+
+
 def test_tree_held_out():
     rows = np.array(H.LABELLED, dtype=float)
     order = np.random.default_rng(0).permutation(len(rows))
@@ -140,7 +150,7 @@ def test_article_blocks_of_the_pages(spark):
 
 
 def _vectors(spark, rows):
-    return spark.createDataFrame([(i, v, 0, "a") for i, v in rows], "vec_id bigint, embedding array<float>, label int, id string")
+    return spark.createDataFrame([(i, v, 0, "a") for i, v in rows], "vec_id bigint, embedding array<float>, label int, VEC_ID string")
 
 
 def test_near_vectors_recall(spark):
