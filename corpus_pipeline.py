@@ -14,27 +14,45 @@ from threadloom.llm.common import drop_table, table, write_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the classifier is fitted on the declared languages of ``docs``."""
+    """Documents whose language can be told; the classifier is fitted on the declared languages of ``docs``.
+
+    Null, empty and letterless texts go; where no row has a declared language all rows stay.
+    Repeated rows share their fate; a NULL doc_id is no reason to go; texts of any length are read whole.
+    """
     return language.keep_known(docs, language.fit_on(docs))
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic; the classifier is fitted on those of ``labels`` that are in ``docs``."""
+    """Documents that aren't toxic; the classifier is fitted on those of ``labels`` that are in ``docs``.
+
+    Texts without words stay, and all rows where ``labels`` is empty or lacks texts of either class.
+    Repeated rows share their fate; a NULL doc_id is no reason to go; texts of any length are read whole.
+    """
     return toxicity.keep_clean(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near copies."""
+    """One document (the smallest doc_id) of each group of near copies.
+
+    Rows with a NULL doc_id or without words stay; a repeated doc_id is one document, all of whose rows stay or go.
+    """
     return jaccard.keep_one(docs)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Rows with a NULL doc_id or text stay, and all rows where ``benchmark`` is empty; ties of tiles don't change the verdict.
+    """
     return decontaminate.keep_unleaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of the sources, with the number of copies of each document."""
+    """The mixture of the sources, with the number of copies of each document.
+
+    A NULL source is a source of its own; rows with a NULL doc_id go; ties go to the smaller doc_id; of repeated rows of
+    one doc_id each has the document's copies.
+    """
     return mixing.mix(docs)
 
 
