@@ -587,7 +587,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A doc_id that is repeated is one document, whose rows share its fate (the
     first text's, by node key, where they differ); rows with a NULL doc_id or
-    without words stay.
+    without words stay, and so does every row of an empty table.  Names of other
+    columns don't matter, in any case.
     """
     members, _, pairs = join_nodes(docs)
     one = members.groupBy("doc_id").agg(F.min("node").alias("node"))
@@ -601,3 +602,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All near pairs of documents."""
     return near_pairs(table(spark, sf_dir, "documents"))
+
+
+#: All pairs, by their shared word bigrams.
+JACCARD_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+t AS (SELECT DISTINCT k, doc_id, unnest(CASE WHEN len(ws) < {GRAM} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS gram FROM w WHERE len(ws) > 0),
+n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
+p AS (SELECT a.k AS ka, b.k AS kb, least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b, count(*) AS c FROM t a JOIN t b ON a.gram = b.gram AND a.k < b.k AND a.doc_id <> b.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b, max(c::DOUBLE / (x.n + y.n - c)::DOUBLE) AS jaccard FROM p JOIN n x ON x.k = ka JOIN n y ON y.k = kb
+WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9 GROUP BY doc_a, doc_b"""

@@ -206,3 +206,12 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataF
 def neardup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All near-duplicate pairs of embeddings."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs by brute force, which the search finds but for the recall that it is calibrated to.
+NEARDUP_SQL = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, max(least(1.0::DOUBLE, list_cosine_similarity(a.v, b.v))) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+WHERE list_cosine_similarity(a.v, b.v) >= {MIN_COSINE} GROUP BY ALL"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_ngram_jaccard_join": jaccard.JACCARD_SQL,
     "op6_chat_formatting": chat.CHAT_SQL,
     "op7_source_mixing": mixing.decide_sql("documents"),
+    "op10_embedding_neardup": neardup.NEARDUP_SQL,
 }
