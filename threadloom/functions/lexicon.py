@@ -44,12 +44,28 @@ def _literal(term: str) -> str:
     return _META.sub(r"\\\1", term)
 
 
+#: What stands around a term: tickers, neither ASCII letters nor digits (nor $ before); others, non-word characters.
+_AROUND = {True: (r"(?<![A-Za-z0-9$])", r"(?![A-Za-z0-9])"), False: (r"(?<!\w)", r"(?!\w)")}
+
+
 def term_pattern(term: str, kind: str) -> str:
-    """Java pattern of a term: tickers stand between characters that are neither ASCII letters nor digits (nor $ before), others between non-word characters."""
-    before, after = (r"(?<![$0-9A-Za-z])", r"(?![0-9A-Za-z])") if kind == "ticker" else (r"(?<!\w)", r"(?!\w)")
+    """Java pattern of a term."""
+    before, after = _AROUND[kind == "ticker"]
     return f"(?iuU){before}{_literal(term)}{after}"
 
 
+def any_pattern(terms: Iterable[Term]) -> str | None:
+    """One Java pattern that finds what any of the ``terms``' patterns finds."""
+    terms = list(terms)
+    parts = []
+    for ticker in (True, False):
+        own = dict.fromkeys(_literal(t.term) for t in terms if (t.kind == "ticker") == ticker)
+        if own:
+            before, after = _AROUND[ticker]
+            parts.append(f"{before}(?:{'|'.join(own)}){after}")
+    return f"(?iuU)(?:{'|'.join(parts)})" if parts else None
+
+
 def context_pattern(keywords: Iterable[str]) -> str | None:
     clean = [" ".join(k.split()) for k in keywords]
     clean = [k for k in clean if k]

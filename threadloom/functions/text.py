@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
@@ -85,15 +86,15 @@ def context_input(message: Column, summary: Column, submission: Column, limit: i
 
 # == the cleaning chain
 
-#: (pattern, replacement) in order; emoji names come between STEPS and LAST_STEPS.
+#: (pattern, replacement) in order, which the contract of cleaned text prescribes; emoji names come between STEPS and LAST_STEPS.
 STEPS = [
-    (r"(?Ud)![\[]img[\]][(]emote[^)]*[)]", " "),
-    (r"(?Ud)[>]!(.*?)![<]", "$1"),
+    (r"(?Ud)!\[img\]\(emote[^)]*\)", " "),
+    (r"(?Ud)>!(.*?)!<", "$1"),
     # One pass: a link whose text has at most three characters goes, any other leaves its text.
     (rf"(?Ud)\[(?:{WS}*([^\]]{{0,3}}?){WS}*|{WS}*([^\]]*?){WS}*)\]\(https?://[^)]+\)", "$2"),
-    (rf"(?Ud)(?:https?://|www[.]){_NOT_WS}+", " "),
-    (r"(?Ud)[*]{1,3}([^*\n]+)[*]{1,3}", "$1"),
-    (rf"(?Udm)^[>]+{WS}?", " "),
+    (rf"(?Ud)(?:https?://|www\.){_NOT_WS}+", " "),
+    (r"(?Ud)\*{1,3}([^*\n]+)\*{1,3}", "$1"),
+    (rf"(?Udm)^>+{WS}?", " "),
     (r"(?Ud)u/\w+", " "),
     (r"(?Ud)r/\w+", " "),
     (r"(?Ud)!\w+", " "),
@@ -137,8 +138,8 @@ def clean_text(c: Column, emoji: bool = False) -> Column:
 # == summaries
 
 SUMMARY_FIELDS = tuple("main_stock_or_company thread_topic financial_angle conversation_character brief_summary".split())
-ANGLES = tuple("company_news earnings mixed price_action product_or_company_discussion sector_macro trading_positions unclear valuation".split())
-CHARACTERS = tuple("analytical meme_heavy mixed off_topic reactive speculative".split())
+ANGLES = ("company_news", "earnings", "mixed", "price_action", "product_or_company_discussion", "sector_macro", "trading_positions", "unclear", "valuation")
+CHARACTERS = ("analytical", "meme_heavy", "mixed", "off_topic", "reactive", "speculative")
 
 
 def normalized_summary(fields: dict[str, Column]) -> Column:
@@ -157,33 +158,19 @@ def summary_text(s: Column) -> Column:
 
 
 def last_json_object(text: str | None) -> str | None:
-    """The JSON object in ``text`` with the latest start, found by a brace scan that knows strings and escapes; None without one.
+    """The JSON object in ``text`` with the latest start; None without one.
 
-    Scanning from the last brace backwards gives it at once, without trying each start.
+    The decoder is tried at each brace from the last backwards, and gives up at the
+    first character that can't belong to an object.
     """
-    import json
-
-    at = (text or "").rfind("{")
+    text = text or ""
+    decode = json.JSONDecoder().raw_decode
+    at = text.rfind("{")
     while at >= 0:
-        depth, quoted, skip = 0, False, False
-        for i in range(at, len(text)):
-            ch = text[i]
-            if skip:
-                skip = False
-            elif ch == "\\":
-                skip = True
-            elif ch == '"':
-                quoted = not quoted
-            elif not quoted and ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if depth == 0:
-                    try:
-                        if isinstance(json.loads(text[at : i + 1]), dict):
-                            return text[at : i + 1]
-                    except ValueError:
-                        pass
-                    break
-        at = text.rfind("{", 0, at)
+        try:
+            return text[at : decode(text, at)[1]]
+        except (ValueError, RecursionError):
+            at = text.rfind("{", 0, at)
     return None
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,9 +51,20 @@ def build(df: DataFrame, keys: list[str], order: list[str], day: str, message: s
     return df.groupBy(*keys).agg(F.min(day).alias("date_start"), F.max(day).alias("date_end"), F.count("*").alias("n_messages"), F.array_join(text, SEPARATOR).alias("chunk_text"), *(extra or []))
 
 
-def number(chunks: DataFrame, order: list, name: str = "chunk_id") -> DataFrame:
-    """0-based numbers over chunk rows (one a chunk, so a single partition is small)."""
-    return chunks.withColumn(name, F.row_number().over(W.orderBy(*order)) - 1)
+def number(chunks: DataFrame, order: list[str], parts: list[Column], name: str = "chunk_id") -> DataFrame:
+    """0-based numbers over chunk rows in ``order``, whose columns identify a row.
+
+    ``parts`` are expressions that follow the order (a day, say).  Only the key
+    columns are numbered, within each part; the parts' offsets are added, and the
+    numbers joined back, so no task sees all keys, and none sorts texts.
+    """
+    keys = chunks.select(*[F.col(c).alias(f"_{c}") for c in order], F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).alias("_part"))
+    size = keys.groupBy("_part").agg(F.count("*").alias("_c"))
+    off = size.select(F.col("_part").alias("_of"), (F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).alias("_off"))
+    keys = keys.withColumn("_pos", F.row_number().over(W.partitionBy("_part").orderBy(*[f"_{c}" for c in order])) - 1)
+    keys = keys.join(off, F.col("_part").eqNullSafe(F.col("_of"))).withColumn(name, (F.col("_pos") + F.col("_off")).cast("int"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order])
+    return chunks.join(keys.select(*[f"_{c}" for c in order], name), same).drop(*[f"_{c}" for c in order])
 
 
 def training_chunks(df: DataFrame, thread: str, time: str, position: str, day: str, message: str, target: int = TARGET, least: int = LEAST) -> DataFrame:
@@ -63,14 +76,16 @@ def training_chunks(df: DataFrame, thread: str, time: str, position: str, day: s
     pool_rows = assign_pool(sized.where(F.col("_size") < least), [time, thread, position], day, target)
     pool = build(pool_rows, ["seq"], [time, thread, position], day, message).where(F.col("n_messages") >= least)
     pool = pool.select(F.lit(None).cast(df.schema[thread].dataType).alias(thread), *pool.columns, F.lit(None).cast(df.schema[time].dataType).alias("_start"), F.lit(1).alias("_pool"))
-    return number(own.unionByName(pool), ["_pool", "_start", thread, "seq"]).select("chunk_id", "date_start", "date_end", "n_messages", "chunk_text")
+    # Pooled chunks have no start; their numbers follow the pool's order.
+    parts = [F.col("_pool"), F.floor(F.col("_start").cast("bigint") / 86400), F.when(F.col("_pool") == 1, F.floor(F.col("seq") / 100_000))]
+    return number(own.unionByName(pool), ["_pool", "_start", thread, "seq"], parts).select("chunk_id", "date_start", "date_end", "n_messages", "chunk_text")
 
 
 def daily_chunks(df: DataFrame, stock: str, time: str, key: str, day: str, message: str, target: int = TARGET, least: int = LEAST) -> DataFrame:
     """Chunks of each stock and day, none spanning two days and none dropped."""
     rows = assign(df, [stock, day], [time, key], target, least)
     out = build(rows, [stock, day, "seq"], [time, key], day, message)
-    return number(out, [stock, day, "seq"]).select("chunk_id", F.col(stock).alias("stock"), "date_start", "date_end", "n_messages", "chunk_text")
+    return number(out, [stock, day, "seq"], [F.col(stock), F.col(day)]).select("chunk_id", F.col(stock).alias("stock"), "date_start", "date_end", "n_messages", "chunk_text")
 
 
 def spanning_days(chunks: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Names of moderators and automatic accounts; "bot" matches within words.
-AUTOMATIC_AUTHOR = r"(?iu)(?<![A-Za-z])mod(?![A-Za-z])|visualmod|automoderator|bot"
-_NO_KEY = tuple("|nan|none|null|<na>".split("|"))
+AUTOMATIC_AUTHOR = r"(?iu)(?<![a-z])mod(?![a-z])|automoderator|visualmod|bot"
+#: Words that stand for a missing value in the inputs' contract.
+_NO_KEY = ("", "<na>", "nan", "none", "null")
 RULES = ("missing_submission_id", "duplicate_id", "bot_mod", "composite_duplicate")
 
 

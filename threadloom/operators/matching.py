@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.functions.lexicon import Lexicon
+from threadloom.functions.lexicon import Lexicon, any_pattern
 from threadloom.schemas import struct
 
 
@@ -20,7 +22,19 @@ def matches(c: Column, lexicon: Lexicon) -> Column:
         return found & c.rlike(lexicon.context[t.ticker]) if t.ticker in lexicon.context else found
 
     items = [F.when(hit(t), F.struct(F.lit(t.ticker).alias("ticker"), F.lit(t.term).alias("term"), F.lit(t.kind).alias("kind"))) for t in lexicon.terms]
-    return F.filter(F.array(*items), lambda m: m.isNotNull())
+    none = F.array().cast("array<struct<ticker:string,term:string,kind:string>>")
+    return F.filter(F.array(*items), lambda m: m.isNotNull()) if items else none
+
+
+def has_match(c: Column, lexicon: Lexicon) -> Column:
+    """Whether :func:`matches` finds anything: one pattern for all terms that need no context, two for each ticker that does."""
+    free = any_pattern(t for t in lexicon.terms if t.ticker not in lexicon.context)
+    found = [c.rlike(free)] if free else []
+    for ticker, context in lexicon.context.items():
+        own = any_pattern(t for t in lexicon.terms if t.ticker == ticker)
+        if own:
+            found.append(c.rlike(own) & c.rlike(context))
+    return F.coalesce(reduce(lambda a, b: a | b, found, F.lit(False)), F.lit(False))
 
 
 def confidence(tickers: Column, kinds: Column, lexicon: Lexicon) -> Column:
@@ -33,7 +47,8 @@ def confidence(tickers: Column, kinds: Column, lexicon: Lexicon) -> Column:
 def with_matches(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     """Rows with at least one match, with the match columns (lists sorted and joined by a pipe)."""
     roll = lambda f: F.array_sort(F.array_distinct(F.transform("_m", lambda m: m[f])))
-    df = df.withColumn("_m", matches(F.col(text), lexicon)).where(F.size("_m") > 0)
+    # The filter is exact, so the terms' own patterns only run on rows that stay, and once.
+    df = df.where(has_match(F.col(text), lexicon)).withColumn("_m", matches(F.col(text), lexicon))
     df = df.withColumns({"_t": roll("ticker"), "_w": roll("term"), "_k": roll("kind")})
     conf = confidence(F.col("_t"), F.col("_k"), lexicon)
     gated = [F.lit(t) for t in sorted(lexicon.needs_context)]
@@ -71,6 +86,19 @@ def extract_rows(raw: DataFrame, kind: str, lexicon: Lexicon, community: str, st
     return with_matches(rows, "raw_text", lexicon).select(*struct("matched").names)
 
 
+def extraction_counters(raw: DataFrame, kind: str, lexicon: Lexicon, community: str, start: str, end: str) -> DataFrame:
+    """One row, in one pass: seen, skipped_subreddit, skipped_period, matched (rows with a match) and written (tickers matched, over all rows)."""
+    post = kind == "submission"
+    c = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
+    here, when = in_community(c("subreddit"), community), in_period(c("created_utc").try_cast("bigint"), start, end)
+    text = tx.submission_raw_text(c("title"), c("selftext")) if post else tx.comment_text(c("body"))
+    tickers = F.when(here & when & has_match(text, lexicon), F.size(F.array_distinct(F.transform(matches(text, lexicon), lambda m: m["ticker"])))).otherwise(0)
+    return raw.select(here.alias("_h"), when.alias("_p"), tickers.alias("_k")).agg(
+        F.count("*").alias("seen"), F.count_if(~F.col("_h")).alias("skipped_subreddit"), F.count_if(F.col("_h") & ~F.col("_p")).alias("skipped_period"),
+        F.count_if(F.col("_k") > 0).alias("matched"), F.coalesce(F.sum("_k"), F.lit(0)).alias("written"),
+    )
+
+
 def ingest_counters(raw: DataFrame, community: str, start: str, end: str) -> DataFrame:
     """One row: seen, skipped_subreddit, skipped_period and passed, in one pass."""
     here, when = in_community(F.col("subreddit"), community), in_period(F.col("created_utc"), start, end)

@@ -35,6 +35,11 @@ def confidence(relevant: Column, not_relevant: Column) -> Column:
     return F.when(lab == 1, relevant).when(lab == -1, not_relevant).otherwise(F.greatest(relevant, not_relevant))
 
 
+def relevant(df: DataFrame, label: str = "predicted_relevance") -> DataFrame:
+    """The rows that are predicted relevant."""
+    return df.where(F.col(label) == 1)
+
+
 def lexical_scorer(finance_words: list[str]) -> Callable[[Column], Column]:
     """A deterministic stand-in for a model: the relevant score grows with the share of words that are in the list."""
     listed = F.array(*[F.lit(w) for w in sorted(finance_words)])

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,12 +67,27 @@ def bigram_counts(docs: DataFrame, column: str = "tokens") -> DataFrame:
 
 
 def phrase_scores(docs: DataFrame, min_count: int, column: str = "tokens") -> DataFrame:
-    """a, b, n and score (n - min_count) * V / (n_a * n_b) of bigrams seen at least ``min_count`` times."""
-    uni = docs.select(F.explode(column).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    size = uni.agg(F.count("*").alias("v"))
-    big = bigram_counts(docs, column).where(F.col("n") >= min_count)
-    a, b = uni.select(F.col("w").alias("a"), F.col("c").alias("ca")), uni.select(F.col("w").alias("b"), F.col("c").alias("cb"))
-    return big.join(a, "a").join(b, "b").crossJoin(F.broadcast(size)).select("a", "b", "n", ((F.col("n") - min_count).cast("double") * F.col("v") / F.col("ca") / F.col("cb")).alias("score"))
+    """a, b, n and score (n - min_count) * V / (n_a * n_b) of bigrams seen at least ``min_count`` times.
+
+    Words (with no b) and bigrams are counted in one scan and one shuffle, which
+    the number of words reuses; words' counts then reach bigrams by windows over
+    either word.
+    """
+    pairs = F.transform(adjacent(F.col(column)), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+    single = F.transform(F.col(column), lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
+    counts = docs.select(F.explode(F.concat(single, pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    size = counts.agg(F.count_if(F.col("b").isNull() & (F.col("n") > 0)).alias("v"))
+    word = F.max(F.when(F.col("b").isNull(), F.col("n")))
+    kept = counts.where((F.col("n") >= min_count) | F.col("b").isNull() & (F.col("n") > 0))
+    kept = kept.withColumn("ca", word.over(W.partitionBy("a"))).withColumn("_w", F.coalesce("b", "a")).withColumn("cb", word.over(W.partitionBy("_w"))).where("b is not null")
+    return kept.crossJoin(F.broadcast(size)).select("a", "b", "n", ((F.col("n") - min_count).cast("double") * F.col("v") / F.col("ca") / F.col("cb")).alias("score"))
+
+
+def bigram_sweep(docs: DataFrame, least: list[int], column: str = "tokens") -> DataFrame:
+    """min_count, bigrams seen at least that often, and their occurrences, for each bound."""
+    n = F.col("n")
+    one = bigram_counts(docs, column).agg(*[x for k in least for x in (F.count_if(n >= k).alias(f"d{k}"), F.coalesce(F.sum(F.when(n >= k, n)), F.lit(0)).alias(f"o{k}"))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("min_count"), F.col(f"d{k}").alias("bigrams"), F.col(f"o{k}").alias("occurrences")) for k in least])))
 
 
 def phrases(docs: DataFrame, min_count: int, threshold: float, column: str = "tokens") -> list[str]:
@@ -79,20 +97,32 @@ def phrases(docs: DataFrame, min_count: int, threshold: float, column: str = "to
 
 
 def join_phrases(docs: DataFrame, found: list[str], column: str = "tokens") -> DataFrame:
-    """Join the pairs in ``found`` by an underscore, greedily from the left."""
-    known = F.map_from_arrays(F.array(*map(F.lit, found)), F.array(*[F.lit(True) for _ in found])) if found else None
-    if known is None:
+    """Join the pairs in ``found`` by an underscore, greedily from the left.
+
+    A walk along the tokens in Arrow batches, linear in them; the phrases are
+    broadcast once.
+    """
+    if not found:
         return docs
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(found))
 
-    def step(acc: Column, w: Column) -> Column:
-        pair = F.concat_ws(" ", acc["last"], w)
-        hit = acc["last"].isNotNull() & F.coalesce(F.try_element_at(known, pair), F.lit(False))
-        flush = F.when(acc["last"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["last"]))
-        return F.struct(F.when(hit, F.array_append(acc["out"], F.concat_ws("_", acc["last"], w))).otherwise(flush).alias("out"), F.when(hit, F.lit(None).cast("string")).otherwise(w).alias("last"))
+    def walk(words: list[str]) -> list[str]:
+        out, i = [], 0
+        while i < len(words):
+            if i + 1 < len(words) and f"{words[i]} {words[i + 1]}" in shared.value:
+                out.append(f"{words[i]}_{words[i + 1]}")
+                i += 2
+            else:
+                out.append(words[i])
+                i += 1
+        return out
 
-    done = lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["last"]))
-    return docs.withColumn(column, F.aggregate(column, zero, step, done))
+    @F.arrow_udf("array<string>")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield pa.array([None if x is None else walk(x) for x in lists.to_pylist()], pa.list_(pa.string()))
+
+    return docs.withColumn(column, joined(column))
 
 
 def with_phrases(docs: DataFrame, column: str = "tokens") -> DataFrame:
@@ -102,7 +132,8 @@ def with_phrases(docs: DataFrame, column: str = "tokens") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, column: str = "tokens", no_below: int = NO_BELOW, no_above: float = NO_ABOVE) -> CountVectorizerModel:
-    return CountVectorizer(inputCol=column, outputCol="bow", minDF=float(no_below), maxDF=float(no_above)).fit(docs)
+    # From 1 on the estimator takes a bound for a number of documents, so a share of all of them is no bound.
+    return CountVectorizer(inputCol=column, outputCol="bow", minDF=float(no_below), maxDF=float(no_above) if no_above < 1 else float(1 << 62)).fit(docs)
 
 
 def save_corpus(bow: DataFrame, vocab: CountVectorizerModel, path: str) -> None:
@@ -117,10 +148,17 @@ def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, CountVectori
 
 
 def expand_bow(bow: DataFrame, words: list[str], column: str = "bow") -> DataFrame:
-    """Tokens back from counts, in vocabulary order."""
-    names = F.array(*map(F.lit, words))
-    counts = vector_to_array(F.col(column))
-    return bow.withColumn("tokens", F.flatten(F.transform(counts, lambda c, i: F.array_repeat(F.get(names, i), c.cast("int")))))
+    """Tokens back from counts, in vocabulary order; only the terms that a row has are spelled out."""
+    shared = bow.sparkSession.sparkContext.broadcast(list(words))
+
+    @F.udf("array<string>")
+    def spell(v):
+        if v is None:
+            return None
+        counts = zip(v.indices, v.values) if isinstance(v, SparseVector) else enumerate(v)
+        return [w for i, n in counts for w in [shared.value[i]] * int(n)]
+
+    return bow.withColumn("tokens", spell(column))
 
 
 def tfidf(bow: DataFrame, column: str = "bow") -> DataFrame:
@@ -203,11 +241,46 @@ def windows(docs: DataFrame, size: int, column: str = "tokens") -> DataFrame:
     return docs.where(F.size(column) > 0).select(F.explode(F.transform(starts, lambda s: F.slice(column, s, size))).alias("tokens"))
 
 
+def window_counts(docs: DataFrame, words: DataFrame, size: int, column: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """(a <= b and n: sliding windows that hold both words of topics; one row with the number of all windows).
+
+    Windows aren't made: a word at place p is in those that start at p - size + 1
+    to p, and a document's words of interest are few, so each gives a list of flags
+    over starts, and products of those give the counts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({r["word"]: i for i, r in enumerate(words.select("word").distinct().orderBy("word").collect())})
+    total = docs.where(F.size(column) > 0).agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.size(column) - size + 1)), F.lit(0)).alias("n_win"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sums = shared.value, np.zeros((len(shared.value), len(shared.value)), dtype=np.int64)
+        for batch in batches:
+            for tokens_ in batch.column(0).to_pylist():
+                at: dict[int, list[int]] = {}
+                for p, w in enumerate(tokens_ or ()):
+                    if w in place:
+                        at.setdefault(place[w], []).append(p)
+                if not at:
+                    continue
+                ids, starts = sorted(at), max(1, len(tokens_) - size + 1)
+                edges = np.zeros((len(ids), starts + 1), dtype=np.int32)
+                for row, i in enumerate(ids):
+                    p = np.array(at[i])
+                    np.add.at(edges[row], np.maximum(p - size + 1, 0), 1)
+                    np.add.at(edges[row], np.minimum(p + 1, starts), -1)
+                held = (np.cumsum(edges[:, :-1], axis=1) > 0).astype(np.float64)
+                sums[np.ix_(ids, ids)] += (held @ held.T).astype(np.int64)
+        names = list(place)
+        i, j = np.nonzero(np.triu(sums))
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in i], pa.string()), pa.array([names[k] for k in j], pa.string()), pa.array(sums[i, j])], names=["a", "b", "n"])
+
+    counts = docs.select(column).mapInArrow(count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return counts, total
+
+
 def npmi_pairs(docs: DataFrame, words: DataFrame, top: int = 20, size: int = 10, column: str = "tokens", eps: float = 1e-12) -> DataFrame:
     """For each topic and pair of its words: normalised pointwise mutual information over sliding windows."""
-    win = windows(docs, size, column)
-    total = win.agg(F.count("*").alias("n_win"))
-    p = _topic_pairs(words, co_documents(win, words), top).crossJoin(F.broadcast(total))
+    co, total = window_counts(docs, words, size, column)
+    p = _topic_pairs(words, co, top).crossJoin(F.broadcast(total))
     pij = F.col("nij") / F.col("n_win") + eps
     pmi = F.log(pij / ((F.col("ni") / F.col("n_win")) * (F.col("nj") / F.col("n_win"))))
     return p.where("ni > 0 and nj > 0").select("topic_id", "i", "j", "wi", "wj", (pmi / -F.log(pij)).alias("npmi"))
@@ -264,6 +337,16 @@ def dominant_topic(panel: DataFrame, k: int) -> DataFrame:
     return panel.withColumn("dominant_topic", (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
+def dominant_by_stock(panel: DataFrame, k: int, stock: str = "stock") -> DataFrame:
+    """How many chunks of each stock have each topic as their greatest."""
+    return dominant_topic(panel, k).groupBy(stock, "dominant_topic").agg(F.count("*").alias("n"))
+
+
+def of_stock(panel: DataFrame, name: str, stock: str = "stock") -> DataFrame:
+    """The rows of one stock."""
+    return panel.where(F.col(stock) == name)
+
+
 def label_template(words: DataFrame, top: int = 10) -> DataFrame:
     """One row with a JSON text: for each topic an empty name and its first words, for people to fill in."""
     one = words.where(F.col("rank") <= top).groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("w"))
@@ -276,3 +359,9 @@ def named(df: DataFrame, names: DataFrame, topic: str = "topic_id") -> DataFrame
     n = names.select(F.col("topic_id").alias("_t"), F.nullif(F.trim("name"), F.lit("")).alias("_name"))
     label = F.coalesce(F.concat("_name", F.lit(" - topic "), F.col(topic).cast("string")), F.concat(F.lit("topic_"), F.col(topic).cast("string")))
     return df.join(n, F.col(topic) == F.col("_t"), "left").withColumn("topic_name", label).drop("_t", "_name")
+
+
+def name_second(df: DataFrame, name: str = "topic_name") -> DataFrame:
+    """``df`` with the column ``name`` in second place."""
+    first, *rest = [c for c in df.columns if c != name]
+    return df.select(first, name, *rest)

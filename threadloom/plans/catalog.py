@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions.lexicon import compile_lexicon
 from threadloom.operators import chunks, cleaning, evaluation, matching, panel, relevance, threads, topics
+from threadloom.schemas import whole_number
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -270,7 +271,8 @@ def _(t):
     order = ["s", "user_id", "p"]
     pool = chunks.build(chunks.assign_pool(sized.where("n < 70"), order, "day"), ["seq"], order, "day", "event_type").where("n_messages >= 70")
     pool = pool.withColumns({"user_id": F.lit(None).cast("bigint"), "start": F.lit(None).cast("bigint"), "pool": F.lit(1)})
-    return chunks.number(own.unionByName(pool), ["pool", "start", "user_id", "seq"]).select("chunk_id", "date_start", "date_end", "n_messages", "chunk_text")
+    parts = [F.col("pool"), F.floor(F.col("start") / 86400), F.floor(F.when(F.col("pool") == 1, F.col("seq")) / 100)]
+    return chunks.number(own.unionByName(pool), ["pool", "start", "user_id", "seq"], parts).select("chunk_id", "date_start", "date_end", "n_messages", "chunk_text")
 
 
 @query("q25_cross_day_check", f"SELECT count(*) AS chunks, count_if(a <> b)::BIGINT AS cross_day FROM (SELECT min(day) AS a, max(day) AS b FROM (SELECT *, {_absorb('p - 1', 'n')}::INT AS seq FROM ({_EVENT_SQL})) GROUP BY user_id, seq)")
@@ -296,7 +298,7 @@ def _(t):
 
 
 _CHAIN = "text"
-for _p, _r in ((r"![\[]img[\]][(]emote[^)]*[)]", " "), (r"[>]!(.*?)![<]", r"\1"), (r"(https?://|www[.])\S+", " "), (r"[*]{1,3}([^*\n]+)[*]{1,3}", r"\1"), (r"(?m)^[>]+\s?", " "), (r"u/[\pL\pM\pN_]+", " "), (r"r/[\pL\pM\pN_]+", " "), (r"![\pL\pM\pN_]+", " ")):
+for _p, _r in ((r"!\[img\]\(emote[^)]*\)", " "), (r">!(.*?)!<", r"\1"), (r"(https?://|www\.)\S+", " "), (r"\*{1,3}([^*\n]+)\*{1,3}", r"\1"), (r"(?m)^>+\s?", " "), (r"u/[\pL\pM\pN_]+", " "), (r"r/[\pL\pM\pN_]+", " "), (r"![\pL\pM\pN_]+", " ")):
     _CHAIN = f"regexp_replace({_CHAIN}, '{_p}', '{_r}', 'g')"
 _CHAIN = f"regexp_replace(lower({_CHAIN}), '[^a-z\\s$!?]', ' ', 'g')"
 
@@ -458,15 +460,20 @@ def _(t):
     return topics.overlapping(tw, 4).crossJoin(topics.diversity(tw, 4))
 
 
-@query("q43_lda_topics")
+@query("q43_lda_topics", "SELECT t::INT AS topic_id, r::INT AS rank, true AS listed, true AS falling FROM range(4) a(t), range(1, 11) b(r)")
 def _(t):
+    # Topics depend on the solver; what holds of any: each has its ten words, all from the bounded vocabulary, by falling probability.
     d = _tokenized(t).where("lang = 'en'")
     vocab = topics.vocabulary(d, no_below=10, no_above=0.35)
     bow = vocab.transform(d).select("doc_id", "bow").persist()
     out = topics.topic_words(topics.train(bow, 4, passes=5), vocab.vocabulary, 10)
     rows = out.collect()
     bow.unpersist()
-    return d.sparkSession.createDataFrame(rows, out.schema)
+    n = d.count()
+    df = topics.document_frequency(d).where((F.col("df") >= 10) & (F.col("df") <= 0.35 * n)).select(F.col("token").alias("word"), F.lit(True).alias("_in"))
+    words = d.sparkSession.createDataFrame(rows, out.schema).join(df, "word", "left")
+    before = F.lag("probability").over(Window.partitionBy("topic_id").orderBy("rank"))
+    return words.select("topic_id", "rank", F.coalesce("_in", F.lit(False)).alias("listed"), F.coalesce(F.col("probability") <= before, F.lit(True)).alias("falling"))
 
 
 # == panel
@@ -661,7 +668,110 @@ def _(t):
     return topics.histogram(t("events"), "value", 40, 0.0, 100.0)
 
 
-@query("q70_npmi_pairs")
+_WANTED = "['" + "', '".join(sorted({w for _, ws in _TOPIC_WORDS for w in ws})) + "']"
+
+
+@query("q70_npmi_pairs", f"""
+WITH tw AS (SELECT * FROM {_TW_SQL}), d AS (SELECT doc_id, {_TOKENS} AS x FROM documents), w AS (SELECT doc_id, s, list_distinct(list_intersect(x[s:s + 9], {_WANTED})) AS ws FROM (SELECT doc_id, x, unnest(range(1, greatest(1, len(x) - 9) + 1)) AS s FROM d WHERE len(x) > 0)),
+o AS (SELECT doc_id, s, unnest(ws) AS word FROM w), total AS (SELECT count(*)::DOUBLE AS n FROM w), one AS (SELECT word, count(*) AS n FROM o GROUP BY word),
+two AS (SELECT x.word AS a, y.word AS b, count(*) AS n FROM o x JOIN o y USING (doc_id, s) GROUP BY ALL),
+p AS (SELECT i.topic_id, i.rank AS i, j.rank AS j, i.word AS wi, j.word AS wj, coalesce(two.n, 0) / total.n + 1e-12::DOUBLE AS pij, x.n / total.n AS pi, y.n / total.n AS pj
+      FROM tw i JOIN tw j ON i.topic_id = j.topic_id AND i.rank > j.rank CROSS JOIN total JOIN one x ON x.word = i.word JOIN one y ON y.word = j.word LEFT JOIN two ON two.a = i.word AND two.b = j.word)
+SELECT topic_id, i, j, wi, wj, round(ln(pij / (pi * pj)) / -ln(pij), 6) AS npmi FROM p""")
+def _(t):
+    d = _tokenized(t)
+    return topics.npmi_pairs(d, _topic_words(d.sparkSession), 4, 10).withColumn("npmi", F.round("npmi", 6))
+
+
+@query("q71_relevant_rows", f"SELECT doc_id, conf FROM ({_PRED_SQL}) WHERE pred = 1")
+def _(t):
+    return relevance.relevant(_predictions(t), "pred").select("doc_id", "conf")
+
+
+_PANEL_SQL = "SELECT user_id, event_type AS stock, count_if(value < 30)::DOUBLE / count(*) AS topic_0, count_if(value >= 30 AND value < 60)::DOUBLE / count(*) AS topic_1, count_if(value >= 60)::DOUBLE / count(*) AS topic_2 FROM events GROUP BY ALL"
+
+
+def _panel(t) -> DataFrame:
+    share = lambda c: F.count_if(c).cast("double") / F.count("*")
+    v = F.col("value")
+    return t("events").groupBy("user_id", F.col("event_type").alias("stock")).agg(share(v < 30).alias("topic_0"), share((v >= 30) & (v < 60)).alias("topic_1"), share(v >= 60).alias("topic_2"))
+
+
+@query("q72_rows_of_a_stock", f"SELECT * FROM ({_PANEL_SQL}) WHERE stock = 'click'")
+def _(t):
+    return topics.of_stock(_panel(t), "click")
+
+
+@query("q73_topic_name_second", "SELECT c_custkey, 'nation ' || c_nationkey AS topic_name, c_mktsegment FROM customer")
+def _(t):
+    return topics.name_second(t("customer").select("c_custkey", "c_mktsegment", F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("topic_name")))
+
+
+@query("q74_whole_numbers", "SELECT event_id, event_id::INT AS n, user_id::INT AS who FROM events")
+def _(t):
+    return t("events").select("event_id", whole_number(F.col("event_id").cast("string"), "event_id").alias("n"), whole_number(F.col("user_id"), "user_id").alias("who"))
+
+
+@query("q75_bigram_sweep", f"SELECT k AS min_count, count_if(n >= k)::BIGINT AS bigrams, coalesce(sum(n) FILTER (n >= k), 0)::BIGINT AS occurrences FROM ({_BIGRAMS}), (SELECT unnest([2, 5, 20, 100]) AS k) GROUP BY k")
+def _(t):
+    return topics.bigram_sweep(_tokenized(t), [2, 5, 20, 100])
+
+
+@query("q76_topics_by_stock", f"SELECT stock, CASE WHEN topic_0 >= topic_1 AND topic_0 >= topic_2 THEN 0 WHEN topic_1 >= topic_2 THEN 1 ELSE 2 END AS dominant_topic, count(*) AS n FROM ({_PANEL_SQL}) GROUP BY ALL")
+def _(t):
+    return topics.dominant_by_stock(_panel(t), 3)
+
+
+@query("q77_shares_by_stock", f"SELECT stock, {', '.join(f'round(avg(topic_{i}), 6) AS mean_{i}, round(stddev_samp(topic_{i}), 6) AS std_{i}' for i in range(3))} FROM ({_PANEL_SQL}) GROUP BY stock")
+def _(t):
+    p = topics.by_stock(_panel(t), 3)
+    return p.select("stock", *[F.round(c, 6).alias(c) for c in p.columns if c != "stock"])
+
+
+@query("q78_last_json", r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"b":' || event_id || '}' WHEN 1 THEN '{"z":"}{"}' WHEN 3 THEN '{"m": "\" }"}' WHEN 4 THEN props END AS found FROM events""")
+def _(t):
+    n = F.col("event_id").cast("string")
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, F.concat(F.lit('x {"a":{"b":'), n, F.lit('},"c":2}'))).when(k == 1, F.lit('{"a":1} {bad} {"z":"}{"}')).when(k == 2, F.lit("none {at all} [1]"))
+    text = text.when(k == 3, F.lit('{"k": [1, {"m": "\\" }"}]} tail {')).otherwise(F.concat(F.lit("{ {"), F.col("props"), F.lit(" }")))
+    return t("events").select("event_id", tx.last_json(text).alias("found"))
+
+
+_LINKED = [("[two words](https://a.b) ", "two words "), ("[ab](https://a.b) ", " "), ("[this](https://a.b/c_d) x", "this x"), ("see https://x.y/z and u/someone ", "see https://x.y/z and u/someone ")]
+
+
+def _linked(side: int) -> str:
+    return "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{p[side]}'" for i, p in enumerate(_LINKED)) + " END || text"
+
+
+@query("q79_clean_links", f"SELECT doc_id, {_SQUEEZE.format(_CHAIN)} AS clean FROM (SELECT doc_id, {_linked(1)} AS text FROM documents)")
+def _(t):
+    return t("documents").select("doc_id", tx.clean_text(F.expr(_linked(0))).alias("clean"))
+
+
+@query("q80_extraction_counters", f"""
+WITH h AS ({_HITS}), d AS (SELECT doc_id, source = 'web' AS here, n_chars % 3 <> 0 AS inside FROM documents)
+SELECT count(*) AS seen, count_if(NOT here)::BIGINT AS skipped_subreddit, count_if(here AND NOT inside)::BIGINT AS skipped_period,
+       count_if(here AND inside AND doc_id IN (SELECT doc_id FROM h))::BIGINT AS matched, (SELECT count(DISTINCT (doc_id, ticker)) FROM h JOIN d USING (doc_id) WHERE here AND inside) AS written FROM d""")
+def _(t):
+    day = F.when(F.col("n_chars") % 3 != 0, F.lit(1736000000)).otherwise(F.lit(0))
+    raw = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), day.alias("created_utc"), F.col("text").alias("body"))
+    return matching.extraction_counters(raw, "comment", LEXICON, "Web", "2025-01-01", "2025-12-31")
+
+
+_NEWTON = f"z AS (SELECT target AS y, (return_t - avg(return_t) OVER ()) / stddev_pop(return_t) OVER () AS z FROM ({_TARGET_SQL})), i0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"
+for _k in range(20):
+    _NEWTON += f""", i{_k + 1} AS (SELECT a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM (
+  SELECT a, b, sum(y - p) AS g0, sum((y - p) * z) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * z) AS h01, sum(p * (1 - p) * z * z) AS h11 FROM (SELECT a, b, y, z, 1 / (1 + exp(-(a + b * z))) AS p FROM z, i{_k}) GROUP BY a, b))"""
+
+
+@query("q81_logit_of_one_feature", f"WITH {_NEWTON} SELECT 'return_t' AS feature, round(b, 5) AS coefficient, round(exp(b), 5) AS odds_ratio FROM i20")
+def _(t):
+    o = panel.odds_ratios(_targets(t), ["return_t"])
+    return o.select("feature", F.round("coefficient", 5).alias("coefficient"), F.round("odds_ratio", 5).alias("odds_ratio"))
+
+
+@query("q82_phrases_found", f"WITH u AS (SELECT w, count(*) AS c FROM (SELECT unnest({_TOKENS}) AS w FROM documents) GROUP BY w) SELECT a || ' ' || b AS phrase FROM ({_BIGRAMS}) g JOIN u x ON x.w = a JOIN u y ON y.w = b WHERE n >= 5 AND (n - 5)::DOUBLE * (SELECT count(*) FROM u) / x.c / y.c > 20")
 def _(t):
     d = _tokenized(t)
-    return topics.npmi_pairs(d, _topic_words(d.sparkSession), 4, 10)
+    return d.sparkSession.createDataFrame([(p,) for p in topics.phrases(d, 5, 20.0)], "phrase string")

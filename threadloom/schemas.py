@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MATCHED = (
@@ -43,6 +44,11 @@ def require(df: DataFrame, columns: list[str] | str) -> DataFrame:
     return df
 
 
+def whole_number(c: Column, name: str) -> Column:
+    """An integer; where it is NULL or can't be read as one, an error that names the column."""
+    return F.when(c.isNull(), F.raise_error(F.lit(f"{name} has a missing value")).cast("int")).otherwise(c.cast("int"))
+
+
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """Those of ``columns`` that exist, in that order."""
     return df.select(*[c for c in columns if c in df.columns])
