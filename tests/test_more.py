@@ -232,3 +232,20 @@ def test_daily_counts(spark, tmp_path):
     q = ingest.daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["matched_tickers"], r["n"]) for r in spark.table("daily").collect()} == {("AMD", 3), ("NVDA", 1)}
+
+
+def test_pictographs_in_sequences():
+    words = lambda t: tx.emoji_words(t).split()
+    assert words("go \U0001f680\U0001f680 now") == ["go", "rocket", "rocket", "now"]
+    assert words("1\ufe0f\u20e3#\u20e3") == ["keycap", "1", "keycap", "#"] and words("\U0001f1fa\U0001f1f8!") == ["flag", "u", "s", "!"]
+    assert words("\U0001f44d\U0001f3fd") == ["thumbs", "up", "sign", "medium", "skin", "tone"]
+    assert words("\U0001f468\u200d\U0001f4bb a:b_c") == ["man", "personal", "computer", "a", "b", "c"]
+
+
+def test_place_in_the_input_reaches_cleaning(spark, tmp_path):
+    """From an archive to cleaned rows: of two rows with one id the first in the file stays."""
+    _archive(tmp_path / "c.zst", [_object(1, body="AMD first", link_id="t3_x", author="a"), _object(1, body="AMD second", link_id="t3_x", author="a"), _object(2, body="AMD", link_id="t3_x", author="b")])
+    raw = readers.read_objects(spark, str(tmp_path / "c.zst"), "comment", order="_ord")
+    rows = matching.extract_rows(raw, "comment", lx.compile_lexicon(ENTRIES), "forum", "2025-01-01", "2025-12-31", keep=("_ord",))
+    got = cleaning.clean(rows, order=["_ord"]).drop("_ord")
+    assert [(r["id"], r["body_text"], r["thread_position"]) for r in got.orderBy("thread_position").collect()] == [("c1", "AMD first", 1), ("c2", "AMD", 2)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
@@ -106,14 +107,28 @@ def apply_steps(c: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, step: F.regexp_replace(x, F.lit(step[0]), F.lit(step[1])), steps, c)
 
 
+_KEYCAP = re.compile("([#*0-9])\ufe0f?\u20e3")
+_FLAG = re.compile("([\U0001f1e6-\U0001f1ff])([\U0001f1e6-\U0001f1ff])")
+_TONES = dict(zip("\U0001f3fb\U0001f3fc\U0001f3fd\U0001f3fe\U0001f3ff", ("light", "medium light", "medium", "medium dark", "dark")))
+
+
 def emoji_words(text: str) -> str:
-    """Pictographs as the words of their Unicode names; colons and underscores as spaces."""
+    """Pictographs as the words of their Unicode names; colons and underscores as spaces.
+
+    Keycaps and flags are read as wholes ("keycap 1", "flag u s": countries' names
+    aren't in the standard library), skin tones as such; joiners and variation
+    selectors within sequences go.
+    """
+    text = _KEYCAP.sub(r" keycap \1 ", text)
+    text = _FLAG.sub(lambda m: " flag " + " ".join(chr(ord(c) - 0x1F1E6 + ord("a")) for c in m.groups()) + " ", text)
     out = []
     for ch in text:
-        if ord(ch) > 0x2190 and unicodedata.category(ch) in ("So", "Sk"):
+        if ch in _TONES:
+            out.append(f" {_TONES[ch]} skin tone ")
+        elif ord(ch) > 0x2190 and unicodedata.category(ch) in ("So", "Sk"):
             out.append(" " + unicodedata.name(ch, "").lower().replace("-", " ") + " ")
         else:
-            out.append(" " if ch in ":_" else ch)
+            out.append("" if ch in "\u200d\ufe0e\ufe0f" else " " if ch in ":_" else ch)
     return "".join(out)
 
 
@@ -131,7 +146,7 @@ def clean_text(c: Column, emoji: bool = False) -> Column:
     """
     x = apply_steps(F.coalesce(c, F.lit("")), STEPS)
     if emoji:
-        x = F.when(x.rlike("[←-\U0010ffff:_]"), _emoji_words(x)).otherwise(x)
+        x = F.when(x.rlike("[\u200d←-\U0010ffff:_]"), _emoji_words(x)).otherwise(x)
     return squeeze(apply_steps(F.lower(x), LAST_STEPS))
 
 

@@ -69,8 +69,8 @@ def in_period(epoch: Column, start: str, end: str) -> Column:
     return F.coalesce(epoch.between(first, last + 86399), F.lit(False))
 
 
-def extract_rows(raw: DataFrame, kind: str, lexicon: Lexicon, community: str, start: str, end: str, link_root: str = "") -> DataFrame:
-    """Raw comments or submissions to matched rows: cheap filters first, the patterns last."""
+def extract_rows(raw: DataFrame, kind: str, lexicon: Lexicon, community: str, start: str, end: str, link_root: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw comments or submissions to matched rows: cheap filters first, the patterns last. ``keep`` names further columns to carry (the place in the input, say)."""
     post = kind == "submission"
     c = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
     kept = raw.where(in_community(c("subreddit"), community) & in_period(c("created_utc").try_cast("bigint"), start, end))
@@ -81,9 +81,9 @@ def extract_rows(raw: DataFrame, kind: str, lexicon: Lexicon, community: str, st
     rows = kept.select(
         c("id").alias("id"), c("created_utc").try_cast("bigint").alias("created_utc"), tx.utc_day(c("created_utc")).alias("date_utc"), F.lit(kind).alias("source_type"),
         c("subreddit").alias("subreddit"), c("author").alias("author"), c("score").try_cast("bigint").alias("score"), title.alias("title"), body.alias("body_text"), text.alias("raw_text"),
-        tx.permalink(c("permalink"), c("id"), c("link_id"), link_root, post).alias("permalink"), c("link_id").alias("link_id"), c("parent_id").alias("parent_id"), thread.alias("submission_id"),
+        tx.permalink(c("permalink"), c("id"), c("link_id"), link_root, post).alias("permalink"), c("link_id").alias("link_id"), c("parent_id").alias("parent_id"), thread.alias("submission_id"), *keep,
     ).where("raw_text <> ''")
-    return with_matches(rows, "raw_text", lexicon).select(*struct("matched").names)
+    return with_matches(rows, "raw_text", lexicon).select(*struct("matched").names, *keep)
 
 
 def extraction_counters(raw: DataFrame, kind: str, lexicon: Lexicon, community: str, start: str, end: str) -> DataFrame:
