@@ -504,7 +504,7 @@ def verified(docs: DataFrame, nodes: DataFrame, near: DataFrame, shared, slot_bi
     tagged = tagged.join(wide, "label", "left").withColumn("side", F.coalesce("side", F.lit(1)))
     split = tagged.select("label", "a", "partners", "side", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("cell"))
     mine = F.filter("partners", lambda b: F.pmod(F.xxhash64(b), F.col("side")) == F.col("cell"))
-    blocked, path = write_table(split.select(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("side")), "cell").alias("cluster"), "a", mine.alias("partners")).where(F.size("partners") > 0), "blocks")
+    blocked, _ = write_table(split.select(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("side")), "cell").alias("cluster"), "a", mine.alias("partners")).where(F.size("partners") > 0), "blocks")
     ends = blocked.select("cluster", F.explode(F.array_append("partners", F.col("a"))).alias("node"))
     wanted = cut(ends.groupBy("node").agg(F.collect_set("cluster").alias("clusters")).join(nodes, "node").select(F.array_min("ids").alias("_id"), "node", "clusters", "ids"))
 
