@@ -44,14 +44,14 @@ def _literal(term: str) -> str:
     return _META.sub(r"\\\1", term)
 
 
-#: What stands around a term: tickers, neither ASCII letters nor digits (nor $ before); others, non-word characters.
-_AROUND = {True: (r"(?<![A-Za-z0-9$])", r"(?![A-Za-z0-9])"), False: (r"(?<!\w)", r"(?!\w)")}
+#: What doesn't stand before and after a term: for tickers ASCII letters, digits (and $ before); for others word characters.
+_AROUND = {True: ("[A-Za-z0-9$]", "[A-Za-z0-9]"), False: (r"\w", r"\w")}
 
 
 def term_pattern(term: str, kind: str) -> str:
-    """Java pattern of a term."""
-    before, after = _AROUND[kind == "ticker"]
-    return f"(?iuU){before}{_literal(term)}{after}"
+    """Java pattern of a term; what stands before is looked at last, so that at most places the first letter decides."""
+    (before, after), body = _AROUND[kind == "ticker"], _literal(term)
+    return f"(?iuU){body}(?<!{before}{body})(?!{after})"
 
 
 def any_pattern(terms: Iterable[Term]) -> str | None:
@@ -62,7 +62,7 @@ def any_pattern(terms: Iterable[Term]) -> str | None:
         own = dict.fromkeys(_literal(t.term) for t in terms if (t.kind == "ticker") == ticker)
         if own:
             before, after = _AROUND[ticker]
-            parts.append(f"{before}(?:{'|'.join(own)}){after}")
+            parts.append(f"(?<!{before})(?:{'|'.join(own)})(?!{after})")
     return f"(?iuU)(?:{'|'.join(parts)})" if parts else None
 
 

@@ -77,7 +77,7 @@ def _(t):
 
 @query("q02_lexicon_counts_by_source", f"SELECT source, ticker, count(DISTINCT doc_id) AS n FROM ({_HITS}) GROUP BY ALL")
 def _(t):
-    hits = t("documents").select("source", F.explode(F.array_distinct(F.transform(matching.matches(F.col("text"), LEXICON), lambda m: m["ticker"]))).alias("ticker"))
+    hits = t("documents").where(matching.has_match(F.col("text"), LEXICON)).select("source", F.explode(F.array_distinct(F.transform(matching.matches(F.col("text"), LEXICON), lambda m: m["ticker"]))).alias("ticker"))
     return hits.groupBy("source", "ticker").agg(F.count("*").alias("n"))
 
 
