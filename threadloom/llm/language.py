@@ -114,7 +114,7 @@ def fit_on(docs: DataFrame) -> LanguageModel:
     """Fit on at most ``TRAIN_ROWS_EACH`` rows of each declared language, those with the least hashes of their id; an id with several texts or languages has the least.
 
     One scan counts the rows of each language; one more takes those whose hash is
-    under a bound at which about half as many again are expected, whatever the
+    under a bound at which some more than are needed are expected, whatever the
     number of languages.
     """
     rows = pick(docs, "doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
@@ -122,7 +122,7 @@ def fit_on(docs: DataFrame) -> LanguageModel:
     if not counts:
         return fit([])
     hashed = F.xxhash64("doc_id", F.lit(SEED))
-    share = {lang: min(1.0, (1.5 * TRAIN_ROWS_EACH + 100) / n) for lang, n in counts.items()}
+    share = {lang: min(1.0, (1.2 * TRAIN_ROWS_EACH + 100) / n) for lang, n in counts.items()}
     bounds = docs.sparkSession.createDataFrame([(lang, min((1 << 63) - 1, int(x * (1 << 64)) - (1 << 63))) for lang, x in sorted(share.items())], "lang string, bound bigint")
     sample = rows.join(F.broadcast(bounds), "lang").where(hashed <= F.col("bound")).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("s"), F.first(hashed).alias("h")).select("doc_id", "h", "s.text", "s.lang")
     return fit_in_task(sample, _fit_sample)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 17
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -32,8 +32,10 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(PIECE_BYTES, 1 << int(n).bit_length())
-    if size not in _powers:
+    """Powers of the base and of its inverse, ``n`` at least; the longest tables made so far are kept."""
+    size = max(_powers, default=0)
+    if size < n:
+        size = max(2 * PIECE_BYTES, 1 << int(n).bit_length())
         up = np.full(size, _BASE, dtype=np.uint64)
         down = np.full(size, _INVERSE, dtype=np.uint64)
         up[0] = down[0] = 1
