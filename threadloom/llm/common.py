@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 import tempfile
 import uuid
@@ -123,5 +124,15 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[dict]], object]) -> objec
     return pickle.loads(got["model"]) if got else fit([])
 
 
+def run_size(least: int, total: int) -> int:
+    """Entries that a run collects before it sends them to buckets: ``least``, or as many as leave 64 of them for each bucket of that size where there are ``total``.
+
+    Rows of fewer would cost more in overhead than in content.  So a task's memory
+    grows with the root of the input: 32 million entries for the 16 trillion words
+    of 100 TB.
+    """
+    return max(least, math.isqrt(64 * total))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,9 +19,9 @@ Words are never brought together on one machine.  The corpus is coded once, in
 sequence.  Each run sends the distinct words and bigrams that it has, with their
 counts, to buckets by hash; a bucket adds up what all runs sent and returns the
 totals in the order in which each run sent its keys, so that no key travels
-back.  Then each run is joined with its totals and scored.  Buckets are sized by
-the corpus, so a task's memory doesn't grow with it, and a frequent word or
-bigram is one entry of each run, however often it occurs.
+back.  Then each run is joined with its totals and scored.  There are as many
+buckets as keep each about as large as a run, and a frequent word or bigram is one
+entry of each run, however often it occurs.
 """
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import broadcast_if_small, cut, drop_table, partitions, pick, table, write_table
+from threadloom.llm.common import broadcast_if_small, cut, drop_table, partitions, pick, run_size, table, write_table
 
 #: What the unigram model weighs, in occurrences of a context.
 PRIOR = 2.0
-#: Words that are coded together, and words of the corpus for each bucket.
+#: Words that are coded together, and words of the corpus for each bucket, at least (:func:`run_size`).
 RUN_WORDS, BUCKET_WORDS = 1 << 20, 1 << 22
 #: The hash of the boundary of a document.
 BOUNDARY = 0
@@ -66,8 +66,8 @@ def _steps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=_U(0))
 
 
-def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, target flag) rows to coded runs."""
+def _coded(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, target flag) rows to coded runs of about ``run_words`` words."""
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId(), 0
@@ -97,7 +97,7 @@ def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(np.diff(w.first))
             hashes.append(np.maximum(w.hashes, _U(1)))
             held += len(w.hashes) + len(piece)
-            if held >= RUN_WORDS:
+            if held >= run_words:
                 yield flush()
                 made += 1
                 ids, known, flags, sizes, hashes, held = [], [], [], [], [], 0
@@ -131,7 +131,7 @@ class Run:
 
 
 def _sender(buckets: int):
-    """Worker function: coded runs to a row for each bucket: its words and bigrams of the run, with their counts in all and in target documents."""
+    """Worker function: coded runs to a row for each bucket with any of the run's words or bigrams: these, with their counts in all and in target documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
@@ -140,14 +140,16 @@ def _sender(buckets: int):
                 r = Run(*row)
                 if not len(r.full):
                     continue
+                cuts = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]) for keys in (r.words, r.keys)]
+                some = np.flatnonzero(np.diff(cuts[0]) + np.diff(cuts[1])).tolist()
                 kinds = []
-                for keys, places in ((r.words, r.places[:-1]), (r.keys, r.gram)):
+                for keys, places, at in ((r.words, r.places[:-1], cuts[0]), (r.keys, r.gram, cuts[1])):
                     both = r.counts(places, len(keys))
-                    at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-                    kinds.append([tuple(pack(x) for x in (_steps(keys[a:b]), both[0][a:b], both[1][a:b])) for a, b in zip(at[:-1], at[1:])])
-                cols = [[b for b in range(buckets)], [name] * buckets, *(list(c) for c in zip(*(w + g for w, g in zip(*kinds))))]
-                for lo in range(0, buckets, 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0][lo : lo + 256], pa.int32()), pa.array(cols[1][lo : lo + 256], pa.int64()), *(pa.array(c[lo : lo + 256], pa.binary()) for c in cols[2:])], names=["bucket", "run", "wk", "wn", "wt", "gk", "gn", "gt"])
+                    kinds.append([tuple(pack(x[at[b] : at[b + 1]] if k else _steps(x[at[b] : at[b + 1]])) for k, x in enumerate((keys, *both))) for b in some])
+                rows = [(b, name, *w, *g) for b, w, g in zip(some, *kinds)]
+                for lo in range(0, len(rows), 256):
+                    cols = zip(*rows[lo : lo + 256])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, [pa.int32(), pa.int64()] + [pa.binary()] * 6)], names=["bucket", "run", "wk", "wn", "wt", "gk", "gn", "gt"])
 
     return run
 
@@ -224,9 +226,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = pick(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"), F.max(F.coalesce("toxic", F.lit(0))).alias("_x")).where("_q = 1 and _x = 0")
     good = broadcast_if_small(cut(good.select("_id", F.lit(True).alias("_t"))), 24)
     flagged = pick(docs, "doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("target"))
-    coded, coded_at = write_table(flagged.mapInArrow(tc.releasing(_coder), _CODED), "coded")
+    chars = flagged.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    run_words = run_size(RUN_WORDS, chars // 5)
+    coded, coded_at = write_table(flagged.mapInArrow(tc.releasing(lambda batches: _coded(batches, run_words)), _CODED), "coded")
     sums = coded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("nt"), F.lit(0)).alias("nt")).first()
-    buckets = max(partitions(spark), -(-sums["n"] // BUCKET_WORDS))
+    buckets = max(partitions(spark), -(-sums["n"] // run_size(BUCKET_WORDS, sums["n"])))
     blobs = ", ".join(f"{c} binary" for c in ("wk", "wn", "wt", "gk", "gn", "gt"))
     sent = coded.select("run", "sizes", "words", "places", "target").mapInArrow(tc.releasing(_sender(buckets)), f"bucket int, run bigint, {blobs}")
     added = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_adder), "bucket int, run bigint, wn binary, wt binary, gn binary, gt binary, kinds bigint")

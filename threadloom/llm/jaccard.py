@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import BROADCAST_BYTES, bound_batches, broadcast_if_small, cut, partitions, pick, table, without, write_table
+from threadloom.llm.common import BROADCAST_BYTES, bound_batches, broadcast_if_small, cut, partitions, pick, run_size, table, without, write_table
 from threadloom.llm.pairs import best_of_each, pairs_within
 
 GRAM, THRESHOLD = 2, 0.7
@@ -159,10 +159,10 @@ def signatures(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
 # == frequencies
 
 
-def _residues(bits: int):
-    """Worker function: (doc_id, text) to rows of a bucket's residues and of the set keys, ids and sizes that it owns."""
+def _residues(bits: int, run: int):
+    """Worker function: (doc_id, text) to rows of a bucket's residues and of the set keys, ids and sizes that it owns, for each ``run`` tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def residues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, keys, ids, sizes, held = [], [], [], [], 0
 
         def flush():
@@ -170,12 +170,13 @@ def _residues(bits: int):
             at = np.searchsorted((t >> _U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)) if bits else np.array([0, len(t)])
             low = ((t >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(np.uint32)
             k, i, s = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
-            own = (k.view(np.uint64) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), dtype=np.int64)
+            by = np.argsort(k.view(np.uint64), kind="stable")
+            k, i, s = k[by], i[by], s[by]
+            own = np.searchsorted((k.view(np.uint64) >> _U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)) if bits else np.array([0, len(k)])
             rows = []
-            for b in range(1 << bits):
-                mine = own == b
-                if at[b] < at[b + 1] or mine.any():
-                    rows.append((b, low[at[b] : at[b + 1]].tobytes(), k[mine].tobytes(), i[mine].tobytes(), s[mine].tobytes()))
+            for b in np.flatnonzero(np.diff(at) + np.diff(own)).tolist():
+                mine = slice(own[b], own[b + 1])
+                rows.append((b, low[at[b] : at[b + 1]].tobytes(), k[mine].tobytes(), i[mine].tobytes(), s[mine].tobytes()))
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "low", "k", "i", "s"])
 
@@ -189,13 +190,13 @@ def _residues(bits: int):
                 ids.append(doc_ids[start + some])
                 sizes.append(np.diff(first)[some].astype(np.int32))
                 held += len(t)
-                if held > 1_000_000:
+                if held > run:
                     yield flush()
                     tokens, keys, ids, sizes, held = [], [], [], [], 0
         if held:
             yield flush()
 
-    return run
+    return residues
 
 
 def _classes(bits: int, slot_bits: int, frequent: int, very: int):
@@ -234,8 +235,9 @@ def frequencies(docs: DataFrame, chars: int) -> tuple[DataFrame, np.ndarray, int
     spark = docs.sparkSession
     slot_bits = min(_SLOT_BITS[1], max(_SLOT_BITS[0], int(np.ceil(np.log2(chars / 12 + 1)))))
     # A distinct token for every 5 characters at most, 4 bytes each.
-    bits = min(slot_bits - 2, max(0, int(np.ceil(np.log2(max(partitions(spark), chars * 4 / 5 / _BUCKET_BYTES))))))
-    rows = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(tc.releasing(_residues(bits)), "bucket int, low binary, k binary, i binary, s binary")
+    run = run_size(1_000_000, chars // 5)
+    bits = min(slot_bits - 2, max(0, int(np.ceil(np.log2(max(partitions(spark), chars * 4 / 5 / max(_BUCKET_BYTES, 4 * run)))))))
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(tc.releasing(_residues(bits, run)), "bucket int, low binary, k binary, i binary, s binary")
     found = cut(rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(tc.releasing(_classes(bits, slot_bits, FREQUENT, VERY)), "bucket int, part binary, node bigint, doc_id bigint, size int"))
     packed = np.zeros(1 << (slot_bits - 2), dtype=np.uint8)
     each = 1 << (slot_bits - 2 - bits)
@@ -247,10 +249,10 @@ def frequencies(docs: DataFrame, chars: int) -> tuple[DataFrame, np.ndarray, int
 # == candidates
 
 
-def _indexer(shared, slot_bits: int, buckets: int):
-    """Worker function: texts to (bucket, blob) rows, a blob holding set key, size and signatures of many documents."""
+def _indexer(shared, slot_bits: int, buckets: int, run: int):
+    """Worker function: texts to (bucket, blob) rows, a blob holding set key, size and signatures of many documents, for each ``run`` signatures."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = shared.value
         keys, sizes, sigs = [], [], []
 
@@ -263,10 +265,8 @@ def _indexer(shared, slot_bits: int, buckets: int):
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             k, s = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int32)
             ids, blobs = [], []
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 lo, hi = cuts[b], cuts[b + 1]
-                if lo == hi:
-                    continue
                 here, n = np.unique(doc[lo:hi], return_counts=True)
                 low = np.ascontiguousarray((sig[lo:hi] // _U(buckets)).view(np.uint8).reshape(-1, 8)[:, :6])
                 blobs.append(np.array([len(here), hi - lo], dtype=np.int64).tobytes() + k[here].tobytes() + s[here].tobytes() + n.astype(np.int32).tobytes() + low.tobytes())
@@ -292,13 +292,13 @@ def _indexer(shared, slot_bits: int, buckets: int):
                         sizes.append(size)
                         sigs.append(sig)
                         held += len(sig)
-                if held > 300_000:
+                if held > run:
                     yield flush()
                     keys, sizes, sigs, held, seen = [], [], [], 0, set()
         if sigs:
             yield flush()
 
-    return run
+    return index
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -390,8 +390,10 @@ def candidates(docs: DataFrame, shared, slot_bits: int, chars: int) -> DataFrame
     """node and partners (greater nodes that share as many prefix combinations as they must); ``shared`` is the class table, broadcast."""
     spark = docs.sparkSession
     # A near pair shares many entries; fewer buckets mean fewer rows for it.
-    buckets = max(4, partitions(spark) // 6, -(-chars // _BUCKET_CHARS))
-    blobs = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(tc.releasing(_indexer(shared, slot_bits, buckets)), "bucket int, blob binary")
+    # About one entry for 64 characters; a bucket holds as many as a run where the input is large.
+    run = run_size(300_000, chars // 64)
+    buckets = max(4, partitions(spark) // 6, -(-chars // max(_BUCKET_CHARS, 64 * run)))
+    blobs = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(tc.releasing(_indexer(shared, slot_bits, buckets, run)), "bucket int, blob binary")
     found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_pair_counts), "a bigint, b bigint, weight tinyint")
     # One shuffle, by the lesser node, serves both aggregations.
     enough = found.repartition(partitions(spark), "a").groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= _ENOUGH)
