@@ -1,6 +1,8 @@
+import collections
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -111,3 +113,69 @@ def test_components(spark):
     loops = {a for a, b in edges if a == b}
     want = {n: find(n) for n in list(root)}
     assert got == {n: g for n, g in want.items() if n in got} and set(want) - set(got) <= loops
+
+
+def brute_classes(rows, words):
+    """Least reachable id and number of partners, from all pairs."""
+    root = {r[0]: r[0] for r in rows if r[0] is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = collections.Counter()
+    for a, b in brute(rows, words):
+        links.update((a, b))
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: (find(i), links[i]) for i in root}
+
+
+def classes_of(df):
+    got = [(r["doc_id"], (r["class_id"], r["links"])) for r in df.collect()]
+    assert len(got) == len(dict(got))
+    return dict(got)
+
+
+@pytest.mark.parametrize(("seed", "least", "most", "block"), [(1, 2, 3, 5), (2, 3, 1000, 40), (5, 8, 800, 200_000)])
+def test_classes_equal_brute_force(docs, words, seed, least, most, block, monkeypatch):
+    """Groups of any sizes, blocks of clusters, and ids that have several texts."""
+    monkeypatch.setattr(J, "_GROUP", least)
+    monkeypatch.setattr(J, "_GROUP_ROWS", most)
+    monkeypatch.setattr(J, "_BLOCK_PAIRS", block)
+    rows = corpus(seed)
+    rows += [(3, rows[50][1]), (3, rows[51][1]), (60, rows[61][1]), (None, rows[5][1]), (500, None), (501, "!!"), *rows[:4]] + [(600 + i, rows[50][1]) for i in range(3)]
+    assert classes_of(J.classes(docs(rows))) == brute_classes(rows, words)
+    if seed == 1:
+        got = {(r["doc_a"], r["doc_b"]) for r in J.near_pairs(docs(rows)).collect()}
+        assert got == brute(rows, words).keys()
+    assert J.classes(docs([])).count() == 0
+
+
+def test_dense_clusters_have_few_candidates(spark, words):
+    """A cluster of many different texts is candidates as a few groups and returns a row a document, not one a pair."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(150):
+        text = base[:]
+        for k in rng.sample(range(90), 3):
+            text[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = brute(rows, words)
+    assert len(pairs) > 10_000
+    chars = sum(len(t) for _, t in rows)
+    _, packed, bits = J.frequencies(d, chars)
+    grouped, near = J.candidates(d, spark.sparkContext.broadcast(packed), bits, chars)
+    assert grouped.count() > 140 and near.count() < 500
+    assert classes_of(J.classes(d)) == brute_classes(rows, words)
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    want = {i: (c, n) for i, c, n in con.sql(J.JACCARD_SQL).fetchall()}
+    assert classes_of(J.jaccard_query(spark, "/root/testdata/sf0.001")) == want
+    assert sum(n for _, n in want.values()) > 10

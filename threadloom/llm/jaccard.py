@@ -20,8 +20,15 @@ near copies if the Jaccard similarity of their token sets is at least
   grows with the document: a pair counts as a candidate only with that many.
   A document with more than t + l tokens of its own is near no other, and
   indexed nowhere.
+* Groups.  Texts that share an index entry with many others are candidates as
+  a group, whose entries are all those of its members: two groups are candidates
+  if any two members would be, so no pair is lost, and a dense cluster has rows
+  for its few groups instead of its pairs.  Each text joins the entry that most
+  texts have, and a large group is split into several.
 * Verification.  Candidates' token sets are brought together once per cluster of
-  candidates (not once per pair) and intersected.
+  candidates (not once per pair) and intersected, each of a group with each of
+  the other.  Links are counted where they are found; of the pairs only a
+  spanning forest is returned, unless all are asked for.
 
 The hash groups of the frequent classes get finer with the size of a document
 (its power of two), which keeps the number of combinations in proportion to the
@@ -44,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
-from threadloom.llm.common import BROADCAST_BYTES, bound_batches, broadcast_if_small, cut, partitions, pick, run_size, table, without, write_table
+from threadloom.llm.common import BROADCAST_BYTES, bound_batches, broadcast_if_small, cut, drop_table, partitions, pick, run_size, table, without, write_table
 from threadloom.llm.pairs import best_of_each, pairs_within
 
 GRAM, THRESHOLD = 2, 0.7
@@ -53,6 +60,8 @@ _SMALL = 3
 _U = np.uint64
 #: Slots of the class table: about one for every two words of the corpus, within these powers of two (at most 64 MB).
 _SLOT_BITS = (16, 28)
+#: Texts that share an index entry from which they are candidates as a group, and texts of a group beyond which it is split.
+_GROUP, _GROUP_ROWS = 64, 800
 #: Pairs that one verification task takes of a cluster; a larger cluster is split into a grid of blocks.
 _BLOCK_PAIRS = 200_000
 #: Bytes of token residues, and characters of text behind the index entries, that a bucket holds: what a task has in memory doesn't grow with the input.
@@ -322,31 +331,79 @@ def _changes(*sorted_by: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _entries(node: np.ndarray, each: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (entry, node) sorted by both, and the number of nodes of each entry."""
+    node = np.repeat(node, each)
+    by = np.lexsort((node, sig))
+    sig, node = sig[by], node[by]
+    keep = _changes(sig, node)
+    sig, node = sig[keep], node[keep]
+    return sig, node, np.diff(np.append(_changes(sig), len(sig)))
+
+
+def _popular(buckets: int, least: int):
+    """Worker function: index entries of one bucket to (node, n, entry): the entry that most nodes (n) have, of each node half of whose entries, or more, ``least`` nodes or more have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, bucket = [], 0
+        for batch in batches:
+            parts += [_unpack(v.as_py()) for v in batch.column(1)]
+            bucket = batch.column(0)[0].as_py() if batch.num_rows else bucket
+        if not parts:
+            return
+        key, _, each, sig = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        sig, node, counts = _entries(key, each, sig)
+        n = np.repeat(counts, counts)
+        # Unrelated texts may share an entry with many; those of a dense cluster share most of theirs.
+        names, at = np.unique(node, return_inverse=True)
+        often = n >= least
+        often &= (2 * np.bincount(at[often], minlength=len(names)) >= np.bincount(at, minlength=len(names)))[at]
+        sig, node, n = sig[often], node[often], n[often]
+        entry = tc.mix(sig * _U(buckets) + _U(bucket)).view(np.int64)
+        by = np.lexsort((-entry, -n, node))
+        by = by[_changes(node[by])]
+        for lo in range(0, len(by), 50_000):
+            at = by[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(n[at].astype(np.int32)), pa.array(entry[at])], names=["node", "n", "entry"])
+
+    return run
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index entries of one partition to (a, b, weight) rows; a < b are set keys whose sizes allow the threshold. A pair has what it needs if its weights come to ``_ENOUGH``."""
-    parts = [_unpack(v.as_py()) for batch in batches for v in batch.column(1)]
+    """Index entries of one bucket, and the groups of nodes that have one, to (a, b, weight) rows; a < b are groups (a node without one is its own) that have sizes which allow the threshold. A pair has what it needs if its weights come to ``_ENOUGH``."""
+    parts, grouped = [], []
+    for batch in batches:
+        parts += [_unpack(v.as_py()) for v in batch.column(1) if v.is_valid]
+        some = batch.filter(batch.column(1).is_null())
+        grouped.append((some.column(2).to_numpy(), some.column(3).to_numpy()))
     if not parts:
         return
     key, size, each, sig = (np.concatenate(x) for x in zip(*parts))
     parts.clear()
-    # Nodes are numbered by size, so the partners of an entry are a run of the entries after it.
-    by = np.lexsort((key, size))
-    new = _changes(key[by])
-    names, sizes = key[by][new], size[by][new].astype(np.int64)
+    of, its = (np.concatenate(x).astype(np.int64) for x in zip(*grouped))
+    group = key.copy()
+    if len(of):
+        by = np.argsort(of)
+        of, its = of[by], its[by]
+        at = np.minimum(np.searchsorted(of, key), len(of) - 1)
+        group = np.where(of[at] == key, its[at], key)
+    # Groups are numbered by their least size, so the partners of an entry are a run of the entries after it.
+    by = np.lexsort((size, group))
+    new = _changes(group[by])
+    names, sizes, most = group[by][new], size[by][new].astype(np.int64), np.maximum.reduceat(size[by], new).astype(np.int64)
+    order = np.argsort(sizes, kind="stable")
+    number = np.empty(len(new), dtype=np.uint32)
+    number[order] = np.arange(len(new), dtype=np.uint32)
+    names, sizes, most = names[order], sizes[order], most[order]
     node = np.empty(len(key), dtype=np.uint32)
-    node[by] = np.repeat(np.arange(len(new), dtype=np.uint32), np.diff(np.append(new, len(by))))
-    node = np.repeat(node, each)
-    by = np.lexsort((node, sig))
-    sig, node = sig[by], node[by]
-    keep = _changes(sig, node)
-    sig, node = sig[keep], node[keep]
-    starts = _changes(sig)
-    counts = np.diff(np.append(starts, len(sig)))
-    # Entries that stand alone are dropped; of the others only the node and the end of the run is kept.
+    node[by] = np.repeat(number, np.diff(np.append(new, len(by))))
+    sig, node, counts = _entries(node, each, sig)
+    # Entries that stand alone are dropped; of the others only the group and the end of the run is kept.
     node = node[np.repeat(counts > 1, counts)]
     counts = counts[counts > 1]
     ends = np.repeat(np.cumsum(counts), counts)
-    del by, keep, sig, starts, counts, key, size, each
+    del by, sig, counts, key, size, each, group
     held, total = [], (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))
 
     def merged():
@@ -374,7 +431,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.repeat(np.arange(at, stop), n)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
         i, j = node[x], node[y]
-        ok = sizes[i] >= np.ceil(THRESHOLD * sizes[j] - 1e-9)
+        ok = most[i] >= np.ceil(THRESHOLD * sizes[j] - 1e-9)
         held.append((i[ok].astype(np.uint64) << _U(32)) | j[ok])
         fresh += len(held[-1])
         at = stop
@@ -386,18 +443,29 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows_of(*merged())
 
 
-def candidates(docs: DataFrame, shared, slot_bits: int, chars: int) -> DataFrame:
-    """node and partners (greater nodes that share as many prefix combinations as they must); ``shared`` is the class table, broadcast."""
+def candidates(docs: DataFrame, shared, slot_bits: int, chars: int) -> tuple[DataFrame, DataFrame]:
+    """(node, group) of the nodes that are in a group, and (a, b), groups a < b of which two members share as many prefix combinations as they must; ``shared`` is the class table, broadcast.
+
+    A node that isn't in a group stands for itself.
+    """
     spark = docs.sparkSession
     # A near pair shares many entries; fewer buckets mean fewer rows for it.
     # About one entry for 64 characters; a bucket holds as many as a run where the input is large.
     run = run_size(300_000, chars // 64)
     buckets = max(4, partitions(spark) // 6, -(-chars // max(_BUCKET_CHARS, 64 * run)))
-    blobs = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(tc.releasing(_indexer(shared, slot_bits, buckets, run)), "bucket int, blob binary")
-    found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_pair_counts), "a bigint, b bigint, weight tinyint")
-    # One shuffle, by the lesser node, serves both aggregations.
-    enough = found.repartition(partitions(spark), "a").groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= _ENOUGH)
-    return enough.groupBy("a").agg(F.collect_list("b").alias("partners"))
+    blobs, path = write_table(docs.where("text is not null and doc_id is not null").select("text").mapInArrow(tc.releasing(_indexer(shared, slot_bits, buckets, run)), "bucket int, blob binary"), "index")
+    popular = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_popular(buckets, _GROUP)), "node bigint, n int, entry bigint")
+    best = cut(popular.groupBy("node").agg(F.max(F.struct("n", "entry"))["entry"].alias("entry")))
+    parts = best.groupBy("entry").agg(F.ceil(F.count("*") / _GROUP_ROWS).alias("parts"))
+    group = F.when(F.col("parts") == 1, F.col("entry")).otherwise(F.xxhash64("entry", F.pmod(F.xxhash64("node"), "parts")))
+    grouped = cut(best.join(parts, "entry").select("node", group.alias("group")))
+    # Every bucket is told, as weights only add up under the same names.
+    told = grouped.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "node", "group")
+    rows = blobs.select("bucket", "blob", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("group")).unionByName(told)
+    found = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(tc.releasing(_pair_counts), "a bigint, b bigint, weight tinyint")
+    near = cut(found.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= _ENOUGH).select("a", "b"))
+    drop_table(spark, path)
+    return grouped, near
 
 
 # == verification
@@ -437,78 +505,136 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(off[:-1], off[1:])]
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0..n-1 that each is connected with by the edges a, b."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def _verify(expand: bool):
-    """Worker function: rows sorted by cluster and, within it, sets (kind 0, ``ids`` the documents with that set) before partners (kind 1, in ``ids``), to near pairs of nodes, or of documents."""
+    """Worker function: rows sorted by cluster and, within it, sets (kind 0, a: node, b: its group) before pairs of groups (kind 1), to near pairs of documents, or to links.
+
+    ``ids`` of a set are the documents that have it; for links two numbers instead: how
+    many of them have that text only, and how many have several.  Links are a (node),
+    b (the least node it is connected with here) and links (near documents of one
+    text), and a, b and NULL for near nodes of which either has documents of several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cluster, sets, place, sizes, members, firsts, partners = None, [], {}, [], [], [], []
-
-        def close():
-            a = np.repeat(np.array(firsts, dtype=np.int64), [len(p) for p in partners])
-            b = np.concatenate(partners)
-            i, j = (np.array([place[k] for k in c.tolist()], dtype=np.int64) for c in (a, b))
-            both = _overlaps(sets, i, j)
-            size = np.array(sizes)
+        cluster, sets, names, place, sizes, members, pairs = None, [], [], {}, [], [], []
+
+        def near():
+            """Near pairs (places of sets, value): large groups one pair of groups at a time, the others together."""
+            size, few = np.array(sizes), []
+            for g, h in pairs:
+                x, y = (np.array(place[k], dtype=np.int64) for k in (g, h))
+                i, j = np.repeat(x, len(y)), np.tile(y, len(x))
+                if g == h:
+                    i, j = i[i < j], j[i < j]
+                if len(i) < 256:
+                    few.append((i, j))
+                    continue
+                yield from close(size, i, j)
+            if few:
+                yield from close(size, *(np.concatenate(c) for c in zip(*few)))
+
+        def close(size, i, j):
+            some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            both = _overlaps([sets[k] for k in some.tolist()], at[: len(i)], at[len(i) :])
             union = size[i] + size[j] - both
             ok = both >= THRESHOLD * union - 1e-9
-            a, b, i, j, value = a[ok], b[ok], i[ok], j[ok], both[ok] / union[ok]
-            if not expand:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value)], names=["a", "b", "jaccard"])
-                return
+            if ok.any():
+                yield i[ok], j[ok], both[ok] / union[ok]
+
+        def links():
+            name, count = np.array(names, dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+            one, several = np.array(members, dtype=np.int64).reshape(-1, 2).T
+            ends = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+            for i, j, _ in near():
+                np.add.at(count, i, one[j])
+                np.add.at(count, j, one[i])
+                some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                ends.append((some, some[_roots(len(some), at[: len(i)], at[len(i) :])]))
+                told = (several[i] > 0) | (several[j] > 0)
+                for lo in range(0, int(told.sum()), 100_000):
+                    x, y = name[i[told][lo : lo + 100_000]], name[j[told][lo : lo + 100_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], names=["a", "b", "links"])
+            a, b = (np.concatenate(c) for c in zip(*ends))
+            root, some = _roots(len(names), a, b), np.unique(a)
+            yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(name[root[some]]), pa.array(count[some])], names=["a", "b", "links"])
+
+        def spelled():
             many = np.array([len(m) for m in members], dtype=np.int64)
-            at = 0
-            upto = np.cumsum(many[i] * many[j])
-            while at < len(i):
-                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 100_000)))
-                x = np.concatenate([np.repeat(members[p], many[q]) for p, q in zip(i[at:stop].tolist(), j[at:stop].tolist())])
-                y = np.concatenate([np.tile(members[q], many[p]) for p, q in zip(i[at:stop].tolist(), j[at:stop].tolist())])
-                v = np.repeat(value[at:stop], many[i[at:stop]] * many[j[at:stop]])
-                for lo in range(0, len(x), 1_000_000):
-                    p, q, r = x[lo : lo + 1_000_000], y[lo : lo + 1_000_000], v[lo : lo + 1_000_000]
-                    own = p != q
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[own]), pa.array(np.maximum(p, q)[own]), pa.array(r[own])], names=["doc_a", "doc_b", "jaccard"])
-                at = stop
+            for i, j, value in near():
+                at = 0
+                upto = np.cumsum(many[i] * many[j])
+                while at < len(i):
+                    stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 100_000)))
+                    x = np.concatenate([np.repeat(members[p], many[q]) for p, q in zip(i[at:stop].tolist(), j[at:stop].tolist())])
+                    y = np.concatenate([np.tile(members[q], many[p]) for p, q in zip(i[at:stop].tolist(), j[at:stop].tolist())])
+                    v = np.repeat(value[at:stop], many[i[at:stop]] * many[j[at:stop]])
+                    for lo in range(0, len(x), 1_000_000):
+                        p, q, r = x[lo : lo + 1_000_000], y[lo : lo + 1_000_000], v[lo : lo + 1_000_000]
+                        own = p != q
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[own]), pa.array(np.maximum(p, q)[own]), pa.array(r[own])], names=["doc_a", "doc_b", "jaccard"])
+                    at = stop
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            for c, kind, a, size, blob, ids in zip(*columns, _lists(batch.column(5))):
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for c, kind, a, b, size, blob, ids in zip(*columns, _lists(batch.column(6))):
                 if c != cluster:
-                    if partners:
-                        yield from close()
-                    cluster, sets, place, sizes, members, firsts, partners = c, [], {}, [], [], [], []
+                    if pairs:
+                        yield from spelled() if expand else links()
+                    cluster, sets, names, place, sizes, members, pairs = c, [], [], {}, [], [], []
+                    here = set()
                 if kind:
-                    firsts.append(a)
-                    partners.append(ids.copy())
-                elif a not in place:
-                    place[a] = len(sets)
+                    pairs.append((a, b))
+                elif a not in here:
+                    here.add(a)
+                    place.setdefault(b, []).append(len(sets))
                     token = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
                     token[:, 2:] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
                     sets.append(token.view(np.uint64).ravel())
+                    names.append(a)
                     sizes.append(size)
                     members.append(ids.copy())
-        if partners:
-            yield from close()
+        if pairs:
+            yield from spelled() if expand else links()
 
     return run
 
 
-def verified(docs: DataFrame, nodes: DataFrame, near: DataFrame, shared, slot_bits: int, expand: bool) -> DataFrame:
-    """The candidates ``near`` (a, partners) whose Jaccard similarity reaches the threshold: a, b (nodes), or doc_a, doc_b (their documents, a pair for each pair of nodes), and jaccard.
+def verified(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, near: DataFrame, shared, slot_bits: int, expand: bool) -> DataFrame:
+    """What :func:`_verify` makes of the candidates ``near`` (a, b: groups) and of the pairs within the groups of ``grouped`` (node, group): pairs of documents, a pair for each pair of nodes, or links of nodes.
 
-    A pair is verified in the cluster of its lesser node's least neighbour.
-    Partners travel as arrays, and ``nodes`` (node, ids) with the sets, so that
-    pairs are first spelled out after the last shuffle.
+    A pair is verified in the cluster of its larger group, so that single texts
+    travel to the group and not the reverse; a pair of single texts in that of its
+    lesser one's least neighbour.  A large cluster is cut into blocks.  ``nodes`` (node, first: a document, ids) travel
+    with the sets, so that pairs are first spelled out after the last shuffle.
     """
     spark = docs.sparkSession
-    label = near.select(F.explode("partners").alias("node"), "a").groupBy("node").agg(F.min("a").alias("label"))
-    tagged = near.join(label, F.col("a") == F.col("node"), "left").select(F.coalesce("label", "a").alias("label"), "a", "partners")
-    wide = tagged.groupBy("label").agg(F.sum(F.size("partners")).alias("n")).where(F.col("n") > _BLOCK_PAIRS).select("label", F.ceil(F.sqrt(F.col("n") / F.lit(_BLOCK_PAIRS))).cast("int").alias("side"))
-    tagged = tagged.join(wide, "label", "left").withColumn("side", F.coalesce("side", F.lit(1)))
-    split = tagged.select("label", "a", "partners", "side", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("cell"))
-    mine = F.filter("partners", lambda b: F.pmod(F.xxhash64(b), F.col("side")) == F.col("cell"))
-    blocked, _ = write_table(split.select(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("side")), "cell").alias("cluster"), "a", mine.alias("partners")).where(F.size("partners") > 0), "blocks")
-    ends = blocked.select("cluster", F.explode(F.array_append("partners", F.col("a"))).alias("node"))
-    wanted = cut(ends.groupBy("node").agg(F.collect_set("cluster").alias("clusters")).join(nodes, "node").select(F.array_min("ids").alias("_id"), "node", "clusters", "ids"))
+    of = cut(grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
+    several = of.count()
+    sized = lambda df, k: df.join(broadcast_if_small(of.select(F.col("group").alias(k), F.col("n").alias(f"n_{k}")), 16, several), k, "left")
+    label = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    pairs = near.unionByName(of.select(F.col("group").alias("a"), F.col("group").alias("b")))
+    pairs = sized(sized(pairs, "a"), "b").select("a", "b", F.coalesce("n_a", F.lit(1)).alias("n_a"), F.coalesce("n_b", F.lit(1)).alias("n_b"))
+    to = F.when(F.col("n_a") > F.col("n_b"), F.col("a")).when(F.col("n_a") < F.col("n_b"), F.col("b")).when(F.col("n_a") > 1, F.col("a")).otherwise(F.coalesce("label", "a"))
+    tagged, tags = write_table(pairs.join(label, F.col("a") == F.col("node"), "left").select(to.alias("label"), "a", "b", (F.col("n_a") * F.col("n_b")).alias("n")), "pairs")
+    wide = tagged.groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") > _BLOCK_PAIRS).select("label", F.ceil(F.sqrt(F.col("n") / F.lit(_BLOCK_PAIRS))).cast("int").alias("side"))
+    part = lambda k: F.pmod(F.xxhash64(k), F.coalesce("side", F.lit(1)))
+    blocked, blocks = write_table(tagged.join(wide, "label", "left").select(F.xxhash64("label", part("a"), part("b")).alias("cluster"), "a", "b"), "blocks")
+    drop_table(spark, tags)
+    ends = blocked.select("cluster", F.explode(F.array("a", "b")).alias("group"))
+    named = nodes.join(grouped, "node", "left").select(F.coalesce("group", "node").alias("group"), "node", "first", "ids")
+    wanted = cut(ends.groupBy("group").agg(F.collect_set("cluster").alias("clusters")).join(named, "group").select(F.col("first").alias("_id"), "node", "group", "clusters", "ids"))
 
     def blob(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
@@ -527,25 +653,33 @@ def verified(docs: DataFrame, nodes: DataFrame, near: DataFrame, shared, slot_bi
 
     udf = F.arrow_udf(blob, "struct<key bigint, blob binary, size bigint>")
     held = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("clusters") + F.size("ids") + 8), F.lit(0)).alias("words")).first()
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(F.broadcast(wanted) if held["words"] * 8 <= BROADCAST_BYTES else wanted, "_id").select("node", "clusters", "ids", udf("text").alias("s"))
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(F.broadcast(wanted) if held["words"] * 8 <= BROADCAST_BYTES else wanted, "_id").select("node", "group", "clusters", "ids", udf("text").alias("s"))
     # An id with several texts brings each of them; only the node's own counts.
-    sets = texts.where("s.key = node").select(F.explode("clusters").alias("cluster"), F.lit(0).alias("kind"), F.col("node").alias("a"), "s.size", "s.blob", "ids")
-    rows = sets.unionByName(blocked.select("cluster", F.lit(1).alias("kind"), "a", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("blob"), F.col("partners").alias("ids")))
+    sets = texts.where("s.key = node").select(F.explode("clusters").alias("cluster"), F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("group").alias("b"), "s.size", "s.blob", "ids")
+    rows = sets.unionByName(blocked.select("cluster", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("array<bigint>").alias("ids")))
     rows = rows.repartition(partitions(spark), "cluster").sortWithinPartitions("cluster", "kind")
-    return rows.mapInArrow(tc.releasing(_verify(expand)), "doc_a bigint, doc_b bigint, jaccard double" if expand else "a bigint, b bigint, jaccard double")
+    if expand:
+        return rows.mapInArrow(tc.releasing(_verify(True)), "doc_a bigint, doc_b bigint, jaccard double")
+    links = cut(rows.mapInArrow(tc.releasing(_verify(False)), "a bigint, b bigint, links bigint"))
+    drop_table(spark, blocks)
+    return links
 
 
 def join_nodes(docs: DataFrame, expand: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: doc_id, node, size; nodes: node, ids; near pairs) — the join of distinct token sets, as pairs of nodes or of their documents."""
+    """The join of distinct token sets: members (doc_id, node, size), nodes (node, first: the least document, ids), and their links, or near pairs of documents. ``ids`` are a node's documents, or for links how many of them have one text and how many have several."""
     docs = pick(docs, "doc_id", "text")
     spark = docs.sparkSession
     bound_batches(spark)
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     members, packed, slot_bits = frequencies(docs, chars)
-    nodes = cut(members.groupBy("node").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")))
+    if expand:
+        ids, of = F.sort_array(F.collect_list("doc_id")), members
+    else:
+        ids, of = F.array(F.count_if(F.col("texts") == 1), F.count_if(F.col("texts") > 1)), members.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).select("doc_id", F.explode("nodes").alias("node"), F.size("nodes").alias("texts"))
+    nodes = cut(of.groupBy("node").agg(F.min("doc_id").alias("first"), ids.alias("ids")))
     shared = spark.sparkContext.broadcast(packed)
-    near = cut(candidates(docs, shared, slot_bits, chars))
-    return members, nodes, verified(docs, nodes, near, shared, slot_bits, expand)
+    grouped, near = candidates(docs, shared, slot_bits, chars)
+    return members, nodes, verified(docs, nodes, grouped, near, shared, slot_bits, expand)
 
 
 def near_pairs(docs: DataFrame) -> DataFrame:
@@ -563,6 +697,34 @@ def near_pairs(docs: DataFrame) -> DataFrame:
     return best_of_each(pairs, members.select(F.col("doc_id").alias("id"), "node"), "doc_a", "doc_b", "jaccard")
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """One row a document (doc_id that isn't NULL): class_id, the least doc_id that it is connected with by near pairs, and links, the number of documents near it.
+
+    The pairs are those of :func:`near_pairs`, and none is left out of links; they
+    are counted where they are found and not spelled out.  A document without any
+    has its own class and 0 links.
+    """
+    members, nodes, found = join_nodes(docs)
+    several = cut(members.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1))
+    edges = found.where("links is not null").select("a", "b").unionByName(several.select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b")))
+    group = components(edges)
+    one = members.groupBy("doc_id").agg(F.min("node").alias("node"), F.count("*").alias("texts"))
+    tagged = one.join(group, "node", "left").select("doc_id", "node", "texts", F.coalesce("group", "node").alias("group"))
+    first = tagged.groupBy("group").agg(F.min("doc_id").alias("class_id"))
+    near = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("near"))
+    own = nodes.select("node", (F.col("ids")[0] - 1).alias("own"))
+    # Of a document with several texts, and of its partners, each pair counts once, by whichever texts it is near.
+    some = several.select("doc_id", F.explode("nodes").alias("x"))
+    meet = found.where("links is null").select("a", "b")
+    meet = meet.unionByName(meet.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(some.select(F.col("x").alias("a"), F.col("x").alias("b")).distinct())
+    twice = some.join(meet, F.col("x") == F.col("a")).select(F.col("doc_id").alias("p"), "b").join(members.select(F.col("doc_id").alias("q"), "node"), F.col("b") == F.col("node")).where("p <> q")
+    twice = twice.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct().select(F.explode(F.array("p", "q")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("twice"))
+    simple = F.when(F.col("texts") == 1, F.coalesce("near", F.lit(0)) + F.col("own")).otherwise(0)
+    found = tagged.join(first, "group").join(near, "node", "left").join(own, "node").join(twice, "doc_id", "left").select("doc_id", "class_id", (simple + F.coalesce("twice", F.lit(0))).alias("links"))
+    every = pick(docs, "doc_id").where("doc_id is not null").distinct()
+    return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and group (the least node that it is connected with), for the nodes of ``edges`` (a, b).
 
@@ -592,9 +754,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     without words stay, and so does every row of an empty table.  Names of other
     columns don't matter, in any case.
     """
-    members, _, pairs = join_nodes(docs)
+    members, _, found = join_nodes(docs)
     one = members.groupBy("doc_id").agg(F.min("node").alias("node"))
-    group = components(pairs).select("node", "group")
+    group = components(found.select("a", "b"))
     tagged = one.join(group, "node", "left").select("doc_id", F.coalesce("group", "node").alias("group"))
     first = tagged.groupBy("group").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = cut(tagged.join(first, "group").where("doc_id > first").select("doc_id"))
@@ -602,17 +764,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near pairs of documents."""
-    return near_pairs(table(spark, sf_dir, "documents"))
+    """The class of near copies of each document, and the number of its links."""
+    return classes(table(spark, sf_dir, "documents"))
 
 
-#: All pairs, by their shared word bigrams.
+#: All pairs, by their shared word bigrams; what each document reaches by them, and how many it has.
 JACCARD_SQL = rf"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws
   FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
 t AS (SELECT DISTINCT k, doc_id, unnest(CASE WHEN len(ws) < {GRAM} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS gram FROM w WHERE len(ws) > 0),
 n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
-p AS (SELECT a.k AS ka, b.k AS kb, least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b, count(*) AS c FROM t a JOIN t b ON a.gram = b.gram AND a.k < b.k AND a.doc_id <> b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, max(c::DOUBLE / (x.n + y.n - c)::DOUBLE) AS jaccard FROM p JOIN n x ON x.k = ka JOIN n y ON y.k = kb
-WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9 GROUP BY doc_a, doc_b"""
+p AS (SELECT a.k AS ka, b.k AS kb, least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b, count(*) AS c FROM t a JOIN t b ON a.gram = b.gram AND a.k < b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+pairs AS (SELECT doc_a, doc_b, max(c::DOUBLE / (x.n + y.n - c)::DOUBLE) AS jaccard FROM p JOIN n x ON x.k = ka JOIN n y ON y.k = kb
+WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9 GROUP BY doc_a, doc_b),
+e AS (SELECT doc_a AS x, doc_b AS y FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+l AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT doc_id, coalesce(least(doc_id, c.y), doc_id) AS class_id, coalesce(links, 0) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN c ON c.x = doc_id LEFT JOIN l ON l.x = doc_id"""
