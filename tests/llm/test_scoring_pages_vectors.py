@@ -1,6 +1,7 @@
 import collections
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -228,3 +229,87 @@ def test_near_vectors_of_each_dimension(spark):
     rows += [(50, rows[0][1]), (200, rows[30][1]), (201, rows[31][1]), (30, [1.0, 2.0]), (202, rows[0][1] + [0.0] * 8), (50, rows[32][1])]
     got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in N.near_duplicates(_vectors(spark, rows)).collect()}
     assert got.keys() == {(0, 50), (100, 200), (101, 201), (50, 102)} and all(c == pytest.approx(1, abs=1e-5) for c in got.values())
+
+
+def _brute_classes(rows):
+    """Least reachable id and number of partners, from all pairs of usable vectors."""
+    usable = {}
+    for i, v in rows:
+        if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v):
+            usable.setdefault(len(v), []).append((i, np.array(v) / np.linalg.norm(v)))
+    near = {i: set() for i, _ in rows if i is not None}
+    for some in usable.values():
+        ids, x = [i for i, _ in some], np.array([v for _, v in some])
+        for a, b in zip(*np.nonzero(x @ x.T >= N.MIN_COSINE)):
+            if ids[a] != ids[b]:
+                near[ids[a]].add(ids[b])
+    least = {}
+    for i in sorted(near):
+        reach = [i] if i not in least else []
+        while reach:
+            k = reach.pop()
+            if k not in least:
+                least[k] = i
+                reach += near[k]
+    return {i: (least[i], len(near[i])) for i in near}
+
+
+def _classes_of(df):
+    assert df.columns == ["vec_id", "class_id", "links"]
+    got = [(r["vec_id"], (r["class_id"], r["links"])) for r in df.collect()]
+    assert len(got) == len(dict(got))
+    return dict(got)
+
+
+def _clusters(rng, sizes, dim, noise):
+    """Clusters of different vectors around random directions; unlike clusters are far apart."""
+    return np.concatenate([c + rng.standard_normal((n, dim)) * noise for n, c in zip(sizes, rng.standard_normal((len(sizes), dim)))])
+
+
+@pytest.mark.parametrize(("cell_rows", "at_once", "numbers"), [(512, 1 << 19, 1 << 21), (2, 50, 100)])
+def test_vector_classes_equal_brute_force(spark, cell_rows, at_once, numbers, monkeypatch):
+    """One cell or many, clusters, chains, copies, ids with several vectors, several dimensions, and rows without a usable vector."""
+    monkeypatch.setattr(N, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(N, "_AT_ONCE", at_once)
+    monkeypatch.setattr(N, "_NUMBERS", numbers)
+    rng = np.random.default_rng(8)
+    x = _clusters(rng, [25, 10, 4, 2, *[1] * 40], 48, 0.07)
+    chain = [np.cos(0.2 * k) * np.eye(48)[0] + np.sin(0.2 * k) * np.eye(48)[1] for k in range(6)]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)) + 100, x)] + [(10 - k, v.tolist()) for k, v in enumerate(chain)]
+    rows += [(300 + k, rows[3][1]) for k in range(4)] + [(310, (np.array(rows[30][1]) * 2).tolist())]
+    rows += [(320, rows[0][1]), (320, rows[26][1]), (rows[40][0], rows[36][1]), (rows[1][0], rows[2][1]), (321, rows[60][1]), (321, rows[61][1]), *rows[:3]]
+    rows += [(400 + k, (v * 3).tolist()) for k, v in enumerate(_clusters(rng, [5, 1], 24, 0.05))] + [(320, rows[-1][1]), (500, [1.0, 2.0])]
+    rows += [(501, None), (502, []), (503, [0.0] * 48), (504, [float("nan")] * 48), (505, [1.0, None]), (None, rows[0][1])]
+    want = _brute_classes(rows)
+    assert _classes_of(N.classes(_vectors(spark, rows))) == want
+    assert want[10][0] == want[5][0] == 5 and want[7][1] == 2 and want[501] == (501, 0)
+    pairs = N.near_duplicates(_vectors(spark, rows)).collect()
+    assert len(pairs) == len({(r["vec_a"], r["vec_b"]) for r in pairs}) and 2 * len(pairs) == sum(n for _, n in want.values())
+
+
+def test_vector_classes_of_nothing(spark):
+    assert _classes_of(N.classes(_vectors(spark, []))) == {}
+    assert _classes_of(N.classes(_vectors(spark, [(1, None), (1, [2.0]), (None, [1.0])]))) == {1: (1, 0)}
+
+
+def test_dense_clusters_of_vectors_return_no_pairs(spark):
+    """A cluster of different vectors is a row a vector, and no more than one for each table on the way."""
+    x = _clusters(np.random.default_rng(9), [300, 50], 32, 0.08)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = _brute_classes(rows)
+    assert sum(n for _, n in want.values()) > 80_000
+    found = N._found(N._nodes(_vectors(spark, rows)).selectExpr("node", "v", "1 as one", "0 as several"), N.MIN_COSINE, expand=False)
+    assert found.count() <= len(rows) * N.Plan(32, len(rows)).tables
+    assert _classes_of(N.classes(_vectors(spark, rows))) == want
+
+
+def test_vector_query_equals_sql(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    rows = [(i, v.tolist()) for i, v in enumerate(_clusters(rng, [12, 5, 2, *[1] * 60], 16, 0.05))]
+    rows += [(3, rows[15][1]), (90, rows[0][1]), (91, rows[0][1]), (92, [1.0]), (93, None), (94, [0.0] * 16)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {i: (c, n) for i, c, n in con.sql(N.NEARDUP_SQL).fetchall()}
+    assert _classes_of(N.neardup_query(spark, str(tmp_path))) == want
+    assert want == _brute_classes(rows) and sum(n for _, n in want.values()) > 100

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import textcore as tc
 from threadloom.llm.common import BROADCAST_BYTES, bound_batches, broadcast_if_small, cut, drop_table, partitions, pick, run_size, table, without, write_table
-from threadloom.llm.pairs import best_of_each, pairs_within
+from threadloom.llm.pairs import best_of_each, classes_of, components, pairs_within, roots
 
 GRAM, THRESHOLD = 2, 0.7
 FREQUENT, VERY = 64, 4096
@@ -505,19 +505,6 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(off[:-1], off[1:])]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least of 0..n-1 that each is connected with by the edges a, b."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
 def _verify(expand: bool):
     """Worker function: rows sorted by cluster and, within it, sets (kind 0, a: node, b: its group) before pairs of groups (kind 1), to near pairs of documents, or to links.
 
@@ -561,13 +548,13 @@ def _verify(expand: bool):
                 np.add.at(count, i, one[j])
                 np.add.at(count, j, one[i])
                 some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-                ends.append((some, some[_roots(len(some), at[: len(i)], at[len(i) :])]))
+                ends.append((some, some[roots(len(some), at[: len(i)], at[len(i) :])]))
                 told = (several[i] > 0) | (several[j] > 0)
                 for lo in range(0, int(told.sum()), 100_000):
                     x, y = name[i[told][lo : lo + 100_000]], name[j[told][lo : lo + 100_000]]
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], names=["a", "b", "links"])
             a, b = (np.concatenate(c) for c in zip(*ends))
-            root, some = _roots(len(names), a, b), np.unique(a)
+            root, some = roots(len(names), a, b), np.unique(a)
             yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(name[root[some]]), pa.array(count[some])], names=["a", "b", "links"])
 
         def spelled():
@@ -705,45 +692,7 @@ def classes(docs: DataFrame) -> DataFrame:
     has its own class and 0 links.
     """
     members, nodes, found = join_nodes(docs)
-    several = cut(members.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1))
-    edges = found.where("links is not null").select("a", "b").unionByName(several.select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b")))
-    group = components(edges)
-    one = members.groupBy("doc_id").agg(F.min("node").alias("node"), F.count("*").alias("texts"))
-    tagged = one.join(group, "node", "left").select("doc_id", "node", "texts", F.coalesce("group", "node").alias("group"))
-    first = tagged.groupBy("group").agg(F.min("doc_id").alias("class_id"))
-    near = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("near"))
-    own = nodes.select("node", (F.col("ids")[0] - 1).alias("own"))
-    # Of a document with several texts, and of its partners, each pair counts once, by whichever texts it is near.
-    some = several.select("doc_id", F.explode("nodes").alias("x"))
-    meet = found.where("links is null").select("a", "b")
-    meet = meet.unionByName(meet.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(some.select(F.col("x").alias("a"), F.col("x").alias("b")).distinct())
-    twice = some.join(meet, F.col("x") == F.col("a")).select(F.col("doc_id").alias("p"), "b").join(members.select(F.col("doc_id").alias("q"), "node"), F.col("b") == F.col("node")).where("p <> q")
-    twice = twice.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct().select(F.explode(F.array("p", "q")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("twice"))
-    simple = F.when(F.col("texts") == 1, F.coalesce("near", F.lit(0)) + F.col("own")).otherwise(0)
-    found = tagged.join(first, "group").join(near, "node", "left").join(own, "node").join(twice, "doc_id", "left").select("doc_id", "class_id", (simple + F.coalesce("twice", F.lit(0))).alias("links"))
-    every = pick(docs, "doc_id").where("doc_id is not null").distinct()
-    return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and group (the least node that it is connected with), for the nodes of ``edges`` (a, b).
-
-    Alternating large-star and small-star steps, whose number grows with the
-    logarithm of the component size, each cut by a checkpoint.
-    """
-    e = cut(edges.select("a", "b").where("a <> b").distinct())
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        new = cut(small.where("a <> b").distinct())
-        # Done when every node hangs directly on one that hangs on none.
-        if new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty() and new.groupBy("a").count().where("count > 1").isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("group")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct())
-        e = new
+    return classes_of(pick(docs, "doc_id").select(F.col("doc_id").alias("id")), members.select(F.col("doc_id").alias("id"), "node"), nodes, found).withColumnRenamed("id", "doc_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

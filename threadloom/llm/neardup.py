@@ -19,6 +19,13 @@ follows the number of vectors, so that about ``CELL_ROWS`` share their signs; th
 number of tables is the one by which a pair at the threshold meets in at least one
 with probability ``MEET_RECALL``.  It grows with about the sixth root of the
 number of vectors (cosine 0.95), and a vector has one row a table.
+
+A dense cluster has as many pairs as the square of its vectors, so no pair leaves
+the cell in which it is found.  A pair belongs to the first table in which it
+meets, which its rows tell: they have the vector's cells and places of all tables.
+A first pass only gives the rows that have such a pair; they alone get their
+vectors, come together again in the same cells, and there pairs are verified and
+links counted.  Of the pairs a cell returns a spanning forest.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import cut, partitions, pick, table
-from threadloom.llm.pairs import best_of_each, pairs_within
+from threadloom.llm.pairs import best_of_each, classes_of, pairs_within, roots
 
 MIN_COSINE, PROJECTIONS, WINDOW, SEED = 0.95, 48, 1.5, 17
 COUNT_RECALL, MEET_RECALL, CELL_ROWS = 0.995, 0.99, 512
@@ -41,6 +48,9 @@ COUNT_RECALL, MEET_RECALL, CELL_ROWS = 0.995, 0.99, 512
 _GRID = 256
 #: Pairs that are counted at once, and projections after which those that can't reach the count are dropped.
 _AT_ONCE, _STEP = 1 << 19, 8
+#: Numbers of the vectors whose cosines are taken at once.
+_NUMBERS = 1 << 21
+_POST = "cell int, t int, place int, node bigint, keys binary"
 
 
 class Plan:
@@ -85,7 +95,7 @@ def _units(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def _posts(plan):
-    """Worker function: nodes to one row a table: its cell (signs and table), its place on the table's projection, and all projections."""
+    """Worker function: nodes to one row a table: its cell (by its signs), its place on the table's projection, and all projections and cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Plan = plan.value
@@ -95,11 +105,11 @@ def _posts(plan):
                 batch = whole.slice(lo, 2000)
                 v = _matrix(batch.column(1), p.dim)
                 proj = np.clip(np.rint(v @ p.directions * (_GRID / p.width)), -32000, 32000).astype(np.int16)
-                blob = pa.array([r.tobytes() for r in proj], type=pa.binary())
+                with np.errstate(over="ignore"):
+                    cells = np.stack([(((v @ planes > 0) * weights).sum(axis=1, dtype=np.int64) >> 32).astype(np.int32) for planes in p.planes], axis=1)
+                keys = pa.array([r.tobytes() for r in np.concatenate([proj, np.ascontiguousarray(cells).view(np.int16)], axis=1)], type=pa.binary())
                 for t in range(p.tables):
-                    with np.errstate(over="ignore"):
-                        cell = ((v @ p.planes[t] > 0) * weights).sum(axis=1, dtype=np.int64) * 1_000_003 + t
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(v), t, dtype=np.int32)), pa.array(proj[:, t % PROJECTIONS].astype(np.int32)), batch.column(0), blob], names=["cell", "t", "place", "node", "proj"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, t]), pa.array(np.full(len(v), t, dtype=np.int32)), pa.array(proj[:, t % PROJECTIONS].astype(np.int32)), batch.column(0), keys], names=["cell", "t", "place", "node", "keys"])
 
     return run
 
@@ -129,57 +139,123 @@ def _collided(x: np.ndarray, i: np.ndarray, j: np.ndarray, count: int) -> tuple[
     return i, j
 
 
-def _count(plan):
-    """Worker function: posts sorted by cell and place to (a, b) pairs of nodes with enough collisions."""
+def _first_met(x: np.ndarray, cells: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that meet in no table before ``t``."""
+    for s in range(t):
+        place = x[:, s % PROJECTIONS].astype(np.int32)
+        new = (cells[i, s] != cells[j, s]) | (np.abs(place[i] - place[j]) > _GRID)
+        i, j = i[new], j[new]
+    return i, j
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell of each table, of several; ``batches`` are sorted by both, and by place."""
+    now, held = None, []
+
+    def close():
+        if sum(len(b) for b in held) > 1:
+            yield pa.Table.from_batches(held)
+
+    for batch in batches:
+        cell, t = (batch.column(k).to_numpy() for k in (0, 1))
+        cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (t[1:] != t[:-1])) + 1, [len(cell)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if lo == hi:
+                continue
+            if now is not None and (cell[lo], t[lo]) != now:
+                yield from close()
+                held = []
+            now = (cell[lo], t[lo])
+            held.append(batch.slice(lo, hi - lo))
+    yield from close()
+
+
+def _met(rows: pa.Table, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a cell with enough collisions that meet in its table first."""
+    keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), dtype=np.int16).reshape(len(rows), -1)
+    x, cells = keys[:, :PROJECTIONS], np.ascontiguousarray(keys[:, PROJECTIONS:]).view(np.int32)
+    t = rows["t"][0].as_py()
+    for i, j in _window_pairs(rows["place"].to_numpy()):
+        i, j = _first_met(x, cells, t, *_collided(x, i, j, count))
+        if len(i):
+            yield i, j
+
+
+def _candidates(plan):
+    """Worker function: posts sorted by cell and place to those that have a pair there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, now, held = plan.value.count, None, []
+        for rows in _cells(batches):
+            some = np.zeros(len(rows), dtype=bool)
+            for i, j in _met(rows, plan.value.count):
+                some[i] = some[j] = True
+            if some.any():
+                yield from rows.filter(pa.array(some)).to_batches()
 
-        def close():
-            place, node, x = (np.concatenate(c) for c in zip(*held))
-            for i, j in _window_pairs(place):
-                i, j = _collided(x, i, j, count)
-                if len(i):
-                    a, b = node[i], node[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            cell, t, place, node = (batch.column(k).to_numpy() for k in range(4))
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.int16).reshape(-1, PROJECTIONS)
-            cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (t[1:] != t[:-1])) + 1, [len(cell)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if lo == hi:
+
+def _verify(plan, expand: bool):
+    """Worker function: posts sorted by cell and place, with their vectors, to near pairs of nodes (a, b, cosine), or to links.
+
+    ``one`` and ``several`` are numbers of a node's ids: those of that node only, and the
+    others.  Links are what :func:`classes_of` takes.
+    """
+
+    def near(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        p: Plan = plan.value
+        v, step = _matrix(rows["v"].combine_chunks(), p.dim), max(1, _NUMBERS // p.dim)
+        for x, y in _met(rows, p.count):
+            for lo in range(0, len(x), step):
+                i, j = x[lo : lo + step], y[lo : lo + step]
+                cosine = np.minimum(1.0, np.einsum("ij,ij->i", v[i].astype(np.float64), v[j].astype(np.float64)))
+                ok = cosine >= p.min_cosine
+                if ok.any():
+                    yield i[ok], j[ok], cosine[ok]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches):
+            node, one, several = (rows[c].to_numpy() for c in ("node", "one", "several"))
+            count, some, root = np.zeros(len(node), dtype=np.int64), np.zeros(len(node), dtype=bool), np.arange(len(node))
+            for i, j, cosine in near(rows):
+                if expand:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(cosine)], names=["a", "b", "cosine"])
                     continue
-                if now is not None and (cell[lo], t[lo]) != now:
-                    yield from close()
-                    held = []
-                now = (cell[lo], t[lo])
-                held.append((place[lo:hi], node[lo:hi], x[lo:hi]))
-        if held:
-            yield from close()
+                np.add.at(count, i, one[j])
+                np.add.at(count, j, one[i])
+                some[i] = some[j] = True
+                root = roots(len(node), np.concatenate([i, np.arange(len(node))]), np.concatenate([j, root]))
+                told = (several[i] > 0) | (several[j] > 0)
+                if told.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i[told]]), pa.array(node[j[told]]), pa.nulls(int(told.sum()), pa.int64())], names=["a", "b", "links"])
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]]), pa.array(count[some])], names=["a", "b", "links"])
 
     return run
 
 
-def _pairs(vectors: DataFrame, dim: int, min_cosine: float) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicates among the vectors of one dimension: (vec_a, vec_b, cosine), and the nodes' members (id, node)."""
-    spark = vectors.sparkSession
-    nodes = cut(_units(vectors, dim).groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "v", "ids"))
-    plan = spark.sparkContext.broadcast(Plan(dim, nodes.count(), min_cosine))
-    posts = nodes.select("node", "v").mapInArrow(_posts(plan), "cell bigint, t int, place int, node bigint, proj binary").repartition(partitions(spark), "cell", "t").sortWithinPartitions("cell", "t", "place")
-    found = posts.mapInArrow(_count(plan), "a bigint, b bigint").distinct()
-    side = lambda node, v, ids: nodes.select(F.col("node").alias(node), F.col("v").alias(v), F.col("ids").alias(ids))
-    full = found.join(side("a", "x", "ids_a"), "a").join(side("b", "y", "ids_b"), "b").select("x", "y", "ids_a", "ids_b")
+def _nodes(vectors: DataFrame) -> DataFrame:
+    """(node, v: vector of length 1, ids: sorted) of the usable rows of ``vectors``, in any dimension."""
+    v = pick(vectors, "vec_id", "embedding").where(F.expr("not exists(embedding, x -> x is null)")).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    # A dimension of one row has no pair.
+    dims = [r["d"] for r in v.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
+    units = functools.reduce(DataFrame.unionByName, [_units(v, d) for d in dims] or [vectors.sparkSession.createDataFrame([], "id bigint, v array<float>")])
+    return cut(units.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "v", "ids"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cosine = np.minimum(1.0, np.einsum("ij,ij->i", *(_matrix(batch.column(k), dim).astype(np.float64) for k in (0, 1))))
-            ok = pa.array(cosine >= min_cosine)
-            yield pa.RecordBatch.from_arrays([batch.column(2).filter(ok), batch.column(3).filter(ok), pa.array(cosine).filter(ok)], names=["ids_a", "ids_b", "cosine"])
 
-    near = full.mapInArrow(verify, "ids_a array<bigint>, ids_b array<bigint>, cosine double").select(F.explode("ids_a").alias("p"), "ids_b", "cosine").select("p", F.explode("ids_b").alias("q"), "cosine")
-    across = near.where("p <> q").select(F.least("p", "q").alias("vec_a"), F.greatest("p", "q").alias("vec_b"), "cosine")
-    return across.unionByName(pairs_within(nodes.select("ids"), "vec_a", "vec_b", "cosine")), nodes.select(F.explode("ids").alias("id"), "node", F.lit(dim).alias("dim"))
+def _found(nodes: DataFrame, min_cosine: float, expand: bool) -> DataFrame:
+    """What :func:`_verify` makes of the vectors of each dimension; ``nodes`` has node, v, one and several."""
+    spark = nodes.sparkSession
+    schema = f"a bigint, b bigint, {'cosine double' if expand else 'links bigint'}"
+    found = [spark.createDataFrame([], schema)]
+    for dim, rows in nodes.groupBy(F.size("v")).count().where("count > 1").collect():
+        of = nodes.where(F.size("v") == dim)
+        plan = spark.sparkContext.broadcast(Plan(dim, rows, min_cosine))
+        together = lambda df: df.repartition(partitions(spark), "cell", "t").sortWithinPartitions("cell", "t", "place")
+        some = together(of.select("node", "v").mapInArrow(_posts(plan), _POST)).mapInArrow(_candidates(plan), _POST)
+        full = some.join(of, "node").select("cell", "t", "place", "node", "keys", "v", "one", "several")
+        found.append(together(full).mapInArrow(_verify(plan, expand), schema))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -193,25 +269,44 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataF
     Empty tables give no pairs.  Other columns are ignored whatever their names, in
     any case.
     """
-    spark = vectors.sparkSession
-    v = pick(vectors, "vec_id", "embedding").where(F.expr("not exists(embedding, x -> x is null)")).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
-    # A dimension of one row has no pair.
-    dims = [r["d"] for r in v.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
-    if not dims:
-        return spark.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
-    found, members = zip(*(_pairs(v, d, min_cosine) for d in dims))
-    return best_of_each(functools.reduce(DataFrame.unionByName, found), functools.reduce(DataFrame.unionByName, members), "vec_a", "vec_b", "cosine")
+    nodes = _nodes(vectors)
+    found = _found(nodes.select("node", "v", F.lit(0).alias("one"), F.lit(0).alias("several")), min_cosine, expand=True)
+    side = lambda node, ids: nodes.select(F.col("node").alias(node), F.col("ids").alias(ids))
+    near = found.join(side("a", "ids_a"), "a").join(side("b", "ids_b"), "b").select(F.explode("ids_a").alias("p"), "ids_b", "cosine").select("p", F.explode("ids_b").alias("q"), "cosine")
+    across = near.where("p <> q").select(F.least("p", "q").alias("vec_a"), F.greatest("p", "q").alias("vec_b"), "cosine")
+    return best_of_each(across.unionByName(pairs_within(nodes.select("ids"), "vec_a", "vec_b", "cosine")), nodes.select(F.explode("ids").alias("id"), "node"), "vec_a", "vec_b", "cosine")
+
+
+def classes(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """One row an id (vec_id that isn't NULL): class_id, the least vec_id that it is connected with by near pairs, and links, the number of ids near it.
+
+    The pairs are those of :func:`near_duplicates`, and none is left out of links; they
+    are counted where they are found and not spelled out.  An id without any has its
+    own class and 0 links.
+    """
+    nodes = _nodes(vectors)
+    members = nodes.select(F.explode("ids").alias("id"), "node")
+    own = members.groupBy("id").agg(F.collect_set("node").alias("nodes")).select(F.explode("nodes").alias("node"), (F.size("nodes") == 1).alias("alone"))
+    counts = cut(own.groupBy("node").agg(F.count_if("alone").alias("one"), F.count_if(~F.col("alone")).alias("several")))
+    found = cut(_found(nodes.select("node", "v").join(counts, "node"), min_cosine, expand=False))
+    return classes_of(pick(vectors, "vec_id").select(F.col("vec_id").alias("id")), members, counts.select("node", F.array("one", "several").alias("ids")), found).withColumnRenamed("id", "vec_id")
 
 
 def neardup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near-duplicate pairs of embeddings."""
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    """The class of near-duplicates of each embedding, and the number of its links."""
+    return classes(table(spark, sf_dir, "embeddings"))
 
 
-#: All pairs by brute force, which the search finds but for the recall that it is calibrated to.
+#: All pairs by brute force, which the search finds but for the recall that it is calibrated to; what each id reaches by them, and how many it has.
 NEARDUP_SQL = f"""
-WITH v AS (
+WITH RECURSIVE v AS (
   SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0)
-SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, max(least(1.0::DOUBLE, list_cosine_similarity(a.v, b.v))) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
-WHERE list_cosine_similarity(a.v, b.v) >= {MIN_COSINE} GROUP BY ALL"""
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+pairs AS (SELECT DISTINCT a.vec_id AS vec_a, b.vec_id AS vec_b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+WHERE list_cosine_similarity(a.v, b.v) >= {MIN_COSINE}),
+e AS (SELECT vec_a AS x, vec_b AS y FROM pairs UNION ALL SELECT vec_b, vec_a FROM pairs),
+reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+l AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT vec_id, coalesce(least(vec_id, c.y), vec_id) AS class_id, coalesce(links, 0) AS links
+FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) LEFT JOIN c ON c.x = vec_id LEFT JOIN l ON l.x = vec_id"""
