@@ -303,3 +303,57 @@ def test_streamed_fold_keeps_state(spark, tmp_path):
 def test_prompt(spark):
     p = spark.range(1).select(tx.summary_prompt(F.lit("post"), F.lit("[MSG 1]\nx"), F.lit(None).cast("string"))).first()[0]
     assert p.startswith(tx.PROMPT) and "So far" not in p and p.endswith("[MSG 1]\nx")
+
+
+def test_tokens_are_runs_of_letters(spark):
+    d = spark.createDataFrame([("Ab abc ABCd[SEP]efg1hij x-ray déjà naïve cafés \U00010400\U00010401\U00010402",), ("",), (None,)], "t string")
+    got = [r["x"] for r in d.select(topics.tokens(F.col("t")).alias("x")).collect()]
+    assert got == [["abc", "abcd", "efg", "hij", "ray", "déjà", "naïve", "cafe", "\U00010428\U00010429\U0001042a"], [], []]
+    assert d.select(topics.tokens(F.col("t"), least=1).alias("x")).first()["x"][:2] == ["ab", "abc"]
+    plan = str(d.select(topics.tokens(F.col("t")))._jdf.queryExecution().optimizedPlan())
+    assert "filter(" not in plan and "split(" not in plan
+
+
+def test_long_documents_are_inferred_in_few_rounds():
+    rng = np.random.default_rng(3)
+    alpha, lens = np.array(topics.asymmetric_prior(4)), np.array([3000, 1, 40, 800])
+    weights = [np.exp(topics._expected_log(rng.gamma(100, 1 / 100, (1, lens.sum()))))[0] for _ in range(4)]
+    counts, gamma, rounds = rng.integers(1, 4, lens.sum()).astype(float), rng.gamma(100, 1 / 100, (4, 4)), []
+    ratio = topics._ratio
+    try:
+        topics._ratio = lambda *a: rounds.append(1) or ratio(*a)
+        topics._infer(weights, counts, lens, alpha, gamma)
+    finally:
+        topics._ratio = ratio
+    assert len(rounds) < 400
+    ends = np.cumsum(lens)
+    theta = np.exp(topics._expected_log(gamma))
+    r = topics._ratio(weights, counts, lens, theta)
+    again = np.stack([np.add.reduceat(w * r, ends - lens) for w in weights], axis=1) * theta + alpha
+    assert np.abs(again - gamma).mean(axis=1).max() < 2e-3 and np.allclose(gamma.sum(axis=1), alpha.sum() + np.add.reduceat(counts, ends - lens))
+
+
+def test_training_matches_mllib_and_takes_vectors_of_any_kind(spark):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(5)
+    rows = [(i, Vectors.sparse(30, {int(t): 1.0 + int(t) % 3 for t in rng.choice(15, 6, False) + 15 * (i % 2)})) for i in range(80)]
+    bow = spark.createDataFrame(rows + [(80, Vectors.sparse(30, {})), (81, Vectors.dense([1.0] + [0.0] * 29)), (82, None)], ["id", "bow"]).repartition(3).cache()
+    some = bow.where("id < 80")
+    # Either may end in one topic for all, by the seed.
+    theirs = min(LDA(k=2, maxIter=20, optimizer="online", seed=seed, featuresCol="bow", docConcentration=topics.asymmetric_prior(2), subsamplingRate=1.0).fit(some).logPerplexity(some) for seed in (1, 42))
+    assert abs(min(topics.train(some, 2, 20, seed).logPerplexity(some) for seed in (1, 2)) - theirs) < 0.05
+    model = topics.train(bow, 2, passes=20)
+    assert model.vocabSize() == 30
+    assert topics.train(bow, 2, passes=20).describeTopics(30).collect() == model.describeTopics(30).collect()
+
+
+def test_the_vocabulary_is_whole(spark):
+    words = ["".join(chr(97 + int(ch)) for ch in f"{i:06d}") for i in range(270000)]
+    d = spark.createDataFrame([(words,), (words[:3],)], "tokens array<string>")
+    v = topics.vocabulary(d, no_below=1, no_above=1.0)
+    assert len(v.vocabulary) == 270000 and v.vocabulary[:4] == words[:4]
+    assert topics.vocabulary(d, no_below=1, no_above=0.5).vocabulary[0] == words[3]
+    with pytest.raises(ValueError):
+        topics.vocabulary(d, no_below=3)

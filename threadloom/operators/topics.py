@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, StopWordsRemover
+from pyspark import TaskContext
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import IDF, CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector
+from pyspark.ml.linalg import DenseMatrix, DenseVector, SparseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +26,9 @@ BIGRAMS, TRIGRAMS = (30, 20.0), (20, 15.0)
 
 def tokens(c: Column, stop: set[str] | None = None, least: int = 3) -> Column:
     """Alphabetic words of at least ``least`` letters in lower case, chunk separators and stop words left out."""
-    words = tx.words(F.regexp_replace(F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("[SEP]"), F.lit(" "))), r"(?U)[^\p{L}\s]", " "))
-    found = F.filter(words, lambda w: F.length(w) >= least)
+    # What isn't a letter separates words, so these are the runs of letters: one pattern over the text, once.
+    run = r"\p{L}" * max(least, 1) + "+"
+    found = F.regexp_extract_all(F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("[SEP]"), F.lit(" "))), F.lit(run), F.lit(0))
     drop = sorted(set(StopWordsRemover.loadDefaultStopWords("english")) | (stop or set())) if stop is not None else []
     return F.filter(found, lambda w: ~w.isin(*drop)) if drop else found
 
@@ -132,8 +135,14 @@ def with_phrases(docs: DataFrame, column: str = "tokens") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, column: str = "tokens", no_below: int = NO_BELOW, no_above: float = NO_ABOVE) -> CountVectorizerModel:
-    # From 1 on the estimator takes a bound for a number of documents, so a share of all of them is no bound.
-    return CountVectorizer(inputCol=column, outputCol="bow", minDF=float(no_below), maxDF=float(no_above) if no_above < 1 else float(1 << 62)).fit(docs)
+    """All tokens in ``no_below`` documents or more and in no more than the share ``no_above`` of them, the most widespread first."""
+    df = document_frequency(docs, column).where(F.col("df") >= no_below)
+    if no_above < 1:
+        df = df.where(F.col("df") <= no_above * docs.count())
+    found = df.orderBy(F.desc("df"), "token").select("token").toArrow().column(0).to_pylist()
+    if not found:
+        raise ValueError(f"no token is in {no_below} documents or more and in no more than the share {no_above} of them")
+    return CountVectorizerModel.from_vocabulary(found, inputCol=column, outputCol="bow")
 
 
 def save_corpus(bow: DataFrame, vocab: CountVectorizerModel, path: str) -> None:
@@ -171,15 +180,176 @@ def asymmetric_prior(k: int) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers: six steps of the recurrence, then the asymptotic series."""
+    x = np.array(x, dtype=np.float64)
+    low = np.zeros_like(x)
+    for _ in range(6):
+        low += 1 / x
+        x += 1
+    f = 1 / (x * x)
+    return np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f * (1 / 132))))) - low
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    x = np.array(x, dtype=np.float64)
+    low = np.zeros_like(x)
+    for _ in range(6):
+        low += 1 / (x * x)
+        x += 1
+    f = 1 / (x * x)
+    return 1 / x + f / 2 + f / x * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f * (1 / 30 - f * (5 / 66))))) + low
+
+
+def _expected_log(x: np.ndarray) -> np.ndarray:
+    """Expected logarithms under Dirichlet distributions, one a row."""
+    return _digamma(x) - _digamma(x.sum(axis=1))[:, None]
+
+
+#: Rounds after which steps aren't lengthened, so that no document can go round in circles.
+_LENGTHENED = 200
+
+
+def _infer(weights: list[np.ndarray], counts: np.ndarray, lens: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> None:
+    """Each document's topic distribution, in place, until a step changes it by 0.001 or less on average; those that are done leave.
+
+    ``weights`` has an array a topic, of its terms' weights in the order of the documents' terms. The steps alone
+    converge in a thousand rounds and more, so of two each round goes on along the way that they lead
+    (squared extrapolation, in logarithms of what terms add to the prior); the last step is a plain one.
+    """
+    here, rounds = np.arange(len(lens)), 0
+    while len(here):
+        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+
+        def step(g: np.ndarray) -> np.ndarray:
+            theta = np.exp(_expected_log(g))
+            ratio = _ratio(weights, counts, lens, theta)
+            return np.stack([np.add.reduceat(w * ratio, starts) for w in weights], axis=1) * theta + alpha
+
+        before = gamma[here]
+        one = step(before)
+        two = step(one)
+        going = np.abs(two - one).mean(axis=1) > 1e-3
+        gamma[here], rounds = two, rounds + 1
+        if rounds < _LENGTHENED and going.any():
+            x, y, z = (np.log(np.maximum(g - alpha, 1e-30)) for g in (before, one, two))
+            r = y - x
+            v = z - y - r
+            a = np.maximum(1, np.sqrt((r * r).sum(axis=1) / np.maximum((v * v).sum(axis=1), 1e-300)))[:, None]
+            far = np.exp(z + np.clip(x + 2 * a * r + a * a * v - z, -3, 3)) + alpha
+            gamma[here[going]] = far[going]
+        if going.sum() <= 0.8 * len(here):
+            terms = np.repeat(going, lens)
+            weights, counts, lens, here = [w[terms] for w in weights], counts[terms], lens[going], here[going]
+
+
+def _ratio(weights: list[np.ndarray], counts: np.ndarray, lens: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    total = np.full(len(counts), 1e-100)
+    for k, w in enumerate(weights):
+        total += w * np.repeat(theta[:, k], lens)
+    return counts / total
+
+
+#: Terms that are worked on at once, so that what an iteration reads stays in the processor's cache.
+_TERMS = 1 << 17
+
+
+def _expectation(word_weights: np.ndarray, alpha: np.ndarray, seed: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Worker function: documents' terms and counts to sums, a row for each ``block`` of terms and, numbered -1, one of the documents.
+
+    ``word_weights`` (broadcast) has a row a topic, of all terms' weights.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta = word_weights.value
+        k, size = beta.shape
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        sums, logs, n = np.zeros((k, size)), np.zeros(k), 0
+        for batch in batches:
+            ids, counts, lens = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), np.diff(batch.column(0).offsets.to_numpy()).astype(np.int64)
+            if not len(lens):
+                continue
+            ends, shares, first, at = np.cumsum(lens), np.empty((k, len(ids))), 0, 0
+            while first < len(lens):
+                last = max(first + 1, int(np.searchsorted(ends, at + _TERMS, "right")))
+                to = int(ends[last - 1])
+                some, c = [np.ascontiguousarray(b[ids[at:to]]) for b in beta], counts[at:to]
+                gamma = rng.gamma(100, 1 / 100, (last - first, k))
+                _infer(some, c, lens[first:last], alpha, gamma)
+                log = _expected_log(gamma)
+                logs += log.sum(axis=0)
+                theta = np.exp(log)
+                ratio = _ratio(some, c, lens[first:last], theta)
+                for i in range(k):
+                    shares[i, at:to] = np.repeat(theta[:, i], lens[first:last]) * ratio
+                first, at = last, to
+            for i in range(k):
+                sums[i] += np.bincount(ids, shares[i], size)
+            n += len(lens)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.append(logs, n).tobytes()], pa.binary())], names=["block", "sums"])
+            for i in range(0, size, block):
+                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), pa.array([sums[:, i : i + block].tobytes()], pa.binary())], names=["block", "sums"])
+
+    return run
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py()) for x in rows.column("sums"))
+    return pa.table({"block": rows.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _moved(alpha: np.ndarray, logs: np.ndarray, n: float, rate: float) -> np.ndarray:
+    """The documents' prior after a Newton step; as it was where that would leave the positive numbers. ``logs``: mean expected logarithms."""
+    gradient = n * (logs - _digamma(alpha) + _digamma(alpha.sum()))
+    c, q = n * _trigamma(alpha.sum()), -n * _trigamma(alpha)
+    step = (gradient - (gradient / q).sum() / (1 / c + (1 / q).sum())) / -q
+    return alpha + rate * step if (alpha + rate * step > 0).all() else alpha
+
+
 def train(bow: DataFrame, k: int, passes: int = PASSES, seed: int = SEED, column: str = "bow") -> LDAModel:
-    return LDA(k=k, maxIter=passes, optimizer="online", seed=seed, featuresCol=column, docConcentration=asymmetric_prior(k), subsamplingRate=1.0).fit(bow)
+    """Online variational Bayes as MLlib has it (its priors, rates and tolerance), with each document once in each pass.
+
+    Documents are inferred many at a time in Arrow batches instead of one by one, and sums over terms
+    come back by blocks of terms, from few tasks. The rows are read once a pass, so keep them persisted.
+    """
+    spark, sc = bow.sparkSession, bow.sparkSession.sparkContext
+    v = F.unwrap_udt(column)
+    docs = bow.select(v.alias("v")).where(F.size("v.values") > 0).select(F.coalesce("v.indices", F.sequence(F.lit(0), F.size("v.values") - 1)).alias("ids"), F.col("v.values").alias("counts")).coalesce(3 * sc.defaultParallelism)
+    first = bow.where(F.col(column).isNotNull()).select(v["size"].alias("n"), F.size(v["values"]).alias("m")).first()
+    if first is None:
+        raise ValueError("no documents to train on")
+    size, block = first["n"] if first["n"] is not None else first["m"], max(1, (1 << 16) // k)
+    alpha, eta, rng = np.array(asymmetric_prior(k)), 1 / k, np.random.default_rng(seed)
+    topics_ = rng.gamma(100, 1 / 100, (k, size))
+    for done in range(1, passes + 1):
+        weights = np.exp(_expected_log(topics_))
+        shared = sc.broadcast(weights)
+        rows = docs.mapInArrow(_expectation(shared, alpha, seed * 1000 + done, block), "block int, sums binary").groupBy("block").applyInArrow(_added, "block int, sums binary").toArrow()
+        shared.destroy()
+        found = dict(zip(rows.column("block").to_pylist(), map(np.frombuffer, rows.column("sums").to_pylist())))
+        if not found:
+            continue
+        *logs, n = found.pop(-1)
+        rate = (1024 + done) ** -0.51
+        stats = np.concatenate([found[i].reshape(k, -1) for i in sorted(found)], axis=1) * weights
+        topics_ = (1 - rate) * topics_ + rate * (stats + eta)
+        alpha = _moved(alpha, np.array(logs) / n, n, rate)
+    jvm = sc._jvm
+    matrix = jvm.org.apache.spark.mllib.linalg.Matrices.fromML(_py2java(sc, DenseMatrix(size, k, topics_.ravel())))
+    prior = jvm.org.apache.spark.mllib.linalg.Vectors.fromML(_py2java(sc, DenseVector(alpha)))
+    local = jvm.org.apache.spark.mllib.clustering.LocalLDAModel(matrix, prior, float(eta), 100.0)
+    lda = LDA(k=k, maxIter=passes, optimizer="online", seed=seed, featuresCol=column, docConcentration=asymmetric_prior(k), subsamplingRate=1.0)
+    model = lda._copyValues(LocalLDAModel(jvm.org.apache.spark.ml.clustering.LocalLDAModel(lda.uid, size, local, spark._jsparkSession)))
+    model._transfer_params_to_java()
+    return model
 
 
 def topic_words(model: LDAModel, words: list[str], top: int = 20) -> DataFrame:
     """topic_id, rank (from 1), word and probability."""
-    names = F.array(*map(F.lit, words))
-    t = model.describeTopics(top).select(F.col("topic").alias("topic_id"), F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("i", "p"))
-    return t.select("topic_id", (F.col("i") + 1).alias("rank"), F.get(names, F.col("p.termIndices")).alias("word"), F.round("p.termWeights", 6).alias("probability"))
+    rows = [(r["topic"], n, words[i], w) for r in model.describeTopics(top).collect() for n, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]), 1)]
+    t = SparkSession.getActiveSession().createDataFrame(rows, "topic_id int, rank int, word string, probability double")
+    return t.withColumn("probability", F.round("probability", 6))
 
 
 def topic_panel(model: LDAModel, bow: DataFrame, keep: list[str]) -> DataFrame:

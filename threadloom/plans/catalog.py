@@ -470,7 +470,8 @@ def _(t):
     rows = out.collect()
     bow.unpersist()
     n = d.count()
-    df = topics.document_frequency(d).where((F.col("df") >= 10) & (F.col("df") <= 0.35 * n)).select(F.col("token").alias("word"), F.lit(True).alias("_in"))
+    wanted = F.array(*[F.lit(w) for w in sorted({r["word"] for r in rows})])
+    df = topics.document_frequency(d.select(F.array_intersect("tokens", wanted).alias("tokens"))).where((F.col("df") >= 10) & (F.col("df") <= 0.35 * n)).select(F.col("token").alias("word"), F.lit(True).alias("_in"))
     words = d.sparkSession.createDataFrame(rows, out.schema).join(df, "word", "left")
     before = F.lag("probability").over(Window.partitionBy("topic_id").orderBy("rank"))
     return words.select("topic_id", "rank", F.coalesce("_in", F.lit(False)).alias("listed"), F.coalesce(F.col("probability") <= before, F.lit(True)).alias("falling"))
