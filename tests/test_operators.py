@@ -357,3 +357,31 @@ def test_the_vocabulary_is_whole(spark):
     assert topics.vocabulary(d, no_below=1, no_above=0.5).vocabulary[0] == words[3]
     with pytest.raises(ValueError):
         topics.vocabulary(d, no_below=3)
+
+
+def test_windows_are_counted_in_one_pass(spark):
+    rng = random.Random(8)
+    letters = "abcdefghij"
+    rows = [(i, [rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 9, 10, 11, 400]))] if i % 7 else None) for i in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def read(tokens):
+        seen.add(1)
+        return tokens
+
+    d = spark.createDataFrame(rows, "i int, tokens array<string>").select(read("tokens").alias("tokens"))
+    w = spark.createDataFrame([(0, r, x) for r, x in enumerate("acegz", 1)], "topic_id int, rank int, word string")
+    for size in (1, 2, 10, 50):
+        want, total = {}, 0
+        for _, x in rows:
+            for s in range(max(1, len(x) - size + 1) if x else 0):
+                held, total = sorted(set(x[s : s + size]) & set("acegz")), total + 1
+                for i, a in enumerate(held):
+                    for b in held[i:]:
+                        want[a, b] = want.get((a, b), 0) + 1
+        co, n = topics.window_counts(d, w, size)
+        assert {(r["a"], r["b"]): r["n"] for r in co.collect()} == want and n.first()["n_win"] == total
+    seen.value = 0
+    topics.npmi_pairs(d, w, 5).collect()
+    assert seen.value == 60

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.common import _py2java
@@ -415,36 +416,43 @@ def window_counts(docs: DataFrame, words: DataFrame, size: int, column: str = "t
     """(a <= b and n: sliding windows that hold both words of topics; one row with the number of all windows).
 
     Windows aren't made: a word at place p is in those that start at p - size + 1
-    to p, and a document's words of interest are few, so each gives a list of flags
-    over starts, and products of those give the counts.
+    to p. Between the ends of such stretches the words held stay the same, so flags
+    over the stretches, with their lengths, give the counts, many documents at a
+    time. One pass gives counts and total, which are few and returned as local rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({r["word"]: i for i, r in enumerate(words.select("word").distinct().orderBy("word").collect())})
-    total = docs.where(F.size(column) > 0).agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.size(column) - size + 1)), F.lit(0)).alias("n_win"))
+    spark = docs.sparkSession
+    names = [r["word"] for r in words.select("word").distinct().orderBy("word").collect()]
+    most = min(max((1 << 15) // max(len(names), 1), 128), 8192)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sums = shared.value, np.zeros((len(shared.value), len(shared.value)), dtype=np.int64)
+        wanted, sums, total = pa.array(names, pa.string()), np.zeros((len(names), len(names)), dtype=np.int64), 0
         for batch in batches:
-            for tokens_ in batch.column(0).to_pylist():
-                at: dict[int, list[int]] = {}
-                for p, w in enumerate(tokens_ or ()):
-                    if w in place:
-                        at.setdefault(place[w], []).append(p)
-                if not at:
-                    continue
-                ids, starts = sorted(at), max(1, len(tokens_) - size + 1)
-                edges = np.zeros((len(ids), starts + 1), dtype=np.int32)
-                for row, i in enumerate(ids):
-                    p = np.array(at[i])
-                    np.add.at(edges[row], np.maximum(p - size + 1, 0), 1)
-                    np.add.at(edges[row], np.minimum(p + 1, starts), -1)
-                held = (np.cumsum(edges[:, :-1], axis=1) > 0).astype(np.float64)
-                sums[np.ix_(ids, ids)] += (held @ held.T).astype(np.int64)
-        names = list(place)
+            lists = batch.column(0)
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            starts = np.where(lens > 0, np.maximum(1, lens - size + 1), 0)
+            total += int(starts.sum())
+            ids = pc.fill_null(pc.index_in(lists.flatten(), value_set=wanted), -1).to_numpy()
+            at = np.flatnonzero(ids >= 0)
+            ids, doc = ids[at], np.searchsorted(np.cumsum(lens), at, "right")
+            place, before = at - (np.cumsum(lens) - lens)[doc], (np.cumsum(starts) - starts)[doc]
+            low, high = before + np.maximum(place - size + 1, 0), before + np.minimum(place + 1, starts[doc])
+            i = 0
+            while i < len(ids):
+                to = int(np.searchsorted(doc, doc[min(i + most, len(ids)) - 1], "right"))
+                here, word = np.unique(ids[i:to], return_inverse=True)
+                points, end = np.unique(np.concatenate([low[i:to], high[i:to]]), return_inverse=True)
+                edges = np.zeros((len(here), len(points)), dtype=np.int32)
+                np.add.at(edges, (word, end[: to - i]), 1)
+                np.add.at(edges, (word, end[to - i :]), -1)
+                held = (np.cumsum(edges, axis=1)[:, :-1] > 0).astype(np.float64)
+                sums[np.ix_(here, here)] += np.rint((held * np.diff(points)) @ held.T).astype(np.int64)
+                i = to
         i, j = np.nonzero(np.triu(sums))
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in i], pa.string()), pa.array([names[k] for k in j], pa.string()), pa.array(sums[i, j])], names=["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*(names[k] for k in i), None], pa.string()), pa.array([*(names[k] for k in j), None], pa.string()), pa.array(np.append(sums[i, j], total))], names=["a", "b", "n"])
 
-    counts = docs.select(column).mapInArrow(count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return counts, total
+    rows = docs.select(column).mapInArrow(count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    counts = spark.createDataFrame([r for r in rows if r["a"] is not None], "a string, b string, n bigint")
+    return counts, spark.createDataFrame([(sum(r["n"] for r in rows if r["a"] is None),)], "n_win bigint")
 
 
 def npmi_pairs(docs: DataFrame, words: DataFrame, top: int = 20, size: int = 10, column: str = "tokens", eps: float = 1e-12) -> DataFrame:
