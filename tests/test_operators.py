@@ -385,3 +385,33 @@ def test_windows_are_counted_in_one_pass(spark):
     seen.value = 0
     topics.npmi_pairs(d, w, 5).collect()
     assert seen.value == 60
+
+
+def _texts():
+    rng = random.Random(11)
+    words = ["red", "green", "blue", "cat", "dog", "été", "x"]
+    return [[rng.choice(words) for _ in range(rng.choice([0, 1, 2, 30]))] for _ in range(200)] + [None, ["once"], ["dog", "dog", "dog"]]
+
+
+def _counted(rows):
+    ones, twos = {}, {}
+    for x in rows:
+        for w in x or ():
+            ones[w] = ones.get(w, 0) + 1
+        for p in zip(x or (), (x or ())[1:]):
+            twos[p] = twos.get(p, 0) + 1
+    return ones, twos
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_counted_by_runs(spark, monkeypatch):
+    monkeypatch.setattr(topics, "RUN", 500)
+    rows = _texts()
+    ones, twos = _counted(rows)
+    got = topics.phrase_scores(spark.createDataFrame([(x,) for x in rows], "tokens array<string>").repartition(3), 20)
+    assert {(r["a"], r["b"]): (r["n"], round(r["score"], 9)) for r in got.collect()} == {(a, b): (n, round((n - 20) * len(ones) / ones[a] / ones[b], 9)) for (a, b), n in twos.items() if n >= 20}
+    assert "Generate" not in _plan(got)
+    assert topics.phrase_scores(spark.createDataFrame([], "tokens array<string>"), 1).count() == 0

@@ -64,34 +64,140 @@ def adjacent(column: Column) -> Column:
     return F.when(n > 1, F.arrays_zip(F.slice(column, 1, n - 1).alias("a"), F.slice(column, 2, n - 1).alias("b"))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
-def bigram_counts(docs: DataFrame, column: str = "tokens") -> DataFrame:
-    """a, b and n over all documents."""
-    pairs = docs.select(F.explode(F.transform(adjacent(F.col(column)), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+#: Tokens that are counted together before anything is shuffled.
+RUN = 1 << 22
+
+
+def _bigram_runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Worker function: token lists to a row for each run and bucket of first words (by hash).
+
+    ``words`` are those that the row's numbers stand for, ``pairs`` three int32 arrays (first word, second
+    word, occurrences), ``own`` two (word of the bucket, occurrences).
+    """
+
+    def counted(lists: list[pa.Array]) -> pa.RecordBatch:
+        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode(null_encoding="encode")
+        found, ids = coded.dictionary, coded.indices.to_numpy()
+        home = (pd.util.hash_array(found.fill_null("").to_numpy(zero_copy_only=False), categorize=False) % buckets).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, size = place[ids], len(order)
+        times = np.bincount(ids, minlength=size)
+        lens = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in lists])
+        inside = np.ones(len(ids), bool)
+        inside[np.cumsum(lens)[lens > 0] - 1] = False
+        at = np.flatnonzero(inside)
+        keys = ids[at] * size + ids[at + 1]
+        keys.sort()
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        n = np.diff(starts, append=len(keys)).astype(np.int32)
+        first, second = np.divmod(keys[starts], size)
+        edges = np.searchsorted(home[order], np.arange(buckets + 1))
+        cuts = np.searchsorted(first, edges)
+        held, used, pairs, own = [], [], [], []
+        for k in np.flatnonzero(np.diff(edges)):
+            (i, j), (f, t) = edges[k : k + 2], cuts[k : k + 2]
+            names, local = np.unique(np.concatenate([np.arange(i, j), second[f:t]]), return_inverse=True)
+            local = local.astype(np.int32)
+            held.append(k)
+            used.append(names)
+            pairs.append(local[first[f:t] - i].tobytes() + local[j - i :].tobytes() + n[f:t].tobytes())
+            own.append(local[: j - i].tobytes() + times[i:j].astype(np.int32).tobytes())
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in used])]).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(offsets), found.take(pa.array(order[np.concatenate(used)])))
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), words, pa.array(pairs, pa.binary()), pa.array(own, pa.binary())], names=["bucket", "words", "pairs", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, n = [], 0
+        for batch in batches:
+            lists.append(batch.column(0))
+            n += len(batch.column(0).flatten())
+            if n >= RUN:
+                yield counted(lists)
+                lists, n = [], 0
+        if n:
+            yield counted(lists)
+
+    return run
+
+
+def _bucket(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and by their numbers: first and second of each distinct bigram, its occurrences; each word's own (0 of another bucket's)."""
+    lists = rows.column("words").combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    coded = lists.flatten().dictionary_encode(null_encoding="encode")
+    ids, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    before = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    keys, counts, times = [], [], np.zeros(size, np.int64)
+    for at, pairs, own in zip(before, rows.column("pairs"), rows.column("own")):
+        first, second, n = np.frombuffer(pairs.as_buffer(), np.int32).reshape(3, -1)
+        keys.append(ids[at + first] * size + ids[at + second])
+        counts.append(n)
+        word, n = np.frombuffer(own.as_buffer(), np.int32).reshape(2, -1)
+        times[ids[at + word]] += n
+    keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    n = np.add.reduceat(counts[order], starts) if len(starts) else counts
+    first, second = np.divmod(keys[starts], size)
+    return coded.dictionary, first, second, n, times
+
+
+def _bigram_buckets(docs: DataFrame, column: str):
+    """Rows of runs, by bucket: bigrams are counted in numpy, so that what is shuffled is a row a run and bucket instead of one a bigram."""
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(column).mapInArrow(_bigram_runs(buckets), "bucket int, words array<string>, pairs binary, own binary").groupBy("bucket")
+
+
+def bigram_counts(docs: DataFrame, column: str = "tokens", least: int = 1) -> DataFrame:
+    """a, b and n over all documents, of bigrams seen at least ``least`` times."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        words, first, second, n, _ = _bucket(rows)
+        keep = n >= least
+        return pa.table({"a": words.take(pa.array(first[keep])), "b": words.take(pa.array(second[keep])), "n": pa.array(n[keep])})
+
+    return _bigram_buckets(docs, column).applyInArrow(add, "a string, b string, n bigint")
 
 
 def phrase_scores(docs: DataFrame, min_count: int, column: str = "tokens") -> DataFrame:
     """a, b, n and score (n - min_count) * V / (n_a * n_b) of bigrams seen at least ``min_count`` times.
 
     Words (with no b) and bigrams are counted in one scan and one shuffle, which
-    the number of words reuses; words' counts then reach bigrams by windows over
-    either word.
+    the number of words reuses; a bigram is counted where its first word is, and the
+    second word's count reaches it by a window.
     """
-    pairs = F.transform(adjacent(F.col(column)), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
-    single = F.transform(F.col(column), lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
-    counts = docs.select(F.explode(F.concat(single, pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    size = counts.agg(F.count_if(F.col("b").isNull() & (F.col("n") > 0)).alias("v"))
+
+    def add(rows: pa.Table) -> pa.Table:
+        words, first, second, n, times = _bucket(rows)
+        keep, own = n >= min_count, np.flatnonzero(times)
+        if words.null_count:
+            none = words.is_null().to_numpy(zero_copy_only=False)
+            keep, own = keep & ~none[first] & ~none[second], own[~none[own]]
+        first, second, n = first[keep], second[keep], n[keep]
+        b = pa.concat_arrays([words.take(pa.array(second)), pa.nulls(len(own), pa.string())])
+        return pa.table({"a": words.take(pa.array(np.concatenate([first, own]))), "b": b, "n": pa.array(np.concatenate([n, times[own]])), "ca": pa.array(np.concatenate([times[first], times[own]]))})
+
+    counts = _bigram_buckets(docs, column).applyInArrow(add, "a string, b string, n bigint, ca bigint")
+    size = counts.agg(F.count_if(F.col("b").isNull()).alias("v"))
     word = F.max(F.when(F.col("b").isNull(), F.col("n")))
-    kept = counts.where((F.col("n") >= min_count) | F.col("b").isNull() & (F.col("n") > 0))
-    kept = kept.withColumn("ca", word.over(W.partitionBy("a"))).withColumn("_w", F.coalesce("b", "a")).withColumn("cb", word.over(W.partitionBy("_w"))).where("b is not null")
+    kept = counts.withColumn("_w", F.coalesce("b", "a")).withColumn("cb", word.over(W.partitionBy("_w"))).where("b is not null")
     return kept.crossJoin(F.broadcast(size)).select("a", "b", "n", ((F.col("n") - min_count).cast("double") * F.col("v") / F.col("ca") / F.col("cb")).alias("score"))
 
 
 def bigram_sweep(docs: DataFrame, least: list[int], column: str = "tokens") -> DataFrame:
     """min_count, bigrams seen at least that often, and their occurrences, for each bound."""
-    n = F.col("n")
-    one = bigram_counts(docs, column).agg(*[x for k in least for x in (F.count_if(n >= k).alias(f"d{k}"), F.coalesce(F.sum(F.when(n >= k, n)), F.lit(0)).alias(f"o{k}"))])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("min_count"), F.col(f"d{k}").alias("bigrams"), F.col(f"o{k}").alias("occurrences")) for k in least])))
+
+    def add(rows: pa.Table) -> pa.Table:
+        n = _bucket(rows)[3]
+        return pa.table({"at": pa.array(range(len(least)), pa.int32()), "d": pa.array([int((n >= k).sum()) for k in least], pa.int64()), "o": pa.array([int(n[n >= k].sum()) for k in least], pa.int64())})
+
+    got = _bigram_buckets(docs, column).applyInArrow(add, "at int, d bigint, o bigint")
+    sums = lambda c, i: F.coalesce(F.sum(F.when(F.col("at") == i, F.col(c))), F.lit(0).cast("bigint"))
+    one = got.agg(*[x for i in range(len(least)) for x in (sums("d", i).alias(f"d{i}"), sums("o", i).alias(f"o{i}"))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("min_count"), F.col(f"d{i}").alias("bigrams"), F.col(f"o{i}").alias("occurrences")) for i, k in enumerate(least)])))
 
 
 def phrases(docs: DataFrame, min_count: int, threshold: float, column: str = "tokens") -> list[str]:
