@@ -415,3 +415,11 @@ def test_scores_are_counted_by_runs(spark, monkeypatch):
     assert {(r["a"], r["b"]): (r["n"], round(r["score"], 9)) for r in got.collect()} == {(a, b): (n, round((n - 20) * len(ones) / ones[a] / ones[b], 9)) for (a, b), n in twos.items() if n >= 20}
     assert "Generate" not in _plan(got)
     assert topics.phrase_scores(spark.createDataFrame([], "tokens array<string>"), 1).count() == 0
+
+
+def test_phrases_found_by_runs(spark):
+    rows = _texts()
+    ones, twos = _counted(rows)
+    d = spark.createDataFrame([(x,) for x in rows] + [([None, "red", None, None],)] * 30, "tokens array<string>")
+    ones["red"] += 30
+    assert topics.phrases(d, 20, 0.1) == sorted(f"{a} {b}" for (a, b), n in twos.items() if n >= 20 and (n - 20) * len(ones) / ones[a] / ones[b] > 0.1)
