@@ -423,3 +423,12 @@ def test_phrases_found_by_runs(spark):
     d = spark.createDataFrame([(x,) for x in rows] + [([None, "red", None, None],)] * 30, "tokens array<string>")
     ones["red"] += 30
     assert topics.phrases(d, 20, 0.1) == sorted(f"{a} {b}" for (a, b), n in twos.items() if n >= 20 and (n - 20) * len(ones) / ones[a] / ones[b] > 0.1)
+
+
+def test_bigrams_are_counted_by_runs(spark):
+    rows = _texts()
+    twos = _counted(rows)[1]
+    d = spark.createDataFrame([(x,) for x in rows], "tokens array<string>").repartition(3)
+    got = topics.bigram_counts(d, least=5)
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {p: n for p, n in twos.items() if n >= 5} and "Generate" not in _plan(got)
+    assert {(r["a"], r["b"]): r["n"] for r in topics.bigram_counts(d).collect()} == twos

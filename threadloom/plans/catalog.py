@@ -428,7 +428,7 @@ _BIGRAMS = f"SELECT x[i] AS a, x[i + 1] AS b, count(*) AS n FROM (SELECT x, unne
 
 @query("q39_bigram_counts", f"SELECT a, b, n FROM ({_BIGRAMS}) WHERE n >= 5")
 def _(t):
-    return topics.bigram_counts(_tokenized(t)).where("n >= 5")
+    return topics.bigram_counts(_tokenized(t), least=5)
 
 
 @query("q40_phrase_scores", f"WITH u AS (SELECT w, count(*) AS c FROM (SELECT unnest({_TOKENS}) AS w FROM documents) GROUP BY w) SELECT a, b, n, round((n - 5)::DOUBLE * (SELECT count(*) FROM u) / x.c / y.c, 9) AS score FROM ({_BIGRAMS}) g JOIN u x ON x.w = a JOIN u y ON y.w = b WHERE n >= 5")
