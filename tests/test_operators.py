@@ -432,3 +432,11 @@ def test_bigrams_are_counted_by_runs(spark):
     got = topics.bigram_counts(d, least=5)
     assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {p: n for p, n in twos.items() if n >= 5} and "Generate" not in _plan(got)
     assert {(r["a"], r["b"]): r["n"] for r in topics.bigram_counts(d).collect()} == twos
+
+
+def test_the_sweep_is_counted_by_runs(spark):
+    twos = _counted(_texts())[1]
+    got = topics.bigram_sweep(spark.createDataFrame([(x,) for x in _texts()], "tokens array<string>"), [1, 25, 9999])
+    assert [tuple(r) for r in got.collect()] == [(k, sum(n >= k for n in twos.values()), sum(n for n in twos.values() if n >= k)) for k in (1, 25, 9999)]
+    assert "explode" not in _plan(got)
+    assert [tuple(r) for r in topics.bigram_sweep(spark.createDataFrame([], "tokens array<string>"), [1]).collect()] == [(1, 0, 0)]
