@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions import text as tx
-
 NO_BELOW, NO_ABOVE, PASSES, SEED = 5, 0.35, 15, 42
 BIGRAMS, TRIGRAMS = (30, 20.0), (20, 15.0)
 
@@ -58,12 +56,6 @@ def threshold_sweep(df: DataFrame, n_docs: int, no_below: list[int], no_above: f
     return one.select(F.inline(rows))
 
 
-def adjacent(column: Column) -> Column:
-    """Array of (a, b) of successive elements; empty below two."""
-    n = F.size(column)
-    return F.when(n > 1, F.arrays_zip(F.slice(column, 1, n - 1).alias("a"), F.slice(column, 2, n - 1).alias("b"))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-
-
 #: Tokens that are counted together before anything is shuffled.
 RUN = 1 << 22
 
